@@ -50,11 +50,11 @@ down AS (
   SELECT id, id AS root_id, 0::BIGINT AS depth, name AS path FROM n WHERE parent_id IS NULL OR parent_id NOT IN (SELECT id FROM n)
   UNION ALL SELECT n.id, d.root_id, d.depth + 1, concat_ws('\', nullif(d.path, ''), nullif(n.name, '')) FROM down d JOIN n ON n.parent_id = d.id
 ), up AS (
-  SELECT c.id AS start, c.parent_id AS at FROM n c JOIN n p ON p.id = c.parent_id
-  UNION SELECT u.start, c.parent_id FROM up u JOIN n c ON c.id = u.at JOIN n p ON p.id = c.parent_id
-), turn AS (SELECT start AS id FROM up WHERE start = at),
-lost AS (SELECT id, min(at) AS root_id FROM (SELECT start AS id, at FROM up UNION SELECT id, id FROM turn) WHERE at IN (SELECT id FROM turn) GROUP BY id),
-below AS (SELECT at AS id, count(*) AS n_below FROM up GROUP BY at)
+  SELECT c.id AS start, c.parent_id AS above FROM n c JOIN n p ON p.id = c.parent_id
+  UNION SELECT u.start, c.parent_id FROM up u JOIN n c ON c.id = u.above JOIN n p ON p.id = c.parent_id
+), turn AS (SELECT start AS id FROM up WHERE start = above),
+lost AS (SELECT id, min(above) AS root_id FROM (SELECT start AS id, above FROM up UNION SELECT id, id FROM turn) WHERE above IN (SELECT id FROM turn) GROUP BY id),
+below AS (SELECT above AS id, count(*) AS n_below FROM up GROUP BY above)
 SELECT id, root_id, depth, path, coalesce(n_below, 0) AS n_below FROM down LEFT JOIN below USING (id)
 UNION ALL SELECT id, root_id, -1, '', -1 FROM lost
 """.replace("\\\\", "\\"),
