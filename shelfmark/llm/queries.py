@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from ..queries import table
 from .components import components
+from ..shared import Scratch
+from .packing import pack
 from .survivors import consensus_values, file_survivors, latest
+from .tokens import decode, encode, token_counts
 from .topn import top_n
 
 QUERIES, SQL = {}, {}
@@ -78,3 +81,24 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = e.where("NOT coalesce(is_dir, false)").select("parent_id", "id", "name", "size")
     folders = e.where("is_dir").select("parent_id", "id", "name").join(totals, "id").select("parent_id", "id", "name", F.col("total").alias("size"))
     return top_n(files.unionByName(folders), "parent_id", "id", "size", "name", 5)
+
+
+@query("p7_ids")
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents"))
+
+
+@query("p7_round_trip")
+def p7_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded and decoded again: its number of ids and whether the text came back."""
+    docs = table(spark, sf_dir, "documents")
+    ids = Scratch(spark, "round-trip").save(encode(docs))
+    back = decode(ids).select("doc_id", F.col("text").alias("back"))
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(back, "doc_id").join(ids, "doc_id").select("doc_id", F.size("ids").cast("long").alias("n_ids"), (F.col("text") == F.col("back")).alias("same"))
+
+
+@query("p8_containers")
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text, or part of a text longer than 2,048 tokens, with its container."""
+    sizes = token_counts(table(spark, sf_dir, "documents"))
+    return pack(sizes, "doc_id", "n_tokens", 2048).withColumnRenamed("size", "n_tokens")
