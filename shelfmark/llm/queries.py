@@ -9,6 +9,7 @@ from ..queries import table
 from .components import components
 from ..shared import Scratch
 from .packing import pack
+from .sentences import sentences
 from .survivors import consensus_values, file_survivors, latest
 from .tokens import decode, encode, token_counts
 from .topn import top_n
@@ -102,3 +103,8 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text, or part of a text longer than 2,048 tokens, with its container."""
     sizes = token_counts(table(spark, sf_dir, "documents"))
     return pack(sizes, "doc_id", "n_tokens", 2048).withColumnRenamed("size", "n_tokens")
+
+
+@query("p9_found")
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences(table(spark, sf_dir, "documents"))
