@@ -189,10 +189,10 @@ def script(c: str) -> str:
 class Candidate:
     """A place where a sentence may end: `end` is the first position after it, `next` the start of what follows."""
 
-    __slots__ = ("end", "next", "term", "gap", "left", "before", "right", "second", "closed")
+    __slots__ = ("end", "next", "term", "gap", "left", "before", "right", "second", "closed", "first")
 
-    def __init__(self, end, next, term, gap, left, before, right, second, closed):
-        self.end, self.next, self.term, self.gap, self.left, self.before, self.right, self.second, self.closed = end, next, term, gap, left, before, right, second, closed
+    def __init__(self, end, next, term, gap, left, before, right, second, closed, first=False):
+        self.end, self.next, self.term, self.gap, self.left, self.before, self.right, self.second, self.closed, self.first = end, next, term, gap, left, before, right, second, closed, first
 
     def features(self) -> list[str]:
         r, w = shape(self.right), shape(self.left)
@@ -221,8 +221,8 @@ class Candidate:
             if w in ("digit", "file", "File") or r in ("digit", "file", "File", "mark"):
                 return 0
             return 1 if THAI.match(self.left[-1:]) and THAI.match(self.right[:1]) else None
-        if self.closed and GOES_ON.match(self.right):
-            return 0
+        if self.closed == "quote" and (GOES_ON.match(self.right) or self.first and r == "uncased"):
+            return 0  # who said it follows; without case, a quotation that nothing introduces needs that
         if self.term in ("full", "danda"):
             return 1
         if r == "lower":
@@ -281,7 +281,7 @@ def candidates(s: str, lo: int, hi: int) -> list[Candidate]:
         if mark[0] in GREEK_QUESTION and not (i and t[i - 1].isalpha() and script(t[i - 1]) == "greek"):
             continue
         # the marks that close with it, also after a space where a quotation is set with spaces
-        closed = ""
+        closed, first = "", False
         k = j
         depth = inside[i]
         while True:
@@ -290,6 +290,8 @@ def candidates(s: str, lo: int, hi: int) -> list[Candidate]:
                 p += 1
             if p < len(t) and p in closers and closers[p] < i:
                 closed = "quote" if t[p] in QUOTE_CLOSERS else "bracket"
+                head = t[max(0, closers[p] - 20) : closers[p]].rstrip()
+                first = not head or head[-1] in ENDS or head[-1] in CLOSERS
                 depth -= 1
                 k = p + 1
                 n = k
@@ -313,7 +315,7 @@ def candidates(s: str, lo: int, hi: int) -> list[Candidate]:
         term = "full" if cjk or mark[0] in "…‥" and script(t[i - 1]) == "cjk" else "danda" if any(c in "।॥؟۔։።፧" + GREEK_QUESTION for c in mark) else "mark" if any(c in "!?" for c in mark) else "dots" if len(mark) > 1 or any(c in "…‥" for c in mark) else "stop"
         left, before = _left(t, i)
         right, second = _right(t, n)
-        out.append(Candidate(lo + k, lo + n, term, gap, left, before, right, second, closed))
+        out.append(Candidate(lo + k, lo + n, term, gap, left, before, right, second, closed, first))
     return out
 
 
