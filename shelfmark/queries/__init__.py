@@ -14,12 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Query]:
-    from . import catalog
+    from . import catalog, tree
 
-    return dict(catalog.QUERIES)
+    return catalog.QUERIES | tree.QUERIES
 
 
 def all_sql() -> dict[str, str]:
-    from . import catalog
+    from . import catalog, tree
 
-    return dict(catalog.SQL)
+    return catalog.SQL | tree.SQL
