@@ -14,12 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Query]:
-    from . import catalog, tree
+    from . import catalog, files, tree
 
-    return catalog.QUERIES | tree.QUERIES
+    return catalog.QUERIES | tree.QUERIES | files.QUERIES
 
 
 def all_sql() -> dict[str, str]:
-    from . import catalog, tree
+    from . import catalog, files, tree
 
-    return catalog.SQL | tree.SQL
+    return catalog.SQL | tree.SQL | files.SQL
