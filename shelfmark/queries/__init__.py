@@ -14,12 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Query]:
-    from . import catalog, files, tree
+    from . import catalog, disks, files, tree
 
-    return catalog.QUERIES | tree.QUERIES | files.QUERIES
+    return catalog.QUERIES | tree.QUERIES | files.QUERIES | disks.QUERIES
 
 
 def all_sql() -> dict[str, str]:
-    from . import catalog, files, tree
+    from . import catalog, disks, files, tree
 
-    return catalog.SQL | tree.SQL | files.SQL
+    return catalog.SQL | tree.SQL | files.SQL | disks.SQL

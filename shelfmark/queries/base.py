@@ -28,9 +28,9 @@ CTE = {
     coalesce(source, 'none') || chr(92) || replace(coalesce(source, 'none'), '/', '-') || '_' || doc_id || '.' || coalesce(lang, 'txt') AS path, coalesce(n_chars, 0) AS size, doc_id * 1000 AS modified,
     CASE WHEN text IS NOT NULL THEN md5(coalesce(n_chars, 0) || left(text, 65536) || right(text, 65536)) END AS quick, CASE WHEN text IS NOT NULL THEN sha256(text) END AS "full", doc_id % 5 % 2 = 0 AS online, doc_id FROM documents)""",
     "rdg": """rdg AS (
-  SELECT 'disk-' || user_id AS disk_key, event_id AS reading_no, epoch_ms(ts) AS at_ms, CASE event_type WHEN 'error' THEN 'critical' WHEN 'purchase' THEN 'warning' ELSE 'good' END AS status, floor(abs(value))::BIGINT AS reallocated FROM events)""",
+  SELECT 'disk-' || user_id AS disk_key, event_id AS reading_no, epoch_us(ts) // 1000 AS at_ms, CASE event_type WHEN 'error' THEN 'critical' WHEN 'purchase' THEN 'warning' ELSE 'good' END AS status, floor(abs(value))::BIGINT AS reallocated FROM events)""",
     "act": """act AS (
-  SELECT event_id AS id, epoch_ms(ts) AS at_ms, event_type AS action, user_id % 5 + 1 AS volume_id, floor(abs(value) * 100)::BIGINT AS size, ['done', 'skipped_changed', 'skipped_missing', 'failed'][(event_id % 4 + 1)::INT] AS outcome FROM events)""",
+  SELECT event_id AS id, epoch_us(ts) // 1000 AS at_ms, event_type AS action, user_id % 5 + 1 AS volume_id, floor(abs(value) * 100)::BIGINT AS size, ['done', 'skipped_changed', 'skipped_missing', 'failed'][(event_id % 4 + 1)::INT] AS outcome FROM events)""",
     "vec": """vec AS (
   SELECT vec_id AS id, list_sum(list_transform(range(0, 63), lambda i: CASE WHEN embedding[i + 1] < embedding[i + 2] THEN (1::BIGINT << i::BIGINT) ELSE 0::BIGINT END))::BIGINT AS print FROM embeddings)""",
 }
