@@ -46,8 +46,8 @@ def hierarchy(entries: DataFrame, id: str = "id", parent: str = "parent_id", nam
         F.when(top, F.expr("CAST(array() AS ARRAY<BIGINT>)")).otherwise(F.array(F.col("parent").cast("long"))).alias("up"),
         F.when(top, F.col("id")).alias("root_id"), F.when(top, F.lit(0)).alias("depth"),
     )
-    step = scratch.save(step)
-    reached, ahead = step.where("done"), step.where("NOT done")
+    steps = [scratch.save(step)]
+    reached, ahead = steps[0].where("done"), steps[0].where("NOT done")
     left = ahead.count()
     while left:
         target = reached.unionByName(ahead).select(F.col("id").alias("jump"), F.struct("done", F.col("jump").alias("to"), "path", "up", "root_id", "depth").alias("t"))
@@ -65,8 +65,8 @@ def hierarchy(entries: DataFrame, id: str = "id", parent: str = "parent_id", nam
             F.when(loop, F.expr("array_min(slice(up, CAST(array_position(up, element_at(up, -1)) AS INT) + 1, size(up)))")).otherwise(t["root_id"]).alias("root_id"),
             F.when(loop | lost, F.lit(-1)).when(t["done"], F.size("up")).alias("depth"),
         )
-        step = scratch.save(j)
-        reached, ahead = reached.unionByName(step.where("done")), step.where("NOT done")
+        steps.append(scratch.save(j))
+        reached, ahead = scratch.together(*steps).where("done"), steps[-1].where("NOT done")
         left = ahead.count()
 
     more = []
