@@ -116,7 +116,7 @@ def mean_distance(a: Column, b: Column) -> Column:
 def normal_unc(c: Column) -> Column:
     """A share's path for comparison: backslashes, no device prefix, no blanks or separators around, folded."""
     s = F.regexp_replace(F.trim(c), "/", "\\\\")
-    s = F.regexp_replace(s, r"^\\\\\?\\(?i:UNC)\\", "\\\\\\\\\\\\\\\\")
+    s = F.regexp_replace(s, r"^\\\\\?\\(?i:UNC)\\", "\\\\\\\\")
     return fold(F.regexp_replace(s, r"\\+$", ""))
 
 

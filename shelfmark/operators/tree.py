@@ -6,13 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import fold, fold_text
+from ..shared import Scratch
 from .hierarchy import hierarchy
 
 
 def with_paths(entries: DataFrame) -> DataFrame:
-    """`entries` with path, depth and ancestors (top first); entries at loops are left out."""
+    """`entries` with path, depth and ancestors (top first); entries at loops are left out.
+
+    Written once as a table: whatever asks about paths, chains and subtrees scans it instead of walking the tree again.
+    """
     h = hierarchy(entries, below=False, ancestors=True).where("depth >= 0").select("id", "path", "depth", "ancestors")
-    return entries.join(h, "id")
+    return Scratch(entries.sparkSession, "paths").save(entries.join(h, "id"))
 
 
 def roll_up(paths: DataFrame) -> DataFrame:
