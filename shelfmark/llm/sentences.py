@@ -33,7 +33,7 @@ NEVER_LAST = set(
     # English
     "mr mrs ms dr prof st rev hon gen col capt lt sgt no nos vol vols fig figs sec secs ch pp p art approx e.g i.e vs cf min max incl excl dept est ed eds "
     # Italian
-    "sig sig.ra sigg dott dott.ssa ing avv arch on n nn pag pagg tav tavv ca es v cfr fasc "
+    "sig sig.ra sigg dott dott.ssa ing avv arch n nn pag pagg tav tavv ca es v cfr fasc "
     # German
     "hr fr frl nr bl bd abb abs kap s z.b d.h u.a bzw ca vgl evtl vermutl ggf ungef st dipl inkl exkl tel str zz zzt "
     # French
@@ -158,6 +158,10 @@ def pairs(s: str) -> dict[int, int]:
 def shape(t: str) -> str:
     if not t:
         return "none"
+    whole, t = t, t.rstrip(".,;:!?…)]\"") or t
+    m = re.match(r"([^\W\d_]{2,})\.([^\W\d_])", t)
+    if m and m[2].isupper():
+        t = m[1]  # two sentences without a blank between them
     c = t[0]
     if c.isdigit():
         return "digit"
@@ -174,7 +178,7 @@ def shape(t: str) -> str:
     if c.islower():
         return "lower" if word.islower() else "mixed"
     if len(word) == 1:
-        return "initial" if t[1:2] == "." else "single"
+        return "initial" if whole[1:2] == "." else "single"
     return "caps" if word.isupper() else "cap"
 
 
@@ -242,6 +246,8 @@ class Candidate:
             return 1 if r == "cap" else None
         if self.term == "dots":
             return 1 if r in ("cap", "single", "uncased") else None
+        if left == "no" and r != "digit":  # the word, not the abbreviation
+            return 1 if self.left[0] == "N" and (not self.before or self.before[-1] in ENDS) else None
         if never:
             return 0
         if w == "digit" and len(self.left) <= 3 and self.left.isdigit() and self.before.lower() in BEFORE_ORDINAL:
@@ -280,6 +286,8 @@ def candidates(s: str, lo: int, hi: int) -> list[Candidate]:
             continue
         if mark[0] in GREEK_QUESTION and not (i and t[i - 1].isalpha() and script(t[i - 1]) == "greek"):
             continue
+        if mark[-1] == "." and mark[0] not in STOPS and t[j : j + 1].isalnum():
+            j, mark = j - 1, mark[:-1]  # the period begins a name such as .draft.tmp
         # the marks that close with it, also after a space where a quotation is set with spaces
         closed, first = "", False
         k = j
