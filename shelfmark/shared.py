@@ -69,6 +69,12 @@ class Scratch:
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """`df`, spread over all cores if it comes in fewer partitions than there are: for work in Python on a scan, which takes far longer than the shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def small_side(df: DataFrame, rows: int, max_rows: int = 100_000) -> DataFrame:
     """`df` with a broadcast hint if its counted `rows` stay under `max_rows`; else `df`, for a shuffled join."""
     return F.broadcast(df) if rows <= max_rows else df
