@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import spread
 from .survivors import WHITE
 
 #: Marks that end a sentence, by kind; opening and closing marks in pairs.
@@ -423,10 +424,10 @@ def split(text: str, model: MaxEnt) -> list[tuple[int, int]]:
     return out
 
 
-def train(documents: DataFrame, id: str, text: str, sample: int = 3000, rows: int = 60_000) -> MaxEnt:
+def train(documents: DataFrame, id: str, text: str, sample: int = 3000, rows: int = 30_000) -> MaxEnt:
     """The model of a corpus, from at most `rows` reliable examples of the `sample` documents of least hash."""
     picked = documents.where(F.col(text).isNotNull() & F.col(id).isNotNull()).select(F.xxhash64(F.lit(41), id).alias("h"), F.col(id).alias("d"), F.col(text).alias("t"))
-    picked = picked.orderBy("h", "d", "t").limit(sample)
+    picked = picked.orderBy("h", "d", "t").limit(sample).repartition(documents.sparkSession.sparkContext.defaultParallelism, "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -439,7 +440,7 @@ def train(documents: DataFrame, id: str, text: str, sample: int = 3000, rows: in
     return MaxEnt().fit(got["f"].to_pylist(), got["y"].to_pylist())
 
 
-def sentences(documents: DataFrame, id: str = "doc_id", text: str = "text", sample: int = 3000, rows: int = 60_000) -> DataFrame:
+def sentences(documents: DataFrame, id: str = "doc_id", text: str = "text", sample: int = 3000, rows: int = 30_000) -> DataFrame:
     """`id, start_at, end_at` (BIGINT, code points, end exclusive) of every sentence of every text.
 
     Texts that are null, empty or of white space only have no rows; rows with a null id are left out; the same id
@@ -468,4 +469,4 @@ def sentences(documents: DataFrame, id: str = "doc_id", text: str = "text", samp
                 yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], names=["d", "start_at", "end_at"])
 
     rows_ = documents.where(F.col(id).isNotNull() & F.col(text).isNotNull()).select(F.col(id).alias("d"), F.col(text).alias("t"))
-    return rows_.mapInArrow(run, f"d {kind}, start_at long, end_at long").withColumnRenamed("d", id)
+    return spread(rows_, "d").mapInArrow(run, f"d {kind}, start_at long, end_at long").withColumnRenamed("d", id)
