@@ -35,11 +35,12 @@ def hierarchy(entries: DataFrame, id: str = "id", parent: str = "parent_id", nam
     nodes = entries.where(F.col(id).isNotNull()).groupBy(F.col(id).alias("id")).agg(one.alias("_r")).select("id", "_r.parent", "_r.name")
     kids = nodes.where(F.col("parent").isNotNull()).groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("kids"))
     nodes = scratch.save(nodes.join(kids, "id", "left").select("id", "parent", "name", F.coalesce("kids", F.lit(0)).alias("kids")))
+    n_nodes = nodes.count()  # from the files' footers
     folders = nodes.where(F.col("kids") > 0)
 
     # round 0: tops are reached, every other folder knows one step
     known = folders.select(F.col("id").alias("parent"), F.lit(True).alias("_known"))
-    known = lookup_join(folders, known, "parent", hot_rows=hot_rows)
+    known = lookup_join(folders, known, "parent", hot_rows=hot_rows, left_rows=n_nodes)
     top = F.col("_known").isNull()
     step = known.select(
         "id", "kids", top.alias("done"), F.when(~top, F.col("parent")).alias("jump"), F.col("name").alias("path"),
@@ -89,7 +90,7 @@ def hierarchy(entries: DataFrame, id: str = "id", parent: str = "parent_id", nam
         more.append(F.when(lost, F.lit(-1)).otherwise(F.lit(0)).cast("long").alias("n_below"))
     if ancestors:
         more.append(F.when(free | lost, F.expr("CAST(array() AS ARRAY<BIGINT>)")).otherwise(F.concat(F.reverse(t["up"]), F.array("parent"))).alias("ancestors"))
-    outer = lookup_join(leaves, over, "parent", hot_rows=hot_rows).select(
+    outer = lookup_join(leaves, over, "parent", hot_rows=hot_rows, left_rows=n_nodes).select(
         "id", F.coalesce(t["root_id"], F.col("id")).cast("long").alias("root_id"), F.when(free, F.lit(0)).when(lost, F.lit(-1)).otherwise(t["depth"] + 1).cast("long").alias("depth"),
         F.when(free, F.col("name")).when(lost, F.lit("")).otherwise(_joined(t["path"], F.col("name"))).alias("path"), *more,
     )
