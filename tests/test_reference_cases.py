@@ -165,3 +165,44 @@ def test_volume_matching(spark):
     det = spark.createDataFrame([(10, "fixed", None, 5, "NTFS", "{G2}", 100), (11, "fixed", None, 5, "NTFS", None, 100), (12, "network", "//NAS/A/", None, None, None, 9), (13, "fixed", None, 6, "NTFS", None, 1)], S)
     got = {r["det"]: (r["decision"], r["id"]) for r in volumes.match(det, known).collect()}
     assert got == {10: ("known", 2), 11: ("known", 1), 12: ("known", 3), 13: ("new", None)}
+
+
+def test_treemap_budget_and_rest(spark):
+    from shelfmark.operators.space import treemap
+
+    rows = [(1, None, "", True, None, 100), (2, 1, "a", True, None, 70), (3, 1, "b", False, 30, None), (4, 2, "c", False, 40, None), (5, 2, "d", False, 20, None), (6, 2, "e", False, 10, None)]
+    t = spark.createDataFrame(rows, "id long, parent_id long, name string, is_dir boolean, size long, total long")
+    assert [(r[0], r[3], r[5]) for r in treemap(t, 1, 5)] == [(1, 100, 0), (2, 70, 1), (3, 30, 1), (4, 40, 2), (5, 20, 2), (None, 10, 2)]
+    assert [r[0] for r in treemap(t, 1, 100, 0.25)] == [1, 2, 3, 4, None] and treemap(t, 99, 5) == []
+
+
+def test_crc32(spark):
+    import zlib
+
+    assert one(spark, "naïve", lambda c: F.crc32(c.cast("binary"))) == zlib.crc32("naïve".encode())
+
+
+def test_hot_keys_join_like_cold_ones(spark):
+    from shelfmark.shared import lookup_join
+
+    left = spark.createDataFrame([(i % 7 if i % 3 else 1, i) for i in range(100)] + [(None, -1), (50, -2)], "k long, v long")
+    right = spark.createDataFrame([(i, f"r{i}") for i in range(7)], "k long, w string")
+    for how in ("left", "inner"):
+        want = sorted(map(tuple, left.join(right, "k", how).collect()), key=str)
+        assert sorted(map(tuple, lookup_join(left, right, "k", how, hot_rows=5).select("k", "v", "w").collect()), key=str) == want
+
+
+def test_empty_tables(spark):
+    from shelfmark.operators import actions, content, space
+
+    e = spark.createDataFrame([], "id long, volume_id long, parent_id long, name string, is_dir boolean, size long, alloc_size long, attrs long, modified_ms long")
+    p = tree.with_paths(e)
+    assert p.count() == 0 and tree.roll_up(p).count() == 0 and space.largest_files(e, 5).count() == 0
+    assert {(r["what"], r["files"]) for r in space.type_stats(e, 3).collect()} >= {("total", 0), ("category", 0), ("band", 0), ("other_extensions", 0)}
+    s = spark.createDataFrame([], "rel string, size long, modified long, full string")
+    assert backup.verify(s, s).count() == 0 and backup.compare_contents(s, s).count() == 0 and backup.coverage(backup.verify(s, s)).first()["files_percent"] == 100
+    log = spark.createDataFrame([], "id long, at_ms long, action string, volume_id long, size long, outcome string")
+    assert actions.batches(log).count() == 0
+    assert similar.near_prints(spark.createDataFrame([], "id long, print long"), 6).count() == 0 and similar.linked(spark.createDataFrame([], "a long, b long")).count() == 0
+    h = content.with_hashes(spark.createDataFrame([], "id long, volume_id long, size long, modified long, attrs long"), spark.createDataFrame([], "entry_id long, size long, modified long, quick string, full string"))
+    assert content.passes(h).count() == 0
