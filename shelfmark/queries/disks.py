@@ -176,15 +176,15 @@ def paths(spark, d):
     return tree.with_paths(fixtures.tree(spark, d))
 
 
-@query("f11_excluded", sql("path", "SELECT id FROM path WHERE list_has_any(string_split(upper(path), chr(92)), ['CHINA', 'PERU']) OR upper(path) = 'JAPAN' OR starts_with(upper(path), 'JAPAN' || chr(92))"))
+@query("f11_excluded", sql("path", "SELECT id FROM path WHERE list_has_any(string_split(upper(path), chr(92)), ['NATION_12', 'NATION_6']) OR upper(path) = 'NATION_7' OR starts_with(upper(path), 'NATION_7' || chr(92))"))
 def f11(spark, d):
-    return C.excluded(paths(spark, d), ["China", "peru"], ["Japan"]).select("id")
+    return C.excluded(paths(spark, d), ["Nation_12", "nation_6"], ["Nation_7"]).select("id")
 
 
-@query("f12_protected", sql("path", r"SELECT id FROM path WHERE regexp_matches(upper(path), '^(KENYA(\\|$)|FRANCE\\[^\\]+\\ORDER_1)')"))
+@query("f12_protected", sql("path", r"SELECT id FROM path WHERE regexp_matches(upper(path), '^(NATION_5(\\|$)|NATION_3\\[^\\]+\\ORDER_1)')"))
 def f12(spark, d):
     p = paths(spark, d)
-    return p.where(C.protected(c("path"), ["kenya"]) | c("path").rlike(r"(?i)^france\\[^\\]+\\order_1")).select("id")
+    return p.where(C.protected(c("path"), ["nation_5"]) | c("path").rlike(r"(?i)^nation_3\\[^\\]+\\order_1")).select("id")
 
 
 @query("f13_program_folders", sql("path", "SELECT DISTINCT p.id FROM path p, (SELECT DISTINCT parent_id FROM tree WHERE name LIKE '%7.zip') x WHERE list_contains(p.chain, x.parent_id) AND x.parent_id > 5"))
@@ -194,12 +194,12 @@ def f13(spark, d):
 
 
 @query("g01_cleanup", sql("stats", """, o AS (SELECT t.*, p.path FROM tree t JOIN path p USING (id))
-SELECT 'temp' AS category, id, path, size FROM o WHERE NOT is_dir AND volume_id = 1 AND starts_with(upper(path), 'KENYA' || chr(92)) AND modified_ms < epoch_ms(TIMESTAMP '1997-01-01')
-UNION ALL SELECT 'empty_folders', o.id, o.path, s.total_size FROM o JOIN stats s ON s.entry_id = o.id JOIN tree q ON q.id = o.parent_id LEFT JOIN stats qs ON qs.entry_id = q.id WHERE o.volume_id = 1 AND s.file_count = 0 AND (q.parent_id IS NULL OR qs.file_count > 0) AND NOT starts_with(upper(o.path), 'ETHIOPIA' || chr(92))
-UNION ALL SELECT 'large_old', id, path, size FROM o WHERE NOT is_dir AND volume_id = 1 AND size >= 30000000 AND modified_ms < epoch_ms(TIMESTAMP '1996-01-01') AND NOT starts_with(upper(path), 'ETHIOPIA' || chr(92)) AND NOT starts_with(upper(path), 'KENYA' || chr(92))"""))
+SELECT 'temp' AS category, id, path, size FROM o WHERE NOT is_dir AND volume_id = 1 AND starts_with(upper(path), 'NATION_5' || chr(92)) AND modified_ms < epoch_ms(TIMESTAMP '1997-01-01')
+UNION ALL SELECT 'empty_folders', o.id, o.path, s.total_size FROM o JOIN stats s ON s.entry_id = o.id JOIN tree q ON q.id = o.parent_id LEFT JOIN stats qs ON qs.entry_id = q.id WHERE o.volume_id = 1 AND s.file_count = 0 AND (q.parent_id IS NULL OR qs.file_count > 0) AND NOT starts_with(upper(o.path), 'NATION_10' || chr(92))
+UNION ALL SELECT 'large_old', id, path, size FROM o WHERE NOT is_dir AND volume_id = 1 AND size >= 30000000 AND modified_ms < epoch_ms(TIMESTAMP '1996-01-01') AND NOT starts_with(upper(path), 'NATION_10' || chr(92)) AND NOT starts_with(upper(path), 'NATION_5' || chr(92))"""))
 def g01(spark, d):
     t = paths(spark, d).where("volume_id = 1")
-    return C.scan(t, tree.roll_up(t), temp=["Kenya"], temp_before=852_076_800_000, large=30_000_000, large_before=820_454_400_000, keep=["ethiopia"]).select("category", "id", "path", "size")
+    return C.scan(t, tree.roll_up(t), temp=["Nation_5"], temp_before=852_076_800_000, large=30_000_000, large_before=820_454_400_000, keep=["nation_10"]).select("category", "id", "path", "size")
 
 
 @query("a10_cleanup_totals", sql("stats", "SELECT 'empty_folders' AS category, count(*) AS items, sum(s.total_size)::BIGINT AS bytes FROM tree o JOIN stats s ON s.entry_id = o.id JOIN tree q ON q.id = o.parent_id LEFT JOIN stats qs ON qs.entry_id = q.id WHERE s.file_count = 0 AND (q.parent_id IS NULL OR qs.file_count > 0)"))
@@ -221,12 +221,12 @@ def o08(spark, d):
     return C.large_old(e, "modified_at", 1_000_000, 132_000_000_000_000_000).select("id", "size")
 
 
-@query("j25_browser_caches", sql("path", "SELECT p.id, p.path FROM path p JOIN tree t USING (id) WHERE t.is_dir AND p.depth = 2 AND t.volume_id = 2 AND right(upper(t.name), 1) IN ('7', '9') AND starts_with(upper(p.path), 'PERU' || chr(92))"))
+@query("j25_browser_caches", sql("path", "SELECT p.id, p.path FROM path p JOIN tree t USING (id) WHERE t.is_dir AND p.depth = 2 AND t.volume_id = 2 AND right(upper(t.name), 1) IN ('7', '9') AND starts_with(upper(p.path), 'NATION_6' || chr(92))"))
 def j25(spark, d):
     """Cache folders below a browser's folder, by their fixed names (here by the names of the derived folders)."""
     p = paths(spark, d)
     wanted = p.where("is_dir AND depth = 2 AND right(name, 1) IN ('7', '9')").select("name").distinct()
-    return C.known_children(p.where("volume_id = 2"), "peru", wanted).select("id", "path")
+    return C.known_children(p.where("volume_id = 2"), "nation_6", wanted).select("id", "path")
 
 
 # ---- health -----------------------------------------------------------------------------------------------------
@@ -479,3 +479,10 @@ def x17(spark, d):
     e = table(spark, d, "entries").where(~c("name").contains("ß")).select("id", N.fold(c("name")).alias("n")).distinct().where(F.char_length("n") >= 3)
     grams = F.transform(F.sequence(F.lit(1), F.char_length("n") - 2), lambda i: F.substring("n", i, F.lit(3)))
     return e.select("id", F.explode(F.array_distinct(grams)).alias("gram")).groupBy("gram").agg(F.count("*").alias("names")).where("names >= 50")
+
+
+@query("o10_cards_order", f"SELECT id, row_number() OVER (ORDER BY CASE WHEN online THEN 0 ELSE 1 END, upper({NAME}), id) AS pos FROM volumes")
+def o10(spark, d):
+    """Cards in their order: connected ones first, then by name; volumes are a handful of rows."""
+    v = vols(spark, d).select("id", "online", N.fold(V.display_name()).alias("k"))
+    return v.select("id", F.row_number().over(Window.orderBy(F.when(c("online"), 0).otherwise(1), "k", "id")).cast("long").alias("pos"))

@@ -368,3 +368,10 @@ def u03(spark, d):
 def b02(spark, d):
     free = table(spark, d, "volumes").where("free_space IS NOT NULL").select(c("id").alias("volume_id"), "free_space")
     return backup.copy_preview(fixtures.content_files(spark, d), free)
+
+
+@query("c15_print_of_pixels", "SELECT doc_id, (CASE WHEN h >= 9223372036854775808::HUGEINT THEN h - 18446744073709551616::HUGEINT ELSE h END)::BIGINT AS print FROM (SELECT doc_id, list_sum(list_transform(range(64), lambda i: CASE WHEN (doc_id * (i + i // 8 + 1) * 7919) % 256 < (doc_id * (i + i // 8 + 2) * 7919) % 256 THEN (1::HUGEINT << (63 - i)::HUGEINT) ELSE 0::HUGEINT END)) AS h FROM documents)")
+def c15(spark, d):
+    """Prints of 72 gray values each, derived from the ids of documents."""
+    grays = F.transform(F.sequence(F.lit(1), F.lit(72)), lambda k: c("doc_id") * k * 7919 % 256)
+    return table(spark, d, "documents").select("doc_id", similar.print_of_pixels(grays).alias("print"))

@@ -145,9 +145,9 @@ def s11(spark, d):
     return roots.select("id", "volume_id", "name").unionByName(kids.select("id", "volume_id", "name"))
 
 
-@query("s12_child_by_name", sql("tree", "SELECT id, name FROM tree WHERE parent_id = 3 AND upper(name) = 'CHINA' ORDER BY name = 'China' DESC, name, id LIMIT 1"))
+@query("s12_child_by_name", sql("tree", "SELECT id, name FROM tree WHERE parent_id = 3 AND upper(name) = 'NATION_12' ORDER BY name = 'Nation_12' DESC, name, id LIMIT 1"))
 def s12(spark, d):
-    return tree.child_by_name(fixtures.tree(spark, d), 3, "China").select("id", "name")
+    return tree.child_by_name(fixtures.tree(spark, d), 3, "Nation_12").select("id", "name")
 
 
 @query("s13_volume_by_mount", "SELECT id, kind FROM volumes WHERE upper(last_mount) IN ('C:' || chr(92), 'G:' || chr(92))")
@@ -372,9 +372,9 @@ def f07(spark, d):
     return searched(spark, d, "disk:lab online:yes is:folder").select("id")
 
 
-@query("f08_search_path", sql("path", "SELECT t.id FROM tree t JOIN path p ON p.id = t.parent_id WHERE contains(upper(p.path), 'CHINA') AND contains(upper(t.name), 'ORDER_1')"))
+@query("f08_search_path", sql("path", "SELECT t.id FROM tree t JOIN path p ON p.id = t.parent_id WHERE contains(upper(p.path), 'NATION_12') AND contains(upper(t.name), 'ORDER_1')"))
 def f08(spark, d):
-    return searched(spark, d, "path:china order_1", True).select("id")
+    return searched(spark, d, "path:nation_12 order_1", True).select("id")
 
 
 @query("f09_search_regex", sql("ent", r"SELECT id FROM ent WHERE parent_id IS NOT NULL AND regexp_matches(upper(name), '^SCAN[ _-]?\d+\.PDF$')"))
@@ -417,3 +417,34 @@ def p05(spark, d):
     p = paths(spark, d)
     best = S.ranked(searched(spark, d, "customer", True), 50)
     return S.hits(best, p, table(spark, d, "volumes"), tree.roll_up(p)).select("id", "folder", "kind", "size", "disk", "online")
+
+
+@query("proj01_display_size", sql("ent dst", "SELECT e.id, CASE WHEN is_dir THEN coalesce(total_size, 0) ELSE size END AS size FROM ent e LEFT JOIN dst ON entry_id = e.id WHERE parent_id IS NOT NULL"))
+def proj01(spark, d):
+    return space.folder_items(entries(spark, d), stats(spark, d)).select("id", "size")
+
+
+@query("proj06_full_path", sql("path", "SELECT t.id, rtrim(v.last_mount, chr(92)) || chr(92) || p.path AS full_path FROM path p JOIN tree t USING (id) JOIN volumes v ON v.id = t.volume_id WHERE v.last_mount IS NOT NULL AND t.is_dir"))
+def proj06(spark, d):
+    v = table(spark, d, "volumes").where("last_mount IS NOT NULL").select(c("id").alias("volume_id"), F.regexp_replace("last_mount", r"\\+$", "").alias("m"))
+    return paths(spark, d).where("is_dir").join(v, "volume_id").select("id", F.concat("m", F.lit("\\"), N.decode_name(c("path"))).alias("full_path"))
+
+
+@query("a13_counters", sql("ent dst", "SELECT 'entries' AS what, count(*) AS n FROM ent UNION ALL SELECT 'folders', count(*) FILTER (is_dir) FROM ent UNION ALL SELECT 'bytes', sum(size) FILTER (NOT is_dir)::BIGINT FROM ent UNION ALL SELECT 'folder_totals', count(*) FROM dst"))
+def a13(spark, d):
+    g = entries(spark, d).agg(F.count("*").alias("entries"), F.count_if("is_dir").alias("folders"), F.sum(F.when(~c("is_dir"), c("size"))).alias("bytes"))
+    return g.unpivot([], ["entries", "folders", "bytes"], "what", "n").unionByName(stats(spark, d).agg(F.count("*").alias("n")).select(F.lit("folder_totals").alias("what"), "n"))
+
+
+@query("x01_contained", sql("path", "SELECT id FROM path WHERE upper(path) IN ('NATION_1', 'NATION_6') OR starts_with(upper(path), 'NATION_1' || chr(92)) OR starts_with(upper(path), 'NATION_6' || chr(92))"))
+def x01(spark, d):
+    """Entries at or below one of the allowed folders; whole names, so `Nation_12` is outside."""
+    from ..operators.cleanup import protected
+
+    p = paths(spark, d)
+    return p.where(protected(c("path"), ["Nation_1", "nation_6"])).select("id")
+
+
+@query("u01_recursive_union", sql("tree", ", sub AS (SELECT id FROM tree WHERE id = 2 UNION ALL SELECT t.id FROM sub JOIN tree t ON t.parent_id = sub.id) SELECT id FROM sub"))
+def u01(spark, d):
+    return tree.subtree(paths(spark, d), 2).select("id")
