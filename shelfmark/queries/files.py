@@ -328,9 +328,9 @@ def f15(spark, d):
     return v.where((c("evidence") == "missing") & (c("size") >= 10) & F.contains(N.fold(c("rel")), F.lit("X1"))).select("rel", "size")
 
 
-@query("u02_not_in_backup", SIDES + 'SELECT size, "full" FROM a WHERE "full" IS NOT NULL EXCEPT SELECT size, "full" FROM b')
+@query("u02_not_in_backup", SIDES + 'SELECT rel, "full" FROM a WHERE "full" IS NOT NULL EXCEPT SELECT rel, "full" FROM b')
 def u02(spark, d):
-    key = ["size", "full"]
+    key = ["rel", "full"]
     return side(spark, d, 0).where("full IS NOT NULL").select(*key).subtract(side(spark, d, 1).select(*key))
 
 

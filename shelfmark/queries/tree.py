@@ -96,9 +96,9 @@ def c17(spark, d):
     return table(spark, d, "volumes").where("unc_path IS NOT NULL").select("id", N.normal_unc(u).alias("normal"), N.unc_server(u).alias("server"), N.unc_share(u).alias("share"))
 
 
-@query("c18_relative_under", "SELECT entry_id, path, trim(substr(path, 8), chr(92)) AS rest FROM (SELECT DISTINCT * FROM dup_files) WHERE upper(left(replace(path, '/', chr(92)), 8)) = 'PARTS 7' || chr(92)".replace("path, trim(substr(path, 8)", "path, trim(substr(replace(path, '/', chr(92)), 8)"))
+@query("c18_relative_under", "SELECT entry_id, path, trim(substr(replace(path, '/', chr(92)), 7), chr(92)) AS rest FROM (SELECT DISTINCT * FROM dup_files) WHERE upper(left(replace(path, '/', chr(92)), 7)) = 'ALBUM0' || chr(92)")
 def c18(spark, d):
-    df = table(spark, d, "dup_files").distinct().select("entry_id", "path", N.relative_under(c("path"), "parts 7").alias("rest"))
+    df = table(spark, d, "dup_files").distinct().select("entry_id", "path", N.relative_under(c("path"), "album0").alias("rest"))
     return df.where(c("rest").isNotNull() & (c("rest") != ""))
 
 
