@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -156,6 +157,7 @@ def pairs(s: str) -> dict[int, int]:
     return done
 
 
+@lru_cache(1 << 16)
 def shape(t: str) -> str:
     if not t:
         return "none"
@@ -344,10 +346,15 @@ def _right(t: str, i: int) -> tuple[str, str]:
     return tail[0][:30], tail[1][:30] if len(tail) > 1 else ""
 
 
-def hashed(features: list[str]) -> np.ndarray:
+@lru_cache(1 << 17)
+def place(feature: str) -> int:
     import xxhash
 
-    return np.array([xxhash.xxh32_intdigest(f) & ((1 << BITS) - 1) for f in features], np.int64)
+    return xxhash.xxh32_intdigest(feature) & ((1 << BITS) - 1)
+
+
+def hashed(features: list[str]) -> np.ndarray:
+    return np.array([place(f) for f in features], np.int64)
 
 
 class MaxEnt:
