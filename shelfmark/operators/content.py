@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import local_content
+from ..shared import numbered
 
 
 def quick_hash(content: Column, ends: int = 65_536) -> Column:
@@ -42,11 +43,25 @@ def shared_quick(hashed: DataFrame) -> DataFrame:
     return hashed.where("quick IS NOT NULL").groupBy("size", "quick").agg(F.count("*").alias("n")).where("n > 1")
 
 
-def full_work(hashed: DataFrame) -> DataFrame:
-    """Files without a valid full hash in the order of the pass: candidates largest first, then the others smallest first."""
+def full_pending(hashed: DataFrame) -> DataFrame:
+    """`id, size, candidate`: files without a valid full hash, and whether another file shares their size and quick hash."""
     c = shared_quick(hashed).select("size", "quick", F.lit(True).alias("candidate"))
-    w = workable(hashed).where("full IS NULL").join(c, ["size", "quick"], "left").select("id", "size", F.coalesce("candidate", F.lit(False)).alias("candidate"))
-    return w.orderBy(F.col("candidate").desc(), F.when(F.col("candidate"), -F.col("size")).otherwise(F.col("size")), "id")
+    return workable(hashed).where("full IS NULL").join(c, ["size", "quick"], "left").select("id", "size", F.coalesce("candidate", F.lit(False)).alias("candidate"))
+
+
+def full_order() -> list[Column]:
+    """Candidates largest first, then the others smallest first, ties by id."""
+    return [F.col("candidate").desc(), F.when(F.col("candidate"), -F.col("size")).otherwise(F.col("size")).asc(), F.col("id").asc()]
+
+
+def full_work(hashed: DataFrame) -> DataFrame:
+    """Files without a valid full hash in the order of the pass."""
+    return full_pending(hashed).orderBy(*full_order())
+
+
+def hash_order(hashed: DataFrame) -> DataFrame:
+    """`id, pos`: the place of every pending file in the full pass, from 1."""
+    return numbered(full_pending(hashed), full_order(), "pos").select("id", "pos")
 
 
 def progress(hashed: DataFrame, by: str = "volume_id") -> DataFrame:

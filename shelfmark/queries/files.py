@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import fixtures
@@ -77,10 +76,8 @@ def j05(spark, d):
 
 @query("w10_hash_order", sql("doc", HASHED + 'SELECT id, row_number() OVER (ORDER BY cand DESC, CASE WHEN cand THEN -size ELSE size END, id) AS pos FROM (SELECT id, size, quick IS NOT NULL AND (size, quick) IN (SELECT (size, quick) FROM sq) AS cand FROM w WHERE "full" IS NULL) QUALIFY pos <= 500'))
 def w10(spark, d):
-    """The first 500 files of the full pass."""
-    f = content.full_work(hashed(spark, d)).limit(500)
-    by = [c("candidate").desc(), F.when(c("candidate"), -c("size")).otherwise(c("size")), c("id")]
-    return f.withColumn("pos", F.row_number().over(Window.orderBy(*by)).cast("long")).select("id", "pos")
+    """The place of every pending file in the full pass."""
+    return content.hash_order(hashed(spark, d))
 
 
 @query("a04_shared_quick", sql("doc", HASHED + "SELECT size, quick, n FROM sq"))

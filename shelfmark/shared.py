@@ -10,7 +10,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _LOCAL: str | None = None
@@ -75,6 +75,21 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
 
 
+def numbered(df: DataFrame, by: list[Column], to: str) -> DataFrame:
+    """`df` with the place of each row in the order `by`, from 1.
+
+    Rows are range-partitioned, numbered within their partition and moved by the sizes of the partitions before it. The
+    partitions are written once, as a second sampling could cut them elsewhere; only one row per partition meets in a
+    window.
+    """
+    at = F.col("_at")
+    parts = Scratch(df.sparkSession, "numbered").save(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()))
+    parts = parts.withColumns({"_part": F.shiftright(at, 33), "_n": at.bitwiseAND((1 << 33) - 1)})
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_rows"))
+    before = sizes.select("_part", (F.sum("_rows").over(Window.orderBy("_part")) - F.col("_rows")).alias("_before"))
+    return parts.join(F.broadcast(before), "_part").withColumn(to, F.col("_before") + F.col("_n") + 1).drop("_at", "_part", "_n", "_before")
+
+
 def small_side(df: DataFrame, rows: int, max_rows: int = 100_000) -> DataFrame:
     """`df` with a broadcast hint if its counted `rows` stay under `max_rows`; else `df`, for a shuffled join."""
     return F.broadcast(df) if rows <= max_rows else df
