@@ -121,20 +121,54 @@ def canonical(paths: DataFrame) -> DataFrame:
     return paths.select("volume_id", "path", "is_dir", F.when(F.col("is_dir"), 0).otherwise(F.col("size")).alias("size"), F.when(~F.col("is_dir"), F.col("modified_ms")).alias("modified_ms"))
 
 
-def problems(entries: DataFrame, stats: DataFrame) -> DataFrame:
+def reduced(rows: DataFrame) -> DataFrame:
+    """One row per id, as in `hierarchy`: of different rows with one id the greatest (parent, name, the rest) holds."""
+    rest = [n for n in rows.columns if n not in ("id", "parent_id", "name")]
+    return rows.where("id IS NOT NULL").groupBy("id").agg(F.max(F.struct("parent_id", "name", *rest)).alias("_r")).select("id", "_r.*")
+
+
+def stats_differ(entries: DataFrame, stats: DataFrame) -> DataFrame:
+    """Ids of folders with stored totals other than those recomputed from the entries below them.
+
+    As in the reference only folders reached from a root are recomputed, over entries whose parent is a folder of their
+    volume; sizes of folders themselves don't count. Of several stored rows of a folder all must be right.
+    """
+    c = F.col
+    p = entries.where("is_dir").select(c("id").alias("parent_id"), c("volume_id").alias("p_vol"))
+    hung = entries.join(p, "parent_id").where("p_vol = volume_id")
+    own = lambda n: F.when(c("is_dir"), 0).otherwise(c(n)).cast("long").alias(n)
+    cols = ["id", "parent_id", "volume_id", "name", "is_dir", own("size"), own("alloc_size")]
+    roots = entries.where("parent_id IS NULL")
+    paths = with_paths(roots.select(*cols).unionByName(hung.select(*cols)).where("is_dir"))
+    tops = roots.select(c("id").alias("top"))
+    reached = paths.withColumn("top", F.coalesce(F.get("ancestors", F.lit(0)), "id")).join(tops, "top", "left_semi").drop("top")
+    reached = reached.unionByName(hung.where("NOT is_dir").select(*cols), allowMissingColumns=True)  # a file counts through its folder and needs no path
+    names = ["total_size", "total_alloc", "file_count", "dir_count"]
+    right = roll_up(reached).select(c("entry_id").alias("id"), *[c(n).alias(f"_{n}") for n in names])
+    same = F.lit(True)
+    for n in names:
+        same = same & c(n).eqNullSafe(c(f"_{n}"))
+    return stats.select(c("entry_id").alias("id"), *names).join(right, "id").where(~same).select("id").distinct()
+
+
+def problems(rows: DataFrame, stats: DataFrame) -> DataFrame:
     """`problem, id`: every entry that breaks a rule of the tree.
 
     duplicate_id, two_roots, root_name, no_parent, parent_is_file, other_volume, same_name, no_stats, file_stats,
-    parked_name, loop. The id of a problem of several entries is the least.
+    stats_differ, parked_name, loop. The id of a problem of several entries is the least. `rows` and `stats` come as
+    they are stored: repeated rows count once, different rows with one id are a duplicate_id, and the rules are then
+    checked with one of them.
     """
     c = F.col
-    e = entries.where("id IS NOT NULL")
+    rows = rows.where("id IS NOT NULL").distinct()
+    e = Scratch(rows.sparkSession, "problems").save(reduced(rows))
     p = e.select(c("id").alias("pid"), c("is_dir").alias("p_dir"), c("volume_id").alias("p_vol"))
     j = e.where("parent_id IS NOT NULL").join(p, c("parent_id") == c("pid"), "left")
     roots = e.where("parent_id IS NULL")
     s = stats.select(c("entry_id").alias("id")).distinct()
     say = lambda df, what: df.select(F.lit(what).alias("problem"), "id")
     found = [
+        say(rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1"), "duplicate_id"),
         say(roots.groupBy("volume_id").agg(F.min("id").alias("id"), F.count("*").alias("n")).where("n > 1"), "two_roots"),
         say(roots.where("name <> ''"), "root_name"),
         say(j.where("pid IS NULL"), "no_parent"),
@@ -143,6 +177,7 @@ def problems(entries: DataFrame, stats: DataFrame) -> DataFrame:
         say(e.where("parent_id IS NOT NULL").groupBy("parent_id", "name").agg(F.min("id").alias("id"), F.count("*").alias("n")).where("n > 1"), "same_name"),
         say(e.where("is_dir").join(s, "id", "left_anti"), "no_stats"),
         say(e.where("NOT is_dir").join(s, "id", "left_semi"), "file_stats"),
+        say(stats_differ(e, stats), "stats_differ"),
         say(e.where(c("name").startswith("\u0001")), "parked_name"),
         say(hierarchy(e, below=False).where("depth < 0"), "loop"),
     ]

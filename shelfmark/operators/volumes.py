@@ -53,32 +53,54 @@ def candidates(detected: DataFrame, known: DataFrame) -> DataFrame:
     return nets.unionByName(serial).unionByName(guid)
 
 
-def match(detected: DataFrame, known: DataFrame) -> DataFrame:
-    """`det, decision, id`: known (with the volume's id), new, or ambiguous (ids null).
+def decided(detected: DataFrame, known: DataFrame) -> dict[int, tuple[str, int | None, list[int]]]:
+    """Per detected id: known (with the volume's id), new, or ambiguous (with the candidates among which the user chooses).
 
     One volume with the same GUID, or else one of the same capacity, is the one; volumes confirmed by GUID are given
-    away first, each only once, in the order of detected ids. Detected and known volumes are a handful of disks, so
-    the giving away runs on the driver over their candidates.
+    away first, each only once, in the order of detected ids. A share at an unknown address may be a share of that name
+    on another server that isn't connected. Detected and known volumes are a handful of disks, so the giving away runs
+    on the driver over their candidates.
     """
-    spark = detected.sparkSession
     by: dict[int, list] = {r["id"]: [] for r in detected.select("id").orderBy("id").collect()}
     for r in candidates(detected, known).collect():
         by[r["det"]].append(r)
-    done: dict[int, tuple[str, int | None]] = {}
+    done: dict[int, tuple[str, int | None, list[int]]] = {}
     taken: set[int] = set()
     for strong in (True, False):
         for det, all_ in by.items():
             if det in done:
                 continue
             c = [r for r in all_ if r["id"] not in taken]
-            same = [r for r in c if r["guid"] and not r["net"]] or ([r for r in c if r["capacity_ok"]] if c and not c[0]["net"] else c)
-            verdict = ("new", None) if not c else ("known", same[0]["id"]) if len(same) == 1 else ("ambiguous", None)
+            same = [r for r in c if r["guid"] and not r["net"]]
+            if len(same) != 1:
+                same = [r for r in c if r["capacity_ok"]] if c and not c[0]["net"] else c
+            verdict = ("new", None, []) if not c else ("known", same[0]["id"], []) if len(same) == 1 else ("ambiguous", None, sorted(r["id"] for r in same or c))
             if strong and not (verdict[0] == "known" and same[0]["guid"]):
                 continue
             if verdict[0] == "known":
                 taken.add(verdict[1])
             done[det] = verdict
-    return spark.createDataFrame([(d, v, i) for d, (v, i) in done.items()], "det long, decision string, id long")
+    moved: dict[int, list[int]] = {}
+    shares = known.where("kind = 'network'")
+    if "status" in known.columns:
+        shares = shares.where("status IS DISTINCT FROM 'ignored'")
+    for r in moved_shares(detected.where("kind = 'network'"), shares).collect():
+        if r["id"] not in taken and done[r["det"]][0] == "new":
+            moved.setdefault(r["det"], []).append(r["id"])
+    return done | {det: ("ambiguous", None, sorted(ids)) for det, ids in moved.items()}
+
+
+def match(detected: DataFrame, known: DataFrame) -> DataFrame:
+    """`det, decision, id`: known (with the volume's id), new, or ambiguous (ids null)."""
+    return detected.sparkSession.createDataFrame([(d, v, i) for d, (v, i, _) in decided(detected, known).items()], "det long, decision string, id long")
+
+
+def ambiguous(detected: DataFrame, known: DataFrame) -> DataFrame:
+    """One row per candidate of each ambiguous detected volume, as shown for the choice: det, volume_id, name, location, mount, path, capacity."""
+    rows = [(d, i) for d, (_, _, ids) in decided(detected, known).items() for i in ids]
+    choice = detected.sparkSession.createDataFrame(rows, "det long, id long")
+    location = F.when(F.trim("location") != "", F.col("location")).alias("location")
+    return choice.join(known, "id").select("det", F.col("id").alias("volume_id"), display_name().alias("name"), location, F.col("last_mount").alias("mount"), F.col("unc_path").alias("path"), "capacity")
 
 
 def moved_shares(detected: DataFrame, known: DataFrame) -> DataFrame:

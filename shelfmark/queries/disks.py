@@ -118,6 +118,12 @@ def x10(spark, d):
     return vols(spark, d).where("disk_key IS NOT NULL").groupBy("disk_key").agg(F.count("*").alias("volumes"), F.min("id").alias("first_id"))
 
 
+@query("x10_candidates")
+def x10b(spark, d):
+    """The catalogued volumes among which the user chooses for each ambiguous one."""
+    return V.ambiguous(detected(spark, d), vols(spark, d))
+
+
 @query("j17_delta", "WITH a AS (SELECT id, last_mount AS m FROM volumes WHERE id % 4 <> 0), b AS (SELECT id, CASE WHEN id % 3 = 0 THEN 'X:' ELSE last_mount END AS m FROM volumes WHERE id % 5 <> 0) SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'came' WHEN b.id IS NULL THEN 'left' WHEN a.m IS DISTINCT FROM b.m THEN 'moved' ELSE 'same' END AS change FROM a FULL JOIN b USING (id)")
 def j17(spark, d):
     v = vols(spark, d)

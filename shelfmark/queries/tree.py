@@ -282,7 +282,7 @@ UNION ALL SELECT DISTINCT 'loop', start FROM loops WHERE start = above OR above
     ),
 )
 def q02(spark, d):
-    return tree.problems(entries(spark, d), stats(spark, d))
+    return tree.problems(table(spark, d, "entries"), table(spark, d, "dir_stats"))
 
 
 # ---- space ------------------------------------------------------------------------------------------------------

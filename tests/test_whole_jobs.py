@@ -19,3 +19,35 @@ def test_hash_order_has_every_pending_file(spark, tmp_path):
     want = {id: pos for pos, (_, _, id) in enumerate(sorted(pending), 1)}
     got = [(r["id"], r["pos"]) for r in queries.all_queries()["w10_hash_order"](spark, str(tmp_path)).collect()]
     assert len(want) > 500 and len(got) == len(want) and dict(got) == want
+
+
+def test_problems_have_wrong_totals_and_double_ids(spark, tmp_path):
+    E = "id long, volume_id long, parent_id long, name string, is_dir boolean, size long, alloc_size long"
+    rows = [
+        (1, 1, None, "", True, 0, 0), (2, 1, 1, "a", True, 7, 7), (3, 1, 2, "f", False, 10, 16), (4, 1, 2, "g", False, 5, None), (5, 1, 1, "b", True, 0, 0),
+        (6, 1, 5, "h", False, 1, 1), (6, 1, 5, "i", False, 1, 1), (7, 2, 5, "other", True, 0, 0), (8, 2, 7, "k", False, 3, 3), (9, 1, 99, "lost", True, 0, 0),
+    ]
+    right = [(1, 16, 22, 3, 2), (2, 15, 21, 2, 0), (5, 1, 1, 1, 0), (7, 0, 0, 0, 0), (9, 5, 5, 5, 5)]
+    S = "entry_id long, total_size long, total_alloc long, file_count long, dir_count long"
+    spark.createDataFrame(rows + rows[:3], E).write.parquet(f"{tmp_path}/entries.parquet")
+
+    def found(stats):
+        spark.createDataFrame(stats, S).write.mode("overwrite").parquet(f"{tmp_path}/dir_stats.parquet")
+        return {(r["problem"], r["id"]) for r in queries.all_queries()["q02_problems"](spark, str(tmp_path)).collect()}
+
+    structure = {("duplicate_id", 6), ("other_volume", 7), ("no_parent", 9)}
+    assert found(right) == structure
+    for k in range(1, 5):
+        wrong = [tuple(v + (r[0] == 2 and i == k) for i, v in enumerate(r)) for r in right]
+        assert found(wrong) == structure | {("stats_differ", 2)}
+    assert found([*right, (1, None, 22, 3, 2)]) == structure | {("stats_differ", 1)}
+
+
+def test_ambiguous_volumes_have_candidates(spark):
+    from shelfmark.operators import volumes
+
+    S = "id long, kind string, unc_path string, fs_serial long, fs_type string, volume_guid string, capacity long, user_name string, os_label string, last_mount string, location string"
+    known = spark.createDataFrame([(1, "fixed", None, 5, "NTFS", "{g1}", 100, "Foto", None, "D:\\", " "), (2, "fixed", None, 5, "NTFS", "{g2}", 100, None, "B", None, "shelf"), (3, "fixed", None, 5, "NTFS", "{g3}", 7, None, None, None, None), (4, "network", "\\\\old\\share", None, None, None, 9, None, None, None, None)], S)
+    det = spark.createDataFrame([(10, "fixed", None, 5, "NTFS", None, 100), (11, "fixed", None, 5, "NTFS", None, 8), (12, "network", "\\\\new\\share", None, None, None, 9), (13, "fixed", None, 6, "NTFS", None, 1)], ", ".join(S.split(", ")[:7]))
+    got = volumes.ambiguous(det, known).select("det", "volume_id", "name", "location").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(10, 1, "Foto", None), (10, 2, "B", "shelf"), (11, 1, "Foto", None), (11, 2, "B", "shelf"), (11, 3, "#3", None), (12, 4, "#4", None)], key=str)
