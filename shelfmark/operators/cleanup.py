@@ -59,29 +59,33 @@ def large_old(entries: DataFrame, time: str, least: int, before: int) -> DataFra
     return entries.where(~F.col("is_dir") & (F.col("size") >= least) & (F.col(time) < before)).orderBy(F.desc("size"), "id")
 
 
-def known_children(paths: DataFrame, folder: str, names: DataFrame) -> DataFrame:
-    """Folders directly in `folder` (a path, any case) with one of the `names` (any case)."""
-    root = paths.where(fold(F.col("path")) == fold_text(folder)).select(F.col("id").alias("parent_id"))
-    kids = paths.where("is_dir").join(root, "parent_id", "left_semi")
-    return kids.withColumn("_k", fold(F.col("name"))).join(names.select(fold(F.col("name")).alias("_k")).distinct(), "_k", "left_semi").drop("_k")
-
-
-def browser_caches(paths: DataFrame, folder: str, layout: str) -> DataFrame:
-    """Known cache folders of a browser: in its folder and in each profile below it; never profiles themselves."""
-    spark = paths.sparkSession
+def known_children(paths: DataFrame, parents: DataFrame, names: list[str]) -> DataFrame:
+    """Folders in one of the `parents` (parent_id) with one of the `names`: the exact name, or else the first by name that differs in case only."""
+    c = F.col
+    exact = F.create_map(*[F.lit(x) for n in names for x in (fold_text(n), n)])
+    kids = paths.withColumn("_k", fold(c("name"))).where(c("_k").isin([fold_text(n) for n in names])).join(parents.select("parent_id").distinct(), "parent_id", "left_semi")
+    kids = kids.withColumn("_o", F.struct((c("name") != exact[c("_k")]).alias("other"), "name"))
+    best = kids.groupBy("parent_id", "_k").agg(F.min("_o").alias("_b"))
+    return kids.join(best, ["parent_id", "_k"]).where("is_dir AND _o = _b").select(*paths.columns)
+
+
+def browser_caches(paths: DataFrame, stats: DataFrame, folder: str, layout: str) -> DataFrame:
+    """Known cache folders of a browser on each volume, with their total `_t`: in its folder (a path, any case) and in each profile there; never profiles themselves, nor empty caches."""
     direct, inner = CACHES[layout]
-    names = lambda x: spark.createDataFrame([(n,) for n in x], "name string")
-    root = paths.where(fold(F.col("path")) == fold_text(folder)).select(F.col("id").alias("parent_id"))
-    profiles = paths.where("is_dir").join(root, "parent_id", "left_semi").select(F.col("id").alias("parent_id"))
-    found = paths.where("is_dir").join(profiles, "parent_id", "left_semi").withColumn("_k", fold(F.col("name"))).join(names(inner).select(fold(F.col("name")).alias("_k")), "_k", "left_semi").drop("_k")
-    return found.unionByName(known_children(paths, folder, names(direct)).select(found.columns)) if direct else found
+    at = paths.where(fold(F.col("path")) == fold_text(folder)).groupBy("volume_id").agg(F.min("id").alias("parent_id")).select("parent_id")
+    profiles = paths.where("is_dir").join(at, "parent_id", "left_semi").select(F.col("id").alias("parent_id"))
+    found = known_children(paths, profiles, inner)
+    if direct:
+        found = found.unionByName(known_children(paths, at, direct))
+    return found.join(stats.select(F.col("entry_id").alias("id"), F.col("total_size").alias("_t")), "id").where("_t > 0")
 
 
-def scan(paths: DataFrame, stats: DataFrame, temp: list[str], temp_before: int, large: int, large_before: int, keep: list[str] | None = None, time: str = "modified_ms") -> DataFrame:
-    """`category, id, path, size` of all proposals for one volume's entries.
+def scan(paths: DataFrame, stats: DataFrame, temp: list[str], temp_before: int, large: int, large_before: int, keep: list[str] | None = None, time: str = "modified_ms", browsers: list[tuple[str, str]] | None = None) -> DataFrame:
+    """`category, id, path, size` of all proposals for the entries of volumes.
 
     temp: files below the temporary folders older than a moment. empty_folders: top-most folders without files.
-    large_old: large files not changed for long, outside the temporary folders. Empty folders and large files leave
+    large_old: large files not changed for long, outside the temporary folders. browser_caches: known cache folders of
+    the `browsers` (folder, layout). Empty folders and large files leave
     out the `keep` patterns (default: the fixed list), what is guarded, and program folders.
     """
     keep = PROTECTED if keep is None else keep
@@ -92,6 +96,8 @@ def scan(paths: DataFrame, stats: DataFrame, temp: list[str], temp_before: int,
     out = out.unionByName(say(large_old(free.where(~protected(F.col("path"), temp)), time, large, large_before), "large_old", F.col("size")))
     if temp:
         out = out.unionByName(say(paths.where(~F.col("is_dir") & protected(F.col("path"), temp) & (F.col(time) < temp_before)), "temp", F.col("size")))
+    for folder, layout in browsers or []:
+        out = out.unionByName(say(browser_caches(paths, stats, folder, layout), "browser_caches", F.col("_t")))
     return out
 
 

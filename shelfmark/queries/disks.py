@@ -199,19 +199,31 @@ def f13(spark, d):
     return C.inside_holders(paths(spark, d), "%7.zip").select("id")
 
 
+#: Both browsers keep their profiles (the nations) directly on each volume.
+BROWSERS = [("", "chromium"), ("", "firefox")]
+
+
+def with_browsers(p):
+    """The derived folders under the names of browsers' caches, by their last digit: those of a nation as caches in a profile, nations as caches beside the profiles."""
+    last = F.right("name", F.lit(1))
+    inner = F.when(last == "7", "Cache").when(last == "9", "Code Cache").when(last == "5", "GPUCache").when(last == "3", "cache2")
+    direct = F.when(last == "0", "ShaderCache").when(last == "1", "GrShaderCache").when(last == "2", "GraphiteDawnCache")
+    return p.withColumn("name", F.coalesce(F.when(c("is_dir") & (c("depth") == 2), inner).when(c("is_dir") & (c("depth") == 1), direct), "name"))
+
+
 @query("g01_cleanup", sql("stats", """, o AS (SELECT t.*, p.path FROM tree t JOIN path p USING (id))
 SELECT 'temp' AS category, id, path, size FROM o WHERE NOT is_dir AND volume_id = 1 AND starts_with(upper(path), 'NATION_5' || chr(92)) AND modified_ms < epoch_ms(TIMESTAMP '1997-01-01')
 UNION ALL SELECT 'empty_folders', o.id, o.path, s.total_size FROM o JOIN stats s ON s.entry_id = o.id JOIN tree q ON q.id = o.parent_id LEFT JOIN stats qs ON qs.entry_id = q.id WHERE o.volume_id = 1 AND s.file_count = 0 AND (q.parent_id IS NULL OR qs.file_count > 0) AND NOT starts_with(upper(o.path), 'NATION_10' || chr(92))
 UNION ALL SELECT 'large_old', id, path, size FROM o WHERE NOT is_dir AND volume_id = 1 AND size >= 30000000 AND modified_ms < epoch_ms(TIMESTAMP '1996-01-01') AND NOT starts_with(upper(path), 'NATION_10' || chr(92)) AND NOT starts_with(upper(path), 'NATION_5' || chr(92))"""))
 def g01(spark, d):
-    t = paths(spark, d).where("volume_id = 1")
-    return C.scan(t, tree.roll_up(t), temp=["Nation_5"], temp_before=852_076_800_000, large=30_000_000, large_before=820_454_400_000, keep=["nation_10"]).select("category", "id", "path", "size")
+    t = with_browsers(paths(spark, d).where("volume_id = 1"))
+    return C.scan(t, tree.roll_up(t), temp=["Nation_5"], temp_before=852_076_800_000, large=30_000_000, large_before=820_454_400_000, keep=["nation_10"], browsers=BROWSERS).select("category", "id", "path", "size")
 
 
 @query("a10_cleanup_totals", sql("stats", "SELECT 'empty_folders' AS category, count(*) AS items, sum(s.total_size)::BIGINT AS bytes FROM tree o JOIN stats s ON s.entry_id = o.id JOIN tree q ON q.id = o.parent_id LEFT JOIN stats qs ON qs.entry_id = q.id WHERE s.file_count = 0 AND (q.parent_id IS NULL OR qs.file_count > 0)"))
 def a10(spark, d):
-    t = paths(spark, d)
-    return C.totals(C.scan(t, tree.roll_up(t), temp=[], temp_before=0, large=1 << 62, large_before=0, keep=[]))
+    t = with_browsers(paths(spark, d))
+    return C.totals(C.scan(t, tree.roll_up(t), temp=["Nation_5"], temp_before=852_076_800_000, large=30_000_000, large_before=820_454_400_000, keep=[], browsers=BROWSERS))
 
 
 @query("g02_default_selection", sql("tree", "SELECT volume_id, count(*) FILTER (modified_ms < 852076800000) AS chosen, (sum(size) FILTER (modified_ms < 852076800000))::BIGINT AS bytes FROM tree WHERE NOT is_dir GROUP BY 1"))
@@ -229,10 +241,11 @@ def o08(spark, d):
 
 @query("j25_browser_caches", sql("path", "SELECT p.id, p.path FROM path p JOIN tree t USING (id) WHERE t.is_dir AND p.depth = 2 AND t.volume_id = 2 AND right(upper(t.name), 1) IN ('7', '9') AND starts_with(upper(p.path), 'NATION_6' || chr(92))"))
 def j25(spark, d):
-    """Cache folders below a browser's folder, by their fixed names (here by the names of the derived folders)."""
-    p = paths(spark, d)
-    wanted = p.where("is_dir AND depth = 2 AND right(name, 1) IN ('7', '9')").select("name").distinct()
-    return C.known_children(p.where("volume_id = 2"), "nation_6", wanted).select("id", "path")
+    """Cache folders of both layouts on all volumes, in the browser's folder and in each profile."""
+    t = with_browsers(paths(spark, d))
+    totals = tree.roll_up(t)
+    found = [C.browser_caches(t, totals, folder, layout).select("id", "path") for folder, layout in BROWSERS]
+    return found[0].unionByName(found[1])
 
 
 # ---- health -----------------------------------------------------------------------------------------------------

@@ -51,3 +51,25 @@ def test_ambiguous_volumes_have_candidates(spark):
     det = spark.createDataFrame([(10, "fixed", None, 5, "NTFS", None, 100), (11, "fixed", None, 5, "NTFS", None, 8), (12, "network", "\\\\new\\share", None, None, None, 9), (13, "fixed", None, 6, "NTFS", None, 1)], ", ".join(S.split(", ")[:7]))
     got = volumes.ambiguous(det, known).select("det", "volume_id", "name", "location").collect()
     assert sorted(map(tuple, got), key=str) == sorted([(10, 1, "Foto", None), (10, 2, "B", "shelf"), (11, 1, "Foto", None), (11, 2, "B", "shelf"), (11, 3, "#3", None), (12, 4, "#4", None)], key=str)
+
+
+def test_browser_caches_of_each_profile(spark):
+    from pyspark.sql import functions as F
+
+    from shelfmark.operators import cleanup, tree
+
+    names = {1: (None, ""), 2: (1, "Chrome"), 3: (2, "Default"), 4: (2, "Profile 1"), 5: (3, "Cache"), 6: (4, "CACHE"), 7: (4, "cookies"), 8: (2, "ShaderCache"), 9: (3, "GPUCache"), 10: (2, "Cache"), 20: (1, "Firefox"), 21: (20, "p1"), 22: (21, "cache2"), 23: (4, "cache")}
+    rows = [(v * 1000 + i, v, v * 1000 + up if up else None, n, True, 0) for v in (1, 2) for i, (up, n) in names.items()]
+    rows += [(v * 1000 + 500 + i, v, v * 1000 + i, "x.bin", False, 10 + i) for v in (1, 2) for i in names if i not in (1, 9)]
+    e = spark.createDataFrame(rows, "id long, volume_id long, parent_id long, name string, is_dir boolean, size long").withColumns({"alloc_size": F.col("size"), "attrs": F.lit(0), "modified_ms": F.lit(50).cast("long")})
+    p = tree.with_paths(e)
+    s = cleanup.scan(p, tree.roll_up(p), [], 0, 1, 0, browsers=[("chrome", "chromium"), ("Firefox", "firefox")]).where("category = 'browser_caches'")
+    assert {(r["id"], r["size"]) for r in s.collect()} == {(v * 1000 + i, 10 + i) for v in (1, 2) for i in (5, 6, 8, 22)}
+
+
+def test_cleanup_queries_have_all_categories_and_volumes(spark, sf):
+    q = queries.all_queries()
+    four = {"temp", "empty_folders", "large_old", "browser_caches"}
+    assert "browser_caches" in {r["category"] for r in q["g01_cleanup"](spark, sf).select("category").distinct().collect()}
+    assert {r["category"] for r in q["a10_cleanup_totals"](spark, sf).collect()} == four
+    assert q["j25_browser_caches"](spark, sf).join(queries.tree.fixtures.tree(spark, sf).select("id", "volume_id"), "id").select("volume_id").distinct().count() > 1
