@@ -104,6 +104,24 @@ def near_videos(videos: DataFrame, limit: float) -> DataFrame:
     return x.join(y, "k").where((F.col("a") < F.col("b")) & close_durations(F.col("da"), F.col("db")) & (mean_distance(F.col("fa"), F.col("fb")) <= limit)).select("a", "b")
 
 
+def video_groups(videos: DataFrame, limit: float) -> DataFrame:
+    """`id, group_id, links`: near videos joined directly or through others; group_id is the least id, links the number of videos near to this one.
+
+    Videos of equal duration and frames are one representative, so only representatives meet in a bucket.
+    """
+    c = F.col
+    key = ["duration_ms", "frames"]
+    v = videos.where("duration_ms >= 0 AND size(frames) > 0")
+    scratch = Scratch(videos.sparkSession, "videos")
+    rep = scratch.save(v.groupBy(*key).agg(F.min("id").alias("rep"), F.count("*").alias("n")))
+    pairs = scratch.save(near_videos(rep.select(c("rep").alias("id"), *key), limit))
+    both = pairs.union(pairs.select("b", "a"))
+    near = both.join(rep.select(c("rep").alias("b"), "n"), "b").groupBy(c("a").alias("rep")).agg(F.sum("n").alias("others"))
+    g = linked(pairs).select(c("v").alias("rep"), "group_id")
+    of = rep.join(near, "rep", "left").join(g, "rep", "left").select(*key, F.coalesce("group_id", "rep").alias("group_id"), (F.coalesce("others", F.lit(0)) + c("n") - 1).alias("links"))
+    return v.join(of, key).where("links > 0").select("id", "group_id", "links")
+
+
 def representatives(groups: DataFrame, prints: DataFrame) -> DataFrame:
     """Per group its largest picture (then least id), how many files, and each file's distance to it."""
     j = groups.join(prints, "id")

@@ -259,6 +259,11 @@ def j15(spark, d):
     return similar.near_videos(videos(spark, d), 28.0)
 
 
+@query("j15_groups")
+def j15b(spark, d):
+    return similar.video_groups(videos(spark, d), 28.0)
+
+
 @query("f20_close_durations", "SELECT a.p_partkey AS a, b.p_partkey AS b, abs(a.d - b.d) <= greatest(greatest(a.d, b.d) * 3 // 100, 2000) AS near FROM (SELECT p_partkey, floor(p_retailprice * 100)::BIGINT AS d FROM part) a JOIN (SELECT p_partkey, floor(p_retailprice * 100)::BIGINT AS d FROM part) b ON b.p_partkey = a.p_partkey + 1")
 def f20(spark, d):
     p = table(spark, d, "part").select(c("p_partkey").alias("a"), F.floor(c("p_retailprice") * 100).cast("long").alias("da"))

@@ -73,3 +73,12 @@ def test_cleanup_queries_have_all_categories_and_volumes(spark, sf):
     assert "browser_caches" in {r["category"] for r in q["g01_cleanup"](spark, sf).select("category").distinct().collect()}
     assert {r["category"] for r in q["a10_cleanup_totals"](spark, sf).collect()} == four
     assert q["j25_browser_caches"](spark, sf).join(queries.tree.fixtures.tree(spark, sf).select("id", "volume_id"), "id").select("volume_id").distinct().count() > 1
+
+
+def test_video_groups_are_transitive(spark):
+    from shelfmark.operators import similar
+
+    rows = [(1, 60000, [0, 0]), (2, 61000, [1, 1]), (3, 62900, [3, 3]), (4, 60000, [0, 0]), (5, 60000, [0xFFFF, 0xFFFF]), (6, 90000, [0, 0]), (7, 120000, [5, 5]), (8, 120000, [5, 5]), (9, 60000, [0])]
+    df = spark.createDataFrame(rows, "id long, duration_ms long, frames array<long>")
+    got = {tuple(r) for r in similar.video_groups(df, 1.0).collect()}
+    assert got == {(1, 1, 2), (4, 1, 2), (2, 1, 3), (3, 1, 1), (7, 7, 1), (8, 7, 1)}
