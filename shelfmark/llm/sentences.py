@@ -2,16 +2,19 @@
 
 A text is laid out in lines first: headings, list items, log and dump lines on lines of their own are units, and what
 runs on over several lines is one block. In a block, quotations and brackets are paired, and every end mark outside
-them (for Thai: every gap) is a candidate boundary. Where the surroundings settle the case it is a reliable example;
-a maximum-entropy model over neighbouring tokens, case, length, digits and script is trained on a bounded sample of
-reliable examples of the corpus itself and decides the others.
+them (for Thai: every gap) is a candidate boundary. A maximum-entropy model over the neighbouring tokens, their case,
+length, digits and script decides every candidate. It is trained on a bounded sample of the corpus itself: candidates
+whose surroundings settle them (word lists and rules serve only there, as labels) and the ends of blocks before the
+beginning of the next one.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +33,7 @@ CLOSERS = set(PAIRS.values()) | {'"', "”"}
 QUOTE_CLOSERS = set('"”“»」』’‘›')
 ENDS = set(STOPS + FULL + OTHERS)
 
-#: Abbreviations that stand before something else, so never at an end (lower case, without the last period).
+#: Fixed values, for labels only: abbreviations that stand before something else, so never at an end (lower case, without the last period).
 NEVER_LAST = set(
     # English
     "mr mrs ms dr prof st rev hon gen col capt lt sgt no nos vol vols fig figs sec secs ch pp p art approx e.g i.e vs cf min max incl excl dept est ed eds "
@@ -50,13 +53,11 @@ NEVER_LAST = set(
     "डॉ श्री प्रो सं पृ د أ م ص ش"
     .split()
 )
-#: Abbreviations that may also be the last word.
-MAYBE_LAST = set("etc a.m p.m u.s u.k inc ltd co corp jr sr usw ecc u.s.w т.д т.п д п κ.λπ κ.ά κλπ g гг в вв с kg gb".split())
-#: German months after an ordinal number.
+#: Fixed values, for labels only: German months after an ordinal number.
 MONTHS = set("januar jänner februar märz april mai juni juli august september oktober november dezember".split())
-#: German words before an ordinal number.
+#: Fixed values, for labels only: German words before an ordinal number.
 BEFORE_ORDINAL = set("am im vom zum zur beim ab bis seit der den dem des die das jeder jeden jedem".split())
-#: What goes on with the sentence after a quotation, where case can't tell.
+#: Fixed values, for labels only: what goes on with the sentence after a quotation, where case can't tell.
 GOES_ON = re.compile(r"(?:と|って|という|など|[她他我你它]们?[说問问道答写喊]|的|说道|라고|고 |하고)")
 
 SPACE = re.compile(f"[{WHITE}]+")
@@ -70,8 +71,15 @@ THAI = re.compile("[฀-๿]")
 WORD = re.compile(r"[^\W\d_]+")
 GAPS = " \u00a0\u202f\u2009"  # between words and the marks set off from them
 GREEK_QUESTION = ";\u037e"
-MARKS = rf"[{re.escape(STOPS + FULL + OTHERS + GREEK_QUESTION)}]+"
-BITS = 16
+MARKS = re.compile(rf"[{re.escape(STOPS + FULL + OTHERS + GREEK_QUESTION)}]+")
+MARKS_OR_SPACES = re.compile(rf"{MARKS.pattern}| +")
+OTHER_SPACE = re.compile(rf"(?! )[{WHITE}]")
+PAIRED = re.compile(r"[(\[{«“„「『（【《‹〈‘‚［)\]}»」』）】》›〉’］\"”]")
+OPENERS = "([{«“„「『（【《‹〈‘‚［\"¿¡"
+QUOTING = OPENERS + "".join(sorted(CLOSERS))
+NO_END = STOPS + FULL + OTHERS + ",;:—–-"  # no gap after one of these ends a Thai sentence
+NO_START = ",;:、，；：)]}）」』"  # what can't begin a sentence right after an end mark
+BITS = 18
 
 
 def dump_line(line: str) -> bool:
@@ -140,48 +148,48 @@ def _list_follows(text: str, at: int, n: int) -> bool:
 def pairs(s: str) -> dict[int, int]:
     """Closing mark -> its opening mark, of the quotations and brackets that are complete."""
     stack: list[tuple[str, int]] = []
+    wants: dict[str, int] = {}  # closing marks that the stack waits for, and how many times
     done: dict[int, int] = {}
-    for m in re.finditer(r"[(\[{«“”„「『（【《‹〈‘‚［)\]}»」』）】》›〉’］\"]", s):
+    for m in PAIRED.finditer(s):
         c, i = m[0], m.start()
-        wants = {PAIRS.get(o, '"') for o, _ in stack}
-        if c in CLOSERS and c in wants and not (c in "’‘" and s[i + 1 : i + 2].isalnum()):
-            while stack:
-                o, j = stack.pop()
-                if PAIRS.get(o, '"') == c:
+        if c in CLOSERS and wants.get(c) and not (c in "’‘" and s[i + 1 : i + 2].isalnum()):
+            while True:
+                close, j = stack.pop()
+                wants[close] -= 1
+                if close == c:
                     done[i] = j
                     break
-        elif c in PAIRS and not (c == "‘" and s[i - 1 : i].isalnum()):
-            stack.append((c, i))
-        elif c == '"':
-            stack.append((c, i))
+        elif c == '"' or c in PAIRS and not (c == "‘" and s[i - 1 : i].isalnum()):
+            close = PAIRS.get(c, '"')
+            stack.append((close, i))
+            wants[close] = wants.get(close, 0) + 1
     return done
 
 
 @lru_cache(1 << 16)
-def shape(t: str) -> str:
+def shape(t: str, follows: str = "") -> str:
+    """Case, length, digits and script of a token; `follows`: initial, file or "" by what stands right after it."""
     if not t:
         return "none"
-    whole, t = t, t.rstrip(".,;:!?…)]\"") or t
-    m = re.match(r"([^\W\d_]{2,})\.([^\W\d_])", t)
-    if m and m[2].isupper():
-        t = m[1]  # two sentences without a blank between them
     c = t[0]
     if c.isdigit():
         return "digit"
     letters = WORD.findall(t)
     if not letters:
         return "mark"
+    if "\\" in t or "/" in t:
+        return "path"
     if not c.isalpha():
-        return "file" if c == "." or "." in t[1:-1] else "mark"
+        return "file" if c == "." or follows == "file" else "mark"
     if not (c.isupper() or c.islower()):
         return "uncased"
-    if any(x.isdigit() or x in "_\\/" for x in t) or "." in t[1:-1] and len(t) > 6:
+    if follows == "file" or any(x.isdigit() or x == "_" for x in t):
         return "File" if c.isupper() else "file"
     word = letters[0]
     if c.islower():
         return "lower" if word.islower() else "mixed"
     if len(word) == 1:
-        return "initial" if whole[1:2] == "." else "single"
+        return "initial" if follows == "initial" else "single"
     return "caps" if word.isupper() else "cap"
 
 
@@ -190,223 +198,321 @@ def script(c: str) -> str:
     for hi, name in ((0x250, "latin"), (0x400, "greek"), (0x530, "cyrillic"), (0x700, "arabic"), (0x980, "devanagari"), (0xE80, "thai")):
         if o < hi:
             return name
-    return "cjk" if 0x3000 <= o < 0xE000 or o >= 0xF900 else "other"
-
-
-class Candidate:
-    """A place where a sentence may end: `end` is the first position after it, `next` the start of what follows."""
-
-    __slots__ = ("end", "next", "term", "gap", "left", "before", "right", "second", "closed", "first")
-
-    def __init__(self, end, next, term, gap, left, before, right, second, closed, first=False):
-        self.end, self.next, self.term, self.gap, self.left, self.before, self.right, self.second, self.closed, self.first = end, next, term, gap, left, before, right, second, closed, first
-
-    def features(self) -> list[str]:
-        r, w = shape(self.right), shape(self.left)
-        low, lw = self.right.lower().rstrip(".,;:!?"), self.left.lower()
-        if r in ("uncased",):
-            low = low[:4]
-        if w == "uncased":
-            lw = lw[-4:]
-        known = "never" if lw in NEVER_LAST and shape(self.before) != "digit" else "maybe" if lw in MAYBE_LAST else "no"
-        size = str(min(len(self.left), 6))
-        last = shape(self.before.rstrip("."))
-        if r in ("digit", "file", "File"):
-            low = r
-        if w in ("digit", "file", "File"):
-            lw = w
-        return [
-            "t" + self.term, "g" + self.gap, "tg" + self.term + self.gap, "r" + r, "tr" + self.term + r, "R" + low, "gR" + self.gap + r, "w" + w, "L" + lw, "s" + size, "ws" + w + size,
-            "k" + known, "kr" + known + r, "wr" + w + r, "B" + self.before.lower() + "|" + w, "bl" + last + w + r, "c" + self.closed + r, "S" + script(self.right[:1]) + script(self.left[-1:]), "p" + str("." in self.left) + r,
-        ]
+    return "hangul" if 0xAC00 <= o < 0xD7B0 else "cjk" if 0x3000 <= o < 0xE000 or o >= 0xF900 else "other"
+
+
+UNSPACED = {"cjk", "thai"}
+
+
+@lru_cache(1 << 14)
+def term_of(mark: str) -> str:
+    if any(c in FULL or c in "！？" for c in mark):
+        return "full"
+    if any(c in "।॥؟۔։።፧" + GREEK_QUESTION for c in mark):
+        return "danda"
+    if any(c in "!?" for c in mark):
+        return "mark"
+    return "dots" if len(mark) > 1 or mark[0] in "…‥" else "stop"
 
-    def reliable(self) -> int | None:
-        """1 or 0 where the surroundings settle the case, None where they don't."""
-        r, w, left = shape(self.right), shape(self.left), self.left.lower()
-        never = left in NEVER_LAST and not (len(left) <= 3 and shape(self.before) == "digit")  # 20 s., 5 min.
-        if self.term == "thai":
-            if w in ("digit", "file", "File") or r in ("digit", "file", "File", "mark"):
-                return 0
-            return 1 if THAI.match(self.left[-1:]) and THAI.match(self.right[:1]) else None
-        if self.closed == "quote" and (GOES_ON.match(self.right) or self.first and r == "uncased"):
-            return 0  # who said it follows; without case, a quotation that nothing introduces needs that
-        if self.term in ("full", "danda"):
-            return 1
-        if r == "lower":
-            return 0
-        if self.term == "mark":
-            return 1 if r in ("cap", "uncased", "single", "initial", "mixed", "caps", "File") or self.gap != "none" else 0
-        if self.closed:
-            return 1 if r in ("cap", "uncased", "single", "initial", "mixed") else None
-        if self.gap == "none":
-            # a period inside a number, a name of a file, or letters with periods
-            if r in ("digit", "file", "mark", "none", "initial", "caps", "mixed", "File"):
-                return 0
-            if r == "uncased":
-                return None if self.term == "dots" else 0 if w != "uncased" else 1
-            if w in ("initial", "single") or never:
-                return 0
-            return 1 if r == "cap" else None
-        if self.term == "dots":
-            return 1 if r in ("cap", "single", "uncased") else None
-        if left == "no" and r != "digit":  # the word, not the abbreviation
-            return 1 if self.left[0] == "N" and (not self.before or self.before[-1] in ENDS) else None
-        if never:
-            return 0
-        if w == "digit" and len(self.left) <= 3 and self.left.isdigit() and self.before.lower() in BEFORE_ORDINAL:
-            return 0
-        if w == "digit" and self.right.lower().rstrip(".,!?") in MONTHS and len(self.left) <= 2:
-            return 0
-        if w in ("single", "initial") and r in ("cap", "single", "initial"):
-            first = shape(self.before)
-            return None if first in ("cap", "caps", "File") and not self.before.endswith(".") else 0
-        return None
+
+class Candidate(NamedTuple):
+    """A place where a sentence may end.
+
+    `end` is the first position after it, `next` the start of what follows. A token is a run between spaces and end
+    marks: `left` ends here, `before` is the one before it (`inner`: with nothing but a mark between them), `right`
+    follows (`after`: whether it goes on like a file name or is an initial). `closed`: the kind of closing mark that
+    ends with it, `first`: whether that quotation began a sentence.
+    """
+
+    end: int
+    next: int
+    term: str
+    gap: str
+    left: str
+    inner: bool
+    before: str
+    right: str
+    after: str
+    closed: str = ""
+    first: bool = False
 
 
 def candidates(s: str, lo: int, hi: int) -> list[Candidate]:
-    """The candidates of the running text s[lo:hi], outside quotations and brackets."""
+    """The candidates of the running text s[lo:hi], outside quotations and brackets, in time linear in its length."""
     t = s[lo:hi]
-    closers = pairs(t)
-    inside = np.zeros(len(t) + 1, np.int32)
-    for c, o in closers.items():
-        inside[o] += 1
-        inside[c] -= 1
-    inside = np.cumsum(inside)
-    out = []
-    thai = bool(THAI.search(t))
-    for m in re.finditer(rf"{MARKS}|[{WHITE}]+" if thai else MARKS, t):
-        i, j = m.start(), m.end()
-        mark = m[0]
-        if i < len(inside) and SPACE.fullmatch(mark):
-            a, b = t[:i][-24:], t[j : j + 24]
-            if inside[i - 1 if i else 0] or not a or not b or not (THAI.search(a[-1:]) or THAI.match(b[:1])):
+    u = OTHER_SPACE.sub(" ", t)  # as long as t
+    n = len(t)
+    closers = pairs(t) if PAIRED.search(t) else {}
+    opens, closes = sorted(closers.values()), sorted(closers)
+    thai = THAI.search(t) is not None
+    found = [m.span() for m in (MARKS_OR_SPACES if thai else MARKS).finditer(u)]
+    if not found:
+        return []
+    last_visible = len(u.rstrip(" "))
+    out: list[Candidate] = []
+    left = ""
+    past, follow = 0, 0
+    for at, (i, j) in enumerate(found):
+        # the token that ends here and the one before it, looked for no further back than the last mark
+        e = i
+        while e > past and u[e - 1] == " ":
+            e -= 1
+        a = u.rfind(" ", past, e) + 1 or past
+        marked = past > 0 and u[past - 1] != " "
+        inner = marked and a == past < e
+        if inner:
+            before = left
+        else:
+            b = a
+            while b > past and u[b - 1] == " ":
+                b -= 1
+            before = u[u.rfind(" ", past, b) + 1 or past : b].strip(QUOTING) if b > past else left + "." * marked
+        left = u[a:e].strip(QUOTING)
+        past = j
+        mark = u[i:j]
+        space = mark[0] == " "
+        if space:
+            if not i or j >= n or not (THAI.match(t[i - 1]) or THAI.match(t[j])) or t[i - 1] in NO_END:
                 continue
-            if a[-1] in ENDS or a[-1] in ",;:—–-":
+            if closers and bisect_right(opens, i - 1) > bisect_right(closes, i - 1):
                 continue
-            left, before = _left(t, i)
-            right, second = _right(t, j)
-            out.append(Candidate(lo + i, lo + j, "thai", "line" if LINE.search(mark) else "space", left, before, right, second, ""))
-            continue
-        if mark[0] in GREEK_QUESTION and not (i and t[i - 1].isalpha() and script(t[i - 1]) == "greek"):
-            continue
-        if mark[-1] == "." and mark[0] not in STOPS and t[j : j + 1].isalnum():
-            j, mark = j - 1, mark[:-1]  # the period begins a name such as .draft.tmp
-        # the marks that close with it, also after a space where a quotation is set with spaces
-        closed, first = "", False
-        k = j
-        depth = inside[i]
-        while True:
-            p = k
-            while p < len(t) and t[p] in GAPS and p - k < 2:
-                p += 1
-            if p < len(t) and p in closers and closers[p] < i:
-                closed = "quote" if t[p] in QUOTE_CLOSERS else "bracket"
-                head = t[max(0, closers[p] - 20) : closers[p]].rstrip()
-                first = not head or head[-1] in ENDS or head[-1] in CLOSERS
-                depth -= 1
-                k = p + 1
-                n = k
-                while n < len(t) and t[n] in ENDS:
-                    n += 1
-                k = n
+            k, term, closed, first, depth = i, "thai", "", False, 0
+        else:
+            if mark[0] in GREEK_QUESTION and not (i and t[i - 1].isalpha() and script(t[i - 1]) == "greek"):
                 continue
-            break
-        if depth > 0:
-            continue
-        if k >= len(t) or not NOT_SPACE.search(t, k):
-            continue
-        g = SPACE.match(t, k)
-        n = g.end() if g else k
-        gap = "none" if not g else "line" if LINE.search(g[0]) else "space"
-        if g is None and t[k] in ",;:、，；：)]}）」』":
-            continue
-        if i == 0 or (SPACE.match(t[i - 1]) and mark[0] in "."):
-            continue  # the period of a name such as .draft.tmp
-        cjk = any(c in FULL or c in "！？" for c in mark)
-        term = "full" if cjk or mark[0] in "…‥" and script(t[i - 1]) == "cjk" else "danda" if any(c in "।॥؟۔։።፧" + GREEK_QUESTION for c in mark) else "mark" if any(c in "!?" for c in mark) else "dots" if len(mark) > 1 or any(c in "…‥" for c in mark) else "stop"
-        left, before = _left(t, i)
-        right, second = _right(t, n)
-        out.append(Candidate(lo + k, lo + n, term, gap, left, before, right, second, closed, first))
+            if i == 0 or u[i - 1] == " " and mark[0] == ".":
+                continue  # the period of a name such as .draft.tmp
+            if mark[-1] == "." and mark[0] not in STOPS and u[j : j + 1].isalnum():
+                j, mark = j - 1, mark[:-1]  # the period begins a name such as .draft.tmp
+            # the marks that close with it, also after a space where a quotation is set with spaces
+            k, closed, first, depth = j, "", False, 0
+            if closers:
+                depth = bisect_right(opens, i) - bisect_right(closes, i)
+                while depth > 0:
+                    p = k
+                    while p < n and p - k < 2 and t[p] in GAPS:
+                        p += 1
+                    if p >= n or closers.get(p, i) >= i:
+                        break
+                    closed = "quote" if t[p] in QUOTE_CLOSERS else "bracket"
+                    o = closers[p]
+                    while o and u[o - 1] == " ":
+                        o -= 1
+                    first = not o or t[o - 1] in ENDS or t[o - 1] in CLOSERS
+                    depth -= 1
+                    k = p + 1
+                    while k < n and t[k] in ENDS:
+                        k += 1
+                if depth > 0:
+                    continue
+            if k >= last_visible:
+                continue
+            term = term_of(mark)
+            if term == "dots" and mark[0] in "…‥" and script(t[i - 1]) == "cjk":
+                term = "full"
+        g = k
+        while u[g] == " ":
+            g += 1
+        if g == k:
+            if t[k] in NO_START:
+                continue
+            gap = "none"
+        else:
+            gap = "line" if LINE.search(t, k, g) else "space"
+        # what follows, up to the next space or mark
+        p = g
+        while p < n and (u[p] == " " or u[p] in OPENERS):
+            p += 1
+        follow = max(follow, at + 1)
+        while follow < len(found) and found[follow][0] < p:
+            follow += 1
+        stop, over = found[follow] if follow < len(found) else (n, n)
+        z = u.find(" ", p, stop)
+        if z < 0:
+            z = stop
+        right, after = u[p:z].rstrip(QUOTING + ",;:"), ""
+        if z == stop < n and u[z] == ".":
+            goes = u[over : over + 1]
+            if over - stop == 1 and goes.isalnum() and not (goes.isupper() and z - p > 1):
+                after = "file"
+            elif z - p == 1:
+                after = "initial"
+        out.append(Candidate(lo + k, lo + g, term, gap, left, inner, before, right, after, closed, first))
     return out
 
 
-OPENERS = "([{«“„「『（【《‹〈‘‚［\"¿¡"
-
-
-def _left(t: str, i: int) -> tuple[str, str]:
-    """The token that ends at i, without closing marks, and the one before it."""
-    head = re.split(f"[{WHITE}]+", t[max(0, i - 80) : i].rstrip(GAPS))
-    left = head[-1].strip(OPENERS + "".join(CLOSERS))
-    before = head[-2].strip(OPENERS + "".join(CLOSERS)) if len(head) > 1 else ""
-    return left[-30:], before[-30:]
-
-
-def _right(t: str, i: int) -> tuple[str, str]:
-    tail = re.split(f"[{WHITE}]+", t[i : i + 80].lstrip(OPENERS + GAPS))
-    return tail[0][:30], tail[1][:30] if len(tail) > 1 else ""
+def reliable(c: Candidate) -> int | None:
+    """The label of a candidate whose surroundings settle the case: 1 or 0; None where they don't. Only training asks for it."""
+    r, w, left = shape(c.right, c.after), shape(c.left), c.left.lower()
+    b = shape(c.before.rstrip("."))
+    if c.inner:
+        left = f"{c.before.lower()}.{left}"
+        w = "initial" if len(c.left) == 1 and w in ("single", "lower") and b not in ("path", "file", "File") else "file" if w in ("lower", "digit") and len(left) > 6 else w
+    never = left in NEVER_LAST and not (len(left) <= 3 and b == "digit")  # 20 s., 5 min.
+    if c.term == "thai":
+        if w in ("digit", "file", "File", "path") or r in ("digit", "file", "File", "path", "mark"):
+            return 0
+        return 1 if THAI.match(c.left[-1:]) and THAI.match(c.right[:1]) else None
+    if c.closed == "quote" and (GOES_ON.match(c.right) or c.first and r == "uncased"):
+        return 0  # who said it follows; without case, a quotation that nothing introduces needs that
+    if c.term in ("full", "danda"):
+        return 1
+    if r == "lower":
+        return 0
+    if c.term == "mark":
+        return 1 if r in ("cap", "uncased", "single", "initial", "mixed", "caps", "File", "path") or c.gap != "none" else 0
+    if c.closed:
+        return 1 if r in ("cap", "uncased", "single", "initial", "mixed") else None
+    if c.gap == "none":
+        # a period inside a number, a name of a file, or letters with periods
+        if r in ("digit", "file", "mark", "none", "initial", "caps", "mixed", "File", "path"):
+            return 0
+        if r == "uncased":
+            return None if c.term == "dots" else 0 if w != "uncased" else 1
+        if w in ("initial", "single") or never:
+            return 0
+        return 1 if r == "cap" else None
+    if c.term == "dots":
+        return 1 if r in ("cap", "single", "uncased") else None
+    if left == "no" and r != "digit":  # the word, not the abbreviation
+        return 1 if c.left[0] == "N" and (not c.before or c.before[-1] in ENDS) else None
+    if never:
+        return 0
+    if len(c.left) == 1 and w == "lower" and r == "initial" and b != "digit" and len(c.before.rstrip(".")) > 1:
+        return 0  # z. B., d. h.
+    if w == "digit" and len(c.left) <= 3 and c.left.isdigit() and c.before.lower() in BEFORE_ORDINAL:
+        return 0
+    if w == "digit" and c.right.lower() in MONTHS and len(c.left) <= 2:
+        return 0
+    if w in ("single", "initial") and r in ("cap", "single", "initial"):
+        return None if b in ("cap", "caps", "File", "path") and not c.before.endswith(".") else 0
+    return None
+
+
+def keys(c: Candidate) -> tuple[tuple, tuple, tuple, tuple]:
+    """What the features of a candidate are made of, in four parts that recur: shapes, and the tokens themselves in their context."""
+    wl, wr, wb = shape(c.left), shape(c.right, c.after), shape(c.before.rstrip("."))
+    sl, sr = script(c.left[-1:]), script(c.right[:1])
+    low, nxt = c.left.lower(), c.right.lower()
+    if sl in UNSPACED:
+        low = low[-1:]  # without spaces the neighbouring tokens are characters
+    elif wl == "digit":
+        low = "0" * min(len(low), 5) if low.isdigit() else "0.0"
+    elif wl in ("file", "File", "path"):
+        low = wl
+    if sr in UNSPACED:
+        nxt = nxt[:3] if c.closed else nxt[:1]
+    elif wr in ("digit", "file", "File", "path"):
+        nxt = wr
+    stopped = c.before.endswith(".")
+    return (
+        ("S", c.term, c.gap, c.closed, c.first, wl, min(len(c.left), 6), c.inner, wr, wb, stopped, sl, sr),
+        ("L", low, c.term, c.gap, wr, wb, (wb if wb in ("digit", "file", "File", "path") else c.before.lower()) if c.inner else None),
+        ("R", nxt, c.term, wl, c.closed),
+        ("B", "" if c.inner else shape(c.before) if wb in ("digit", "file", "File", "path") else c.before.lower(), wl, min(len(c.left), 4)),
+    )
+
+
+def features(key: tuple) -> list[str]:
+    """The features of one of the parts."""
+    kind, x = key[0], key[1:]
+    if kind == "S":
+        term, gap, closed, first, wl, size, inner, wr, wb, stopped, sl, sr = x
+        made = [
+            (term,), (gap,), (term, gap), (wr,), (term, wr), (gap, wr), (term, gap, wr), (wl,), (wl, size), (wl, wr), (term, wl, wr), (term, gap, wl, wr),
+            (closed, term), (closed, wr), (closed, first, wr), (wb, wl, wr), (wb, wl, size), (sl, sr), (term, sl), (term, sl, sr), (inner, wl, wr), (inner, wl, size), (inner, gap, wr), (inner, wb, wl), (inner, wb, wl, wr), (stopped, wl, wr), (term, gap, inner, wl, wr, closed),
+        ]
+    elif kind == "L":
+        low, term, gap, wr, wb, joined = x
+        made = [(low, term), (low, term, wr), (low, term, gap), (low, wb)] + ([(low, joined), (low, joined, wr)] if joined is not None else [])
+    elif kind == "R":
+        nxt, term, wl, closed = x
+        made = [(nxt,), (nxt, term), (nxt, wl), (nxt, closed)]
+    else:
+        before, wl, size = x
+        made = [(before, wl), (before, wl, size)]
+    return [f"{kind}{n}{m}" for n, m in enumerate(made)]
 
 
-@lru_cache(1 << 17)
 def place(feature: str) -> int:
     import xxhash
 
     return xxhash.xxh32_intdigest(feature) & ((1 << BITS) - 1)
 
 
-def hashed(features: list[str]) -> np.ndarray:
-    return np.array([place(f) for f in features], np.int64)
-
-
 class MaxEnt:
     """A two-class maximum-entropy model over hashed features; without examples it takes every candidate."""
 
     def __init__(self, weights: np.ndarray | None = None, bias: float = 1.0):
         self.weights = np.zeros(1 << BITS) if weights is None else weights
         self.bias = bias
-
-    def score(self, features: list[str]) -> float:
-        return float(self.weights[hashed(features)].sum() + self.bias)
-
-    def fit(self, x: list[list[str]], y: list[int], rounds: int = 6, rate: float = 0.3, ridge: float = 1e-6) -> "MaxEnt":
-        """Adaptive gradient ascent on the log-likelihood, with both classes weighted alike."""
+        self._known: dict[tuple, float] = {}
+
+    def _part(self, key: tuple) -> float:
+        """The weight of one part; parts recur, so they are remembered (200,000 at a time)."""
+        got = self._known.get(key)
+        if got is None:
+            if len(self._known) >= 200_000:
+                self._known.clear()
+            got = self._known[key] = float(self.weights[[place(f) for f in features(key)]].sum())
+        return got
+
+    def score(self, c: Candidate) -> float:
+        a, b, d, e = keys(c)
+        return self._part(a) + self._part(b) + self._part(d) + self._part(e) + self.bias
+
+    def fit(self, x: list[list[int]], y: list[int], rounds: int = 8, rate: float = 0.2, ridge: float = 1e-6, batch: int = 64) -> "MaxEnt":
+        """Adaptive gradient ascent on the log-likelihood, in small batches, with both classes weighted alike; x holds places of features."""
         if not len(x) or len(set(y)) < 2:
             return self
-        h = [hashed(f) for f in x]
-        share = sum(y) / len(y)
-        weigh = (0.5 / (1 - share), 0.5 / share)
-        g2, order = np.full(1 << BITS, 1e-2), np.random.default_rng(7)
+        sizes = np.array([len(r) for r in x])
+        wide = np.zeros((len(x), sizes.max()), np.int64)
+        real = np.arange(sizes.max()) < sizes[:, None]
+        wide[real] = np.concatenate([np.asarray(r, np.int64) for r in x])
+        truth = np.asarray(y, float)
+        share = truth.mean()
+        weigh = np.where(truth > 0, 0.5 / share, 0.5 / (1 - share))
+        w, g2, order = self.weights, np.full(1 << BITS, 1e-2), np.random.default_rng(7)
         for _ in range(rounds):
-            for i in order.permutation(len(h)).tolist():
-                f = h[i]
-                p = 1 / (1 + np.exp(-np.clip(self.weights[f].sum() + self.bias, -30, 30)))
-                d = (y[i] - p) * weigh[y[i]]
-                g2[f] += d * d
-                self.weights[f] += rate * (d / np.sqrt(g2[f]) - ridge * self.weights[f])
-                self.bias += 0.01 * d
+            mixed = order.permutation(len(x))
+            for at in range(0, len(x), batch):
+                rows = mixed[at : at + batch]
+                f, m = wide[rows], real[rows]
+                p = 1 / (1 + np.exp(-np.clip((w[f] * m).sum(1) + self.bias, -30, 30)))
+                d = (truth[rows] - p) * weigh[rows]
+                hit, back = np.unique(f[m], return_inverse=True)
+                step = np.bincount(back, np.broadcast_to(d[:, None], f.shape)[m], len(hit))
+                g2[hit] += step * step
+                w[hit] += rate * (step / np.sqrt(g2[hit]) - ridge * w[hit])
+                self.bias += 0.01 * d.sum()
         return self
 
 
-def examples(text: str) -> list[tuple[list[str], int]]:
-    """The reliable examples of one text: settled candidates, and ends of blocks before the next block's beginning."""
+def examples(text: str) -> list[tuple[Candidate, int]]:
+    """The labelled candidates of one text: settled ones, and the ends of blocks before the beginning of the next block."""
     out = []
     bs = blocks(text)
     for n, (lo, hi, runs) in enumerate(bs):
         if not runs:
             continue
         for c in candidates(text, lo, hi):
-            y = c.reliable()
+            y = reliable(c)
             if y is not None:
-                out.append((c.features(), y))
+                out.append((c, y))
         if n + 1 < len(bs) and bs[n + 1][2]:
             nlo, nhi, _ = bs[n + 1]
-            joined = text[lo:hi].rstrip() + " " + text[nlo:nhi].lstrip()[:200]
-            cut = len(text[lo:hi].rstrip())
-            out += [(c.features(), 1) for c in candidates(joined, 0, len(joined)) if c.end == cut and shape(c.right) != "lower"]
+            head = text[lo:hi].rstrip()
+            joined = head + " " + text[nlo:nhi].lstrip()
+            out += [(c, 1) for c in candidates(joined, 0, len(joined)) if c.end == len(head) and shape(c.right, c.after) != "lower"]
     return out
 
 
+def places(c: Candidate) -> list[int]:
+    return [place(f) for k in keys(c) for f in features(k)]
+
+
 def split(text: str, model: MaxEnt) -> list[tuple[int, int]]:
-    """Start and end (code points) of every sentence."""
+    """Start and end (code points) of every sentence; the model decides every candidate."""
     out = []
 
     def put(a: int, b: int) -> None:
@@ -421,42 +527,44 @@ def split(text: str, model: MaxEnt) -> list[tuple[int, int]]:
         at = lo
         if runs:
             for c in candidates(text, lo, hi):
-                y = c.reliable()
-                if y is None:
-                    y = model.score(c.features()) > 0
-                if y:
+                if model.score(c) > 0:
                     put(at, c.end)
                     at = c.end
         put(at, hi)
     return out
 
 
-def train(documents: DataFrame, id: str, text: str, sample: int = 3000, rows: int = 30_000) -> MaxEnt:
-    """The model of a corpus, from at most `rows` reliable examples of the `sample` documents of least hash."""
-    picked = documents.where(F.col(text).isNotNull() & F.col(id).isNotNull()).select(F.xxhash64(F.lit(41), id).alias("h"), F.col(id).alias("d"), F.col(text).alias("t"))
-    picked = picked.orderBy("h", "d", "t").limit(sample).repartition(documents.sparkSession.sparkContext.defaultParallelism, "h")
+def train(documents: DataFrame, id: str, text: str, sample: int = 3000, rows: int = 40_000) -> MaxEnt:
+    """The model of a corpus, from at most `rows` labelled candidates of some `sample` documents, chosen by the hash of their id.
+
+    The share of documents that gives the sample is known from their number, so each is chosen where it stands and no
+    text moves to another task but to spread the sample itself.
+    """
+    there = documents.where(F.col(text).isNotNull() & F.col(id).isNotNull()).select(F.xxhash64(F.lit(41), id).alias("h"), F.col(text).alias("t"))
+    share = min(1.0, sample / max(1, there.count()))
+    picked = there.where(F.pmod("h", F.lit(1 << 40)) < int(share * (1 << 40)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for t in b.column(b.schema.get_field_index("t")).to_pylist():
                 ex = examples(t)
                 if ex:
-                    yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in ex], pa.list_(pa.string())), pa.array([y for _, y in ex], pa.int32())], names=["f", "y"])
+                    yield pa.RecordBatch.from_arrays([pa.array([places(c) for c, _ in ex], pa.list_(pa.int32())), pa.array([y for _, y in ex], pa.int32())], names=["f", "y"])
 
-    got = picked.mapInArrow(run, "f array<string>, y int").orderBy(F.xxhash64("f"), "f", "y").limit(rows).toArrow()
+    got = spread(picked, "h").mapInArrow(run, "f array<int>, y int").orderBy(F.xxhash64("f"), "f", "y").limit(rows).toArrow()
     return MaxEnt().fit(got["f"].to_pylist(), got["y"].to_pylist())
 
 
-def sentences(documents: DataFrame, id: str = "doc_id", text: str = "text", sample: int = 3000, rows: int = 30_000) -> DataFrame:
+def sentences(documents: DataFrame, id: str = "doc_id", text: str = "text", sample: int = 3000, rows: int = 40_000, model: MaxEnt | None = None) -> DataFrame:
     """`id, start_at, end_at` (BIGINT, code points, end exclusive) of every sentence of every text.
 
     Texts that are null, empty or of white space only have no rows; rows with a null id are left out; the same id
     twice gives the sentences of both rows. `sample` and `rows` bound what the model is trained on (see train); an
-    empty corpus trains none. Other columns are not read.
+    empty corpus trains none; a `model` given is used as it is. Other columns are not read.
     """
-    model = train(documents, id, text, sample, rows)
+    model = model or train(documents, id, text, sample, rows)
     keep = np.flatnonzero(model.weights)
-    shared = documents.sparkSession.sparkContext.broadcast((keep, model.weights[keep].astype(np.float32), model.bias))  # at most 2**BITS weights
+    shared = documents.sparkSession.sparkContext.broadcast((keep.astype(np.int32), model.weights[keep].astype(np.float32), model.bias))  # at most 2**BITS weights
     kind = documents.schema[id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -181,14 +181,52 @@ CASES = [
 ]
 
 
+class Always:
+    def score(self, c):
+        return 1
+
+
+class Rules:
+    """The labels alone, with one answer for what they leave open."""
+
+    def __init__(self, rest):
+        self.rest = rest
+
+    def score(self, c):
+        y = S.reliable(c)
+        return (self.rest if y is None else y) - 0.5
+
+
+@pytest.fixture(scope="module")
+def labelled(sf):
+    import pyarrow.parquet as pq
+
+    texts = [t for t in pq.read_table(f"{sf}/documents.parquet", columns=["text"])["text"].to_pylist() if t]
+    random.Random(3).shuffle(texts)
+    return [e for t in texts for e in S.examples(t)]
+
+
+@pytest.fixture(scope="module")
+def model(labelled):
+    cut = len(labelled) * 3 // 4
+    return S.MaxEnt().fit([S.places(c) for c, _ in labelled[:cut]], [y for _, y in labelled[:cut]])
+
+
 @pytest.mark.parametrize("text,n", CASES)
-def test_sentences(text, n):
-    got = S.split(text, S.MaxEnt())
+def test_sentences(model, text, n):
+    got = S.split(text, model)
     assert len(got) == n, [text[a:b] for a, b in got]
     assert "".join(text[a:b] for a, b in got).split() == text.split() or "".join("".join(text[a:b].split()) for a, b in got) == "".join(text.split())
     assert all(not text[a].isspace() and not text[b - 1].isspace() for a, b in got)
 
 
+def test_the_model_decides(model):
+    """Neither taking every candidate nor the labels alone gives the sentences that the model gives."""
+    right = lambda m: sum(len(S.split(t, m)) == n for t, n in CASES)
+    assert right(model) == len(CASES)
+    assert right(Always()) < 0.6 * len(CASES) and right(Rules(0)) < 0.6 * len(CASES) and right(Rules(1)) < len(CASES)
+
+
 def test_sentences_without_text(spark):
     df = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, " \u00a0\n\u3000", 0), (4, "A. B", 0), (None, "Lost.", 0), (5, "😀 Done. Next one.", 0)], "doc_id long, text string, start_at int")
     got = sorted(tuple(r) for r in S.sentences(df).collect())
@@ -196,19 +234,31 @@ def test_sentences_without_text(spark):
     assert S.sentences(df.where("doc_id > 9")).count() == 0
 
 
-def test_model_learns_held_out_boundaries(spark, sf):
-    texts = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").where("text IS NOT NULL").orderBy("doc_id").select("text").collect()]
-    ex = [e for t in texts for e in S.examples(t)]
-    cut = len(ex) * 3 // 4
-    m = S.MaxEnt().fit([f for f, _ in ex[:cut]], [y for _, y in ex[:cut]])
-    right = sum((m.score(f) > 0) == bool(y) for f, y in ex[cut:])
-    assert right / len(ex[cut:]) > 0.97
+def test_model_learns_held_out_boundaries(model, labelled):
+    hold = labelled[len(labelled) * 3 // 4 :]
+    assert sum((model.score(c) > 0) == bool(y) for c, y in hold) / len(hold) > 0.98
+
+
+def test_tokens_are_whole():
+    a, b = "x" * 500, "Y" + "y" * 700
+    c = S.candidates(f"one {a}. {b} two", 0, 1210)[0]
+    assert (c.before, c.left, c.right) == ("one", a, b)
+    c = S.candidates("at 5 p.m. Then", 0, 14)[-1]
+    assert (c.left, c.inner, c.before, c.end) == ("m", True, "p", 9)
+
+
+def test_sample_is_spread_and_bounded(spark):
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("Mr. A "), "id", F.lit(" went. Then it ended.\n\nA new one begins. Fine")).alias("text"))
+    m = S.train(df, "doc_id", "text", sample=200, rows=100)
+    assert np.count_nonzero(m.weights)
+    given = S.sentences(df, model=m)
+    assert given.count() == 4 * 4000
 
 
 def test_long_texts_take_time_in_proportion():
     import time
 
-    for unit in ("word ", "a.b", "( ", '"x. ', "AB ", "((((", "- x\n", "1E E7 ", "ก ข "):
+    for unit in ("word ", "a.b", "( ", '"x. ', "AB ", "((((", "- x\n", "1E E7 ", "ก ข ", ". ", "a. (b) ", "x.) "):
         t = time.time()
         S.split(unit * (60_000 // len(unit)), S.MaxEnt())
         assert time.time() - t < 15, unit
