@@ -177,6 +177,8 @@ CASES = [
     ("डॉ. मिरानी ने छोड़ीं। फिर से पाईं ।", 2),
     ("Τι έγινε; Ο δίσκος γέμισε.", 2),
     ("ระบบตรวจสอบพบไฟล์ a_1.jpg แล้วค่ะ ไฟล์ซ้ำมี 3 กลุ่มครับ", 2),
+    ("L'archivista ha saltato la posta come detto all'art. 1080. La scansione è finita.", 2),
+    ("Mr. Quillby found it after 35.3 s, min. 7992, max. 528 under the attic. It ended.", 2),
     ("One pass ended.Nobody moved it. See D:\\mix\\v8.6 and scan.v6.JPG now.", 3),
 ]
 
