@@ -109,18 +109,24 @@ def test_consensus_of_large_groups(spark, chunk):
 TEXTS = [None, "", " ", "Hello world's best, 1234 files!!  \n\n x", "naïve — 日本語のテキスト ไทย हिन्दी", "<|endoftext|> it's", "a" * 3000, "\u00a0\u3000 tab\tnew\r\nline", "I'll we've they're don't 'S", "emoji 😀👍🏽 \u200d", "x  y   z "]
 
 
-@pytest.mark.parametrize("hot", [20_000, 5, 0])
+@pytest.mark.parametrize("hot", [8 << 20, 300, 0])
 def test_encode_equals_library(spark, hot):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
     t.encode_special_tokens = True
     df = spark.createDataFrame([(i, x, "clash") for i, x in enumerate(TEXTS)] + [(None, "lost", "")], "doc_id long, text string, words string")
-    out = encode(df, hot_words=hot)
+    out = encode(df, hot_bytes=hot)
     got = {r["doc_id"]: r["ids"] for r in out.collect()}
     assert got == {i: t.encode(x, add_special_tokens=False).ids if x else [] for i, x in enumerate(TEXTS)}
     assert {r["doc_id"]: r["text"] for r in decode(out).collect()} == {i: x or "" for i, x in enumerate(TEXTS)}
-    assert {r["doc_id"]: r["n_tokens"] for r in token_counts(df, hot_words=hot).collect()} == {i: len(v) for i, v in got.items()}
+    assert {r["doc_id"]: r["n_tokens"] for r in token_counts(df, hot_bytes=hot).collect()} == {i: len(v) for i, v in got.items()}
+
+
+def test_encode_takes_the_greatest_of_repeated_ids(spark):
+    df = spark.createDataFrame([(1, "a b"), (1, "c"), (1, None), (2, "c"), (2, "c")], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in decode(encode(df, hot_bytes=20)).collect()} == {1: "c", 2: "c"}
+    assert sorted(map(tuple, token_counts(df).collect())) == [(1, 1), (2, 1)]
 
 
 def test_encode_empty_table(spark):
