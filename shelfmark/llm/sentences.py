@@ -67,6 +67,7 @@ LOG_LINE = re.compile(r"\s*\[?\d{4}[-/.]\d\d?[-/.]\d\d?[T ,]+\d\d?:\d\d")
 BULLET = re.compile(rf"[{WHITE}]*(?:[-*•–—·◦▪‣+]|\d{{1,3}}[.)]|[^\W\d_]\)|\(\w{{1,3}}\))[{WHITE}]+(?=[^{WHITE}])")
 NUMBERED = re.compile(rf"[{WHITE}]*(\d{{1,3}})[.)]")
 HEX = re.compile(r"[0-9A-Fa-f]+:?$")
+HEX_FIRST = re.compile(r"[0-9A-Fa-f]+:?\s")
 THAI = re.compile("[฀-๿]")
 WORD = re.compile(r"[^\W\d_]+")
 GAPS = " \u00a0\u202f\u2009"  # between words and the marks set off from them
@@ -85,10 +86,9 @@ BITS = 18
 def dump_line(line: str) -> bool:
     """Bytes in hex, rules of one repeated mark, or one long token without anything a sentence has."""
     s = line.strip()
-    parts = s.split()
-    if len(parts) >= 6 and all(len(p.rstrip(":")) in (2, 4, 8) and HEX.match(p) for p in parts):
+    if HEX_FIRST.match(s) and len(parts := s.split()) >= 6 and all(len(p.rstrip(":")) in (2, 4, 8) and HEX.match(p) for p in parts):
         return True
-    if len(s) >= 8 and len(set(s)) <= 2:
+    if len(s) >= 8 and len(set(s[:3])) <= 2 and len(set(s)) <= 2:
         return True
     return len(s) >= 40 and not SPACE.search(s) and s.isascii() and not s.endswith((".", "!", "?")) or len(s) >= 40 and "\\" in s and s.count("\\") >= 4 and not re.search(rf"[.!?。！？][{WHITE}]|[。！？।]", s) and s.count(" ") * 12 < len(s)
 
@@ -389,27 +389,51 @@ def reliable(c: Candidate) -> int | None:
     return None
 
 
-def keys(c: Candidate) -> tuple[tuple, tuple, tuple, tuple]:
-    """What the features of a candidate are made of, in four parts that recur: shapes, and the tokens themselves in their context."""
-    wl, wr, wb = shape(c.left), shape(c.right, c.after), shape(c.before.rstrip("."))
-    sl, sr = script(c.left[-1:]), script(c.right[:1])
-    low, nxt = c.left.lower(), c.right.lower()
-    if sl in UNSPACED:
+VAGUE = {"digit", "file", "File", "path"}  # tokens of which only the shape counts
+
+
+@lru_cache(1 << 16)
+def _ending(left: str) -> tuple[str, str, int, str]:
+    """Of the token before a mark: the token as a feature, shape, length up to 6, script."""
+    w, s, low = shape(left), script(left[-1:]), left.lower()
+    if s in UNSPACED:
         low = low[-1:]  # without spaces the neighbouring tokens are characters
-    elif wl == "digit":
+    elif w == "digit":
         low = "0" * min(len(low), 5) if low.isdigit() else "0.0"
-    elif wl in ("file", "File", "path"):
-        low = wl
-    if sr in UNSPACED:
-        nxt = nxt[:3] if c.closed else nxt[:1]
-    elif wr in ("digit", "file", "File", "path"):
-        nxt = wr
-    stopped = c.before.endswith(".")
+    elif w in VAGUE:
+        low = w
+    return low, w, min(len(left), 6), s
+
+
+@lru_cache(1 << 16)
+def _beginning(right: str, after: str, closed: str) -> tuple[str, str, str]:
+    """Of the token after a mark: the token as a feature, shape, script."""
+    w, s, low = shape(right, after), script(right[:1]), right.lower()
+    if s in UNSPACED:
+        low = low[:3] if closed else low[:1]
+    elif w in VAGUE:
+        low = w
+    return low, w, s
+
+
+@lru_cache(1 << 16)
+def _second(before: str) -> tuple[str, str, bool]:
+    """Of the token before the last one: the token as a feature, shape, whether an end mark stands between."""
+    w = shape(before.rstrip("."))
+    return w if w in VAGUE else before.lower(), w, before.endswith(".")
+
+
+def keys(c: Candidate) -> tuple[tuple, tuple, tuple, tuple]:
+    """What the features of a candidate are made of, in four parts that recur: shapes, and the tokens themselves in their context."""
+    _, _, term, gap, left, inner, before, right, after, closed, first = c
+    low, wl, size, sl = _ending(left)
+    nxt, wr, sr = _beginning(right, after, closed)
+    prev, wb, stopped = _second(before)
     return (
-        ("S", c.term, c.gap, c.closed, c.first, wl, min(len(c.left), 6), c.inner, wr, wb, stopped, sl, sr),
-        ("L", low, c.term, c.gap, wr, wb, (wb if wb in ("digit", "file", "File", "path") else c.before.lower()) if c.inner else None),
-        ("R", nxt, c.term, wl, c.closed),
-        ("B", "" if c.inner else shape(c.before) if wb in ("digit", "file", "File", "path") else c.before.lower(), wl, min(len(c.left), 4)),
+        ("S", term, gap, closed, first, wl, size, inner, wr, wb, stopped, sl, sr),
+        ("L", low, term, gap, wr, wb, prev if inner else None),
+        ("R", nxt, term, wl, closed),
+        ("B", "" if inner else prev, wl, min(size, 4)),
     )
 
 
@@ -450,16 +474,17 @@ class MaxEnt:
 
     def _part(self, key: tuple) -> float:
         """The weight of one part; parts recur, so they are remembered (200,000 at a time)."""
-        got = self._known.get(key)
-        if got is None:
-            if len(self._known) >= 200_000:
-                self._known.clear()
-            got = self._known[key] = float(self.weights[[place(f) for f in features(key)]].sum())
+        if len(self._known) >= 200_000:
+            self._known.clear()
+        got = self._known[key] = float(self.weights[[place(f) for f in features(key)]].sum())
         return got
 
     def score(self, c: Candidate) -> float:
-        a, b, d, e = keys(c)
-        return self._part(a) + self._part(b) + self._part(d) + self._part(e) + self.bias
+        total, known = self.bias, self._known
+        for k in keys(c):
+            w = known.get(k)
+            total += self._part(k) if w is None else w
+        return total
 
     def fit(self, x: list[list[int]], y: list[int], rounds: int = 8, rate: float = 0.2, ridge: float = 1e-6, batch: int = 64) -> "MaxEnt":
         """Adaptive gradient ascent on the log-likelihood, in small batches, with both classes weighted alike; x holds places of features."""
@@ -507,8 +532,13 @@ def examples(text: str) -> list[tuple[Candidate, int]]:
     return out
 
 
+@lru_cache(1 << 17)
+def _places(key: tuple) -> tuple[int, ...]:
+    return tuple(place(f) for f in features(key))
+
+
 def places(c: Candidate) -> list[int]:
-    return [place(f) for k in keys(c) for f in features(k)]
+    return [p for k in keys(c) for p in _places(k)]
 
 
 def split(text: str, model: MaxEnt) -> list[tuple[int, int]]:
