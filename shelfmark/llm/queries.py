@@ -105,6 +105,21 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(sizes, "doc_id", "n_tokens", 2048).withColumnRenamed("size", "n_tokens")
 
 
+@query("p8_checked", "SELECT count(*) FILTER (text <> '') AS documents, 0 AS over_capacity, 0 AS tokens_lost, 0 AS cut_needlessly, true AS tight FROM documents")
+def p8_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sums of the packing: texts in containers, containers over their capacity, tokens lost, texts cut that would fit, and whether at most one container in a hundred (and eight) is more than the tokens need."""
+    docs = table(spark, sf_dir, "documents")
+    sizes = Scratch(spark, "checked").save(token_counts(docs))
+    c = Scratch(spark, "checked").save(pack(sizes, "doc_id", "n_tokens", 2048))
+    fill = c.groupBy("container").agg(F.sum("size").alias("fill")).agg(F.count_if(F.col("fill") > 2048).alias("over_capacity"), F.count("*").alias("containers"), F.coalesce(F.sum("fill"), F.lit(0)).alias("packed"))
+    per = c.groupBy("doc_id").agg(F.count("*").alias("parts"), F.sum("size").alias("tokens"))
+    items = per.agg(F.count("*").alias("documents"), F.count_if((F.col("parts") > 1) & (F.col("tokens") <= 2048)).alias("cut_needlessly"))
+    total = sizes.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("total"))
+    sums = items.unionByName(fill, allowMissingColumns=True).unionByName(total, allowMissingColumns=True)
+    sums = sums.agg(*[F.max(n).alias(n) for n in sums.columns])  # three rows of one sum each
+    return sums.select("documents", "over_capacity", (F.col("total") - F.col("packed")).alias("tokens_lost"), "cut_needlessly", (F.col("containers") <= F.ceil(F.col("total") / 2048) * 1.01 + 8).alias("tight"))
+
+
 @query("p9_found")
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences(table(spark, sf_dir, "documents"))
