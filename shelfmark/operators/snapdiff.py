@@ -1,9 +1,10 @@
 """What changed between full snapshots, by subtracting invertible Bloom lookup tables.
 
-Only a key and two digests of each row are shuffled, by hash bucket of the key. Per bucket and pair of consecutive
-snapshots, the lookup table of the earlier is subtracted from that of the later, the differing key-digest pairs are
-peeled off, a table too small to peel is enlarged with another seed, and the sums of both sides must agree with what
-was recovered. The recovered keys are classified by which side, and which digest, they differ in.
+Rows are reduced to a key and two digests where they stand. Every snapshot's rows of a hash bucket become lookup
+tables of a size that follows the number of differences, not of rows; two snapshots never meet but as tables. The
+table of the earlier is subtracted from that of the later, the differing key-digest pairs are peeled off, the sums of
+both sides must agree with what was recovered, and only for buckets that don't peel are rows read again, into tables
+twice as large. The recovered keys are classified by which side, and which digest, they differ in.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from ..shared import Scratch, small_side
 
 HASHES = 3  # cells of a table that hold one element
 KINDS = np.array(["inserted", "deleted", "moved", "updated"])
+SAMPLE = 32  # of so many keys one serves to estimate how many differ; an estimate too low costs another round, never a row
 
 
 def _digest(cols: list[str], seed: int):
@@ -31,7 +33,7 @@ def _digest(cols: list[str], seed: int):
 
 def snapshot_changes(
     snapshots: DataFrame, source: str = "volume_id", snap: str = "snap_no", delivery: str = "delivery_no", key: str = "file_ref",
-    place: tuple[str, ...] = ("parent_ref", "name"), content: tuple[str, ...] = ("size", "modified_at", "attrs"), bucket_rows: int = 4096, first_cells: float = 0.5,
+    place: tuple[str, ...] = ("parent_ref", "name"), content: tuple[str, ...] = ("size", "modified_at", "attrs"), bucket_rows: int = 4096, spare: float = 1.5,
 ) -> DataFrame:
     """`source, snap, key, change_kind` for every key that differs between a snapshot and the one before it.
 
@@ -40,24 +42,52 @@ def snapshot_changes(
     once; of different rows with one key the greatest digests hold. `moved`: a place column differs, else `updated`: a
     content column differs; null is a value of its own. The first snapshot of a source, a single one and an empty
     table give no rows. Digests have 64 bits each: two different rows are taken as equal with probability 2^-64.
-    `bucket_rows`: rows of the largest snapshot per bucket; `first_cells`: cells of the first table per row of the
-    bucket, which is right for some 40 % of changed rows and is enlarged where it isn't.
+    `bucket_rows`: rows of the largest snapshot per bucket; `spare`: cells of a table for each difference expected.
     """
     spark = snapshots.sparkSession
+    scratch = Scratch(spark, "snapdiff")
     usable = snapshots.where(F.col(source).isNotNull() & F.col(snap).isNotNull() & F.col(delivery).isNotNull())
     runs = usable.groupBy(F.col(source).alias("src"), F.col(snap).alias("snap"), F.col(delivery).alias("deliv")).agg(F.count("*").alias("n"))
     w = Window.partitionBy("src", "snap")
     last = runs.withColumn("_top", F.max("deliv").over(w)).where("deliv = _top")
     order = Window.partitionBy("src").orderBy("snap")
-    last = Scratch(spark, "snapdiff").save(last.select("src", "snap", "deliv", "n", F.lag("snap").over(order).alias("before"), F.row_number().over(order).alias("nth")))
+    last = scratch.save(last.select("src", "snap", "deliv", "n", F.row_number().over(order).alias("nth")))
     n_last, largest = last.agg(F.count("*"), F.max("n")).first()
     buckets = max(1, math.ceil((largest or 0) / bucket_rows))
     rows = usable.where(F.col(key).isNotNull()).select(
-        F.col(source).alias("src"), F.col(snap).alias("snap"), F.col(delivery).alias("deliv"), F.col(key).alias("key"), _digest(list(place), 7).alias("d1"), _digest(list(content), 11).alias("d2")
+        F.col(source).alias("src"), F.col(snap).alias("snap"), F.col(delivery).alias("deliv"), F.col(key).cast("long").alias("key"), _digest(list(place), 7).alias("d1"), _digest(list(content), 11).alias("d2")
     )
-    rows = rows.join(small_side(last.select("src", "snap", "deliv", "nth"), n_last), ["src", "snap", "deliv"]).select("src", F.pmod(F.xxhash64(F.lit(3), "key"), F.lit(buckets)).cast("int").alias("bucket"), "nth", F.col("key").cast("long").alias("key"), "d1", "d2")
-    found = rows.groupBy("src", "bucket").applyInArrow(_differ(first_cells), f"src {rows.schema['src'].dataType.simpleString()}, nth int, key long, change_kind string")
-    out = found.join(small_side(last.select("src", "nth", "snap"), n_last), ["src", "nth"])
+    rows = scratch.save(rows.join(small_side(last.select("src", "snap", "deliv", "nth"), n_last), ["src", "snap", "deliv"]).select("src", "nth", F.pmod(F.xxhash64(F.lit(3), "key"), F.lit(buckets)).cast("int").alias("bucket"), "key", "d1", "d2"))
+
+    # how many key-digest pairs differ, for each pair of neighbours (named by the later), from a share of the keys
+    some = rows.where(F.pmod(F.xxhash64(F.lit(5), "key"), F.lit(SAMPLE)) == 0).groupBy("src", "nth", "key").agg(F.max(F.struct("d1", "d2")).alias("d"))
+    sides = F.explode(F.array(F.struct(F.col("nth").alias("pair"), F.lit(1).alias("sign")), F.struct((F.col("nth") + 1).alias("pair"), F.lit(-1).alias("sign")))).alias("x")
+    differ = some.select("src", "key", "d", sides).groupBy("src", "x.pair", "key", "d").agg(F.sum("x.sign").alias("s")).where("s <> 0").groupBy("src", "pair").agg((F.count("*") * SAMPLE / buckets).alias("expected"))
+    differ = scratch.save(differ)
+    kind = rows.schema["src"].dataType.simpleString()
+    table = f"src {kind}, bucket int, pair int, later boolean, width int, seed int, cells binary, sums array<long>"
+    want = last.select("src", "nth").join(differ.withColumnRenamed("pair", "nth"), ["src", "nth"], "left").select("src", "nth", F.coalesce("expected", F.lit(0.0)).alias("expected"))
+    nxt = last.select("src", "nth").join(differ.select("src", (F.col("pair") - 1).alias("nth"), F.col("expected").alias("next")), ["src", "nth"], "left").select("src", "nth", F.coalesce("next", F.lit(0.0)).alias("next"))
+    ends = last.groupBy("src").agg(F.max("nth").alias("end"))
+    sizes = scratch.save(want.join(nxt, ["src", "nth"]).join(ends, "src").select("src", "nth", "expected", "next", "end"))
+    found: list[DataFrame] = []
+    todo, grown = rows.join(small_side(sizes, n_last), ["src", "nth"]).withColumn("pairs", F.lit(None).cast("array<int>")), 1
+    while True:
+        tables = todo.groupBy("src", "nth", "bucket").applyInArrow(_tables(spare * grown, grown), table)
+        got = scratch.save(tables.groupBy("src", "bucket", "pair").applyInArrow(_differ, f"src {kind}, bucket int, nth int, key long, change_kind string"))
+        found.append(got.where("change_kind IS NOT NULL"))
+        failed = got.where("change_kind IS NULL").select("src", "bucket", "nth")
+        n_failed = failed.count()
+        if not n_failed:
+            break
+        # the rows of both sides of what failed
+        both = failed.select("src", "bucket", F.explode(F.array("nth", F.col("nth") - 1)).alias("n"), "nth").groupBy("src", "bucket", F.col("n").alias("nth")).agg(F.collect_set("nth").alias("pairs"))
+        again = rows.join(small_side(both, 2 * n_failed), ["src", "bucket", "nth"])
+        todo, grown = again.join(small_side(sizes, n_last), ["src", "nth"]).select(*todo.columns), grown * 2
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    out = out.join(small_side(last.select("src", "nth", "snap"), n_last), ["src", "nth"])
     return out.select(F.col("src").alias(source), F.col("snap").alias(snap), F.col("key").alias(key), "change_kind")
 
 
@@ -94,6 +124,16 @@ class LookupTable:
             for i in range(4):
                 np.bitwise_xor.at(self.sums[i], c, both[i])
 
+    def pack(self) -> bytes:
+        return self.count.astype(np.int32).tobytes() + self.sums.tobytes()
+
+    @classmethod
+    def unpack(cls, raw: bytes, width: int, seed: int) -> "LookupTable":
+        t, n = cls(width, seed), width * HASHES
+        t.count = np.frombuffer(raw, np.int32, n).astype(np.int64)
+        t.sums = np.frombuffer(raw, np.uint64, 4 * n, 4 * n).reshape(4, n).copy()
+        return t
+
     def subtract(self, other: "LookupTable") -> "LookupTable":
         d = LookupTable(self.width, self.seed)
         d.count, d.sums = self.count - other.count, self.sums ^ other.sums
@@ -117,57 +157,76 @@ class LookupTable:
         return np.hstack(got), np.concatenate(signs)
 
 
-def difference(earlier: np.ndarray, later: np.ndarray, first_cells: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
-    """Elements in one of two sets only, with +1 for the later; the table grows until it peels and the sums agree."""
-    n = max(earlier.shape[1], later.shape[1])
-    width, seed = max(16, math.ceil(n * first_cells / HASHES)), 1
+def difference(earlier: LookupTable, later: LookupTable, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Elements in one of two sets only, with +1 for the later, if the tables peel and the sums (later less earlier) agree."""
+    got = later.subtract(earlier).peel()
+    if got is None:
+        return None
+    e, s = got
     with np.errstate(over="ignore"):
-        gap = later.sum(axis=1, dtype=np.uint64) - earlier.sum(axis=1, dtype=np.uint64)
-        while True:
-            a, b = LookupTable(width, seed), LookupTable(width, seed)
-            a.add(earlier, 1)
-            b.add(later, 1)
-            got = b.subtract(a).peel()
-            if got is not None:
-                e, s = got
-                if (e[:, s > 0].sum(axis=1, dtype=np.uint64) - e[:, s < 0].sum(axis=1, dtype=np.uint64) == gap).all():
-                    return e, s
-            width, seed = width * 2, seed + 1
-
-
-def _differ(first_cells: float):
+        agree = e[:, s > 0].sum(axis=1, dtype=np.uint64) - e[:, s < 0].sum(axis=1, dtype=np.uint64) == gap
+    return (e, s) if agree.all() else None
+
+
+def _once(e: np.ndarray) -> np.ndarray:
+    """Of equal keys the one with the greatest digests."""
+    e = e[:, np.lexsort((e[2], e[1], e[0]))]
+    last = np.ones(e.shape[1], bool)
+    last[:-1] = e[0, 1:] != e[0, :-1]
+    return e[:, last]
+
+
+def _elements(t: pa.Table) -> np.ndarray:
+    return np.vstack([t[c].to_numpy().view(np.uint64) for c in ("key", "d1", "d2")])
+
+
+def _tables(spare: float, seed: int):
+    """The tables of one snapshot's bucket: as the later side of its own pair, as the earlier side of the next one."""
+
     def run(t: pa.Table) -> pa.Table:
-        nth = t["nth"].to_numpy()
-        e = np.vstack([t[c].to_numpy().view(np.uint64) for c in ("key", "d1", "d2")])
-        order = np.lexsort((e[2], e[1], e[0], nth))
-        nth, e = nth[order], e[:, order]
-        last = np.ones(len(nth), bool)  # of equal (nth, key) the greatest digests
-        last[:-1] = (nth[1:] != nth[:-1]) | (e[0, 1:] != e[0, :-1])
-        nth, e = nth[last], e[:, last]
-        cut = {int(k): (int(a), int(b)) for k, a, b in zip(*(lambda u: (u[0], u[1], np.append(u[1][1:], len(nth))))(np.unique(nth, return_index=True)))}
-        keys, kinds, at = [], [], []
-        # a snapshot without rows in this bucket is an empty set, so neighbours are taken by number
-        for k in sorted(set(cut) | {k + 1 for k in cut}):
-            (a0, a1), (b0, b1) = cut.get(k - 1, (0, 0)), cut.get(k, (0, 0))
-            if k == 1:
+        one = {c: t[c][0].as_py() for c in ("src", "nth", "bucket", "expected", "next", "end", "pairs")}
+        e = _once(_elements(t))
+        sums = e.sum(axis=1, dtype=np.uint64).view(np.int64).tolist()
+        rows = []
+        for pair, later, expected in ((one["nth"], True, one["expected"]), (one["nth"] + 1, False, one["next"])):
+            if not 1 < pair <= one["end"] or (one["pairs"] is not None and pair not in one["pairs"]):
                 continue
-            d, s = difference(e[:, a0:a1], e[:, b0:b1], first_cells)
-            o = np.lexsort((s, d[0]))
-            d, s = d[:, o], s[o]
-            pair = np.zeros(len(s), bool)  # the earlier version of a key, followed by its later one
-            pair[:-1] = d[0, 1:] == d[0, :-1]
-            second = np.zeros(len(s), bool)
-            second[1:] = pair[:-1]
-            moved = np.zeros(len(s), bool)
-            moved[:-1] = pair[:-1] & (d[1, 1:] != d[1, :-1])
-            kind = np.where(pair, np.where(moved, 2, 3), np.where(s > 0, 0, 1))[~second]
-            keys.append(d[0][~second])
-            kinds.append(kind)
-            at.append(np.full(len(kind), k, np.int32))
-        n = sum(map(len, keys))
-        cat = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
-        key = (np.concatenate(keys) if keys else np.zeros(0, np.uint64)).view(np.int64)
-        src = pa.array([t["src"][0].as_py()] * n, type=t.schema.field("src").type) if n else pa.array([], type=t.schema.field("src").type)
-        return pa.table({"src": src, "nth": pa.array(cat(at, np.int32)), "key": pa.array(key), "change_kind": pa.array(KINDS[cat(kinds, np.int64)].tolist(), pa.string())})
+            # room for the usual deviation of a bucket from the mean, too
+            width = math.ceil(spare * (expected + 4 * math.sqrt(expected) + 8) / HASHES)
+            table = LookupTable(width, seed)
+            table.add(e, 1)
+            rows.append((one["src"], one["bucket"], pair, later, width, seed, table.pack(), sums))
+        cols = list(zip(*rows)) or [[] for _ in range(8)]
+        kinds = [t.schema.field("src").type, pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], names=["src", "bucket", "pair", "later", "width", "seed", "cells", "sums"])
 
     return run
+
+
+def _differ(t: pa.Table) -> pa.Table:
+    """The changes of one bucket between two snapshots, or one row without a kind if the tables don't peel; a side without rows is empty."""
+    width, seed = t["width"][0].as_py(), t["seed"][0].as_py()
+    side = {True: LookupTable(width, seed), False: LookupTable(width, seed)}
+    sums = {True: np.zeros(3, np.uint64), False: np.zeros(3, np.uint64)}
+    for later, cells, total in zip(t["later"].to_pylist(), t["cells"], t["sums"].to_pylist()):
+        side[later] = LookupTable.unpack(cells.as_py(), width, seed)
+        sums[later] = np.array(total, np.int64).view(np.uint64)
+    with np.errstate(over="ignore"):
+        got = difference(side[False], side[True], sums[True] - sums[False])
+    src, bucket, pair = (t[c][0].as_py() for c in ("src", "bucket", "pair"))
+    if got is None:
+        key, kind = np.zeros(1, np.int64), [None]
+    else:
+        d, s = got
+        o = np.lexsort((s, d[0]))
+        d, s = d[:, o], s[o]
+        both = np.zeros(len(s), bool)  # the earlier version of a key, followed by its later one
+        both[:-1] = d[0, 1:] == d[0, :-1]
+        second = np.zeros(len(s), bool)
+        second[1:] = both[:-1]
+        moved = np.zeros(len(s), bool)
+        moved[:-1] = both[:-1] & (d[1, 1:] != d[1, :-1])
+        what = np.where(both, np.where(moved, 2, 3), np.where(s > 0, 0, 1))[~second]
+        key, kind = d[0][~second].view(np.int64), KINDS[what].tolist()
+    n = len(key)
+    return pa.table({"src": pa.array([src] * n, t.schema.field("src").type), "bucket": pa.array([bucket] * n, pa.int32()), "nth": pa.array([pair] * n, pa.int32()), "key": pa.array(key), "change_kind": pa.array(kind, pa.string())})
