@@ -1,10 +1,9 @@
-"""One surviving record for each group of duplicates: by precedence, field by field, or by token consensus.
+"""One surviving record for each group of duplicates, by token consensus.
 
-`precedence_survivors` builds the record from the first copy, in a given order of copies, that has each field: a
-mergeable minimum per field, so a group of any size is reduced before it is shuffled. `consensus_values` aligns the
-tokens of a group's values progressively, lets weighted tokens vote column by column, and emits the existing value
-closest to the consensus. It works on chunks of a bounded number of different values whose profiles are merged in a
-tree, so a group of any size spreads over many tasks.
+`consensus_values` aligns the tokens of a group's values progressively, lets weighted tokens vote column by column, and
+emits the existing value closest to the consensus. It works on chunks of a bounded number of different values whose
+profiles are merged in a tree, so a group of any size spreads over many tasks. Weights are given, or follow from an
+order of precedence in which each copy outweighs all later ones; `file_survivors` builds a record that way.
 """
 
 from __future__ import annotations
@@ -29,34 +28,6 @@ def latest(rows: DataFrame, key: str, at: str, columns: list[str]) -> DataFrame:
     return rows.where(F.col(key).isNotNull()).groupBy(key).agg(pick).select(key, *[f"_r.{c}" for c in columns])
 
 
-def precedence_survivors(copies: DataFrame, group: list[str], id: str, order: list[Column], fields: dict[str, Column]) -> DataFrame:
-    """Per group of two or more copies: `group..., id, <field>_from...`.
-
-    `order` (ascending, then by id) ranks the copies; the first is the survivor, and `<field>_from` is the first copy
-    for which the field's condition holds, 0 if none does. Copies with a null in a group column belong to no group.
-    """
-    rank = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.col(id).alias("id"))
-    keyed = copies
-    for c in group:
-        keyed = keyed.where(F.col(c).isNotNull())
-    g = keyed.withColumn("_rank", rank).groupBy(*group).agg(F.count("*").alias("_n"), F.min("_rank").alias("_first"), *[F.min(F.when(c, F.col("_rank"))).alias(f"_{n}") for n, c in fields.items()])
-    return g.where("_n > 1").select(*group, F.col("_first")["id"].alias(id), *[F.coalesce(F.col(f"_{n}")["id"], F.lit(0)).cast("long").alias(f"{n}_from") for n in fields])
-
-
-def file_survivors(listings: DataFrame) -> DataFrame:
-    """The surviving file of each content: `size, full_hash, entry_id, path_from, modified_from`.
-
-    Of an entry only its latest listing counts. Content is size and hash (hex digits in lower case); a null or blank
-    hash or a null size is no content. Copies rank online, unknown, offline; then latest modified (null, zero and
-    negative are unknown, last); then least entry_id. A path of white space only is none.
-    """
-    rows = latest(listings, "entry_id", "seen_at", ["size", "full_hash", "path", "modified", "online"])
-    known = F.col("modified") > 0
-    rows = rows.select("size", F.nullif(F.lower(F.trim("full_hash")), F.lit("")).alias("full_hash"), "entry_id", "path", "modified", "online")
-    order = [F.when(F.col("online"), 0).when(F.col("online").isNull(), 1).otherwise(2), F.when(known, -F.col("modified")).otherwise(F.lit(1))]
-    return precedence_survivors(rows, ["size", "full_hash"], "entry_id", order, {"path": F.col("path").rlike(f"[^{WHITE}]"), "modified": known})
-
-
 TOKEN = re.compile(r"[\\/]|[^\W\d_]+|\d+|[^\w\\/]|_")
 GAP = ""
 
@@ -76,27 +47,37 @@ def align(profile: list[dict[str, float]], other: list[dict[str, float]]) -> lis
     if lo == n == m:
         return [{k: v + b.get(k, 0.0) for k, v in a.items()} for a, b in zip(profile, other)]
     a, b = profile[lo:], other[lo:]
-    best = [[0.0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(1, len(a) + 1):
-        best[i][0] = -0.4 * i
-    for j in range(1, len(b) + 1):
-        best[0][j] = -0.4 * j
-    for i, x in enumerate(a, 1):
-        row, above = best[i], best[i - 1]
-        for j, y in enumerate(b, 1):
-            same = sum(v * y[k] for k, v in x.items() if k in y) / (wa * wb)
-            row[j] = max(above[j - 1] + (2 * same - 0.9), above[j] - 0.4, row[j - 1] - 0.4)
+    inv = 2 / (wa * wb) if wa and wb else 0.0
+    ones = [next(iter(y.items())) if len(y) == 1 else None for y in b]
+    match = []  # what it brings to put column i beside column j
+    for x in a:
+        row = []
+        for y, one in zip(b, ones):
+            if one is not None:
+                same = x.get(one[0], 0.0) * one[1]
+            else:
+                few, many = (x, y) if len(x) < len(y) else (y, x)
+                same = sum(v * many[k] for k, v in few.items() if k in many)
+            row.append(same * inv - 0.9)
+        match.append(row)
+    best = [[-0.4 * j for j in range(len(b) + 1)]]
+    for i, got in enumerate(match, 1):
+        above, left = best[-1], -0.4 * i
+        row = [left]
+        for j, m in enumerate(got):
+            up, across = above[j] + m, above[j + 1] - 0.4
+            left -= 0.4
+            left = up if up >= across and up >= left else across if across >= left else left
+            row.append(left)
+        best.append(row)
     out, i, j = [], len(a), len(b)
     while i or j:
         here = best[i][j]
-        if i and j:
+        if i and j and abs(here - best[i - 1][j - 1] - match[i - 1][j - 1]) < 1e-9:
             x, y = a[i - 1], b[j - 1]
-            same = sum(v * y[k] for k, v in x.items() if k in y) / (wa * wb)
-            if abs(here - best[i - 1][j - 1] - (2 * same - 0.9)) < 1e-9:
-                out.append({k: x.get(k, 0.0) + y.get(k, 0.0) for k in x.keys() | y.keys()})
-                i, j = i - 1, j - 1
-                continue
-        if i and abs(here - best[i - 1][j] + 0.4) < 1e-9:
+            out.append({k: x.get(k, 0.0) + y.get(k, 0.0) for k in x.keys() | y.keys()})
+            i, j = i - 1, j - 1
+        elif i and abs(here - best[i - 1][j] + 0.4) < 1e-9:
             x = dict(a[i - 1])
             x[GAP] = x.get(GAP, 0.0) + wb
             out.append(x)
@@ -124,67 +105,113 @@ def edit_distance(a: list[str], b: list[str]) -> int:
     return row[-1]
 
 
-def consensus_values(rows: DataFrame, group: str, value: str, weight: Column | None = None, chunk: int = 64, fan: int = 16, hot_rows: int = 2_000_000) -> DataFrame:
+def consensus_values(rows: DataFrame, group: str, value: str, weight: Column | None = None, precedence: list[Column] | None = None, chunk: int = 64, fan: int = 16, hot_rows: int = 2_000_000) -> DataFrame:
     """`group, consensus, value, distance, n_values`: per group the existing value closest to its token consensus.
 
     `weight` (default 1) weighs a row's vote; rows with a null group or value, and weights not above zero, don't vote.
-    Values are aligned heaviest first, then in order; of equally close values the heaviest, then the least wins. An
-    empty value is a value without tokens. `chunk`: different values aligned in one task; `fan`: profiles merged in
-    one step.
+    With a `precedence` (ascending; at most a LONG each) instead, an earlier row outweighs all later ones together: in
+    that order each counts a sixteenth of the one before, in a chunk as among chunks. Values are aligned heaviest or
+    first ones first; of equally close values the heaviest or first, then the least wins. An empty value is a value
+    without tokens. `chunk`: different values aligned in one task; `fan`: profiles merged in one step.
     """
     scratch = Scratch(rows.sparkSession, "consensus")
-    w = F.lit(1.0) if weight is None else weight.cast("double")
-    v = rows.select(F.col(group).alias("g"), F.col(value).alias("v"), w.alias("w")).where("g IS NOT NULL AND v IS NOT NULL AND w > 0").groupBy("g", "v").agg(F.sum("w").alias("w"))
+    kind = rows.schema[group].dataType.simpleString()
+    if precedence is None:
+        w = F.lit(1.0) if weight is None else weight.cast("double")
+        v = rows.select(F.col(group).alias("g"), F.col(value).alias("v"), w.alias("w")).where("g IS NOT NULL AND v IS NOT NULL AND w > 0").groupBy("g", "v").agg(F.sum("w").alias("w"))
+        v = v.select("g", "v", "w", F.array((-F.col("w") * 1000).cast("long")).alias("r"))
+    else:
+        v = rows.select(F.col(group).alias("g"), F.col(value).alias("v"), F.array(*[p.cast("long") for p in precedence]).alias("r")).where("g IS NOT NULL AND v IS NOT NULL")
+        v = v.groupBy("g", "v").agg(F.min("r").alias("r")).select("g", "v", F.lit(1.0).alias("w"), "r")
     v = scratch.save(v)
     sizes = v.groupBy("g").agg(F.count("*").alias("n"))
-    part = lookup_join(v, sizes, "g", "inner", hot_rows).withColumn("c", F.pmod(F.xxhash64("v"), F.ceil(F.col("n") / chunk)).cast("long"))
-    kind = rows.schema[group].dataType.simpleString()
-    schema = f"g {kind}, c long, profile string"
-    profiles = scratch.save(part.select("g", "c", "v", "w").repartition("g", "c").sortWithinPartitions("g", "c", F.desc("w"), "v").mapInArrow(_fold(lambda r: ([{t: r["w"]} for t in tokens(r["v"])])), schema))
+    part = lookup_join(v, sizes, "g", "inner", hot_rows)
+    alone = part.where("n = 1").select("g", F.col("v").alias("consensus"), "v", F.lit(0).cast("long").alias("d"), F.lit(1).cast("long").alias("n"))
+    part = part.where("n > 1").withColumn("c", F.pmod(F.xxhash64("v"), F.ceil(F.col("n") / chunk)).cast("long"))
+    schema = f"g {kind}, c long, r array<bigint>, profile string"
+    falls = precedence is not None
+    profiles = scratch.save(part.select("g", "c", "r", "v", "w").repartition("g", "c").sortWithinPartitions("g", "c", "r", "v").mapInArrow(_fold(lambda r: [{t: r["w"]} for t in tokens(r["v"])], falls), schema))
     while profiles.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
-        up = profiles.withColumn("c", F.floor(F.col("c") / fan)).repartition("g", "c").sortWithinPartitions("g", "c", "profile")
-        profiles = scratch.save(up.mapInArrow(_fold(lambda r: json.loads(r["profile"])), schema))
-    near = lookup_join(v, profiles.select("g", "profile"), "g", "inner", hot_rows).mapInArrow(_near, f"g {kind}, v string, w double, d long, consensus string")
-    best = near.groupBy("g").agg(F.min(F.struct("d", (-F.col("w")).alias("w"), "v")).alias("b"), F.max("consensus").alias("consensus"), F.count("*").alias("n_values"))
-    return best.select(F.col("g").alias(group), "consensus", F.col("b")["v"].alias(value), F.col("b")["d"].alias("distance"), "n_values")
+        up = profiles.withColumn("c", F.floor(F.col("c") / fan)).repartition("g", "c").sortWithinPartitions("g", "c", "r", "profile")
+        profiles = scratch.save(up.mapInArrow(_fold(lambda r: json.loads(r["profile"]), falls), schema))
+    voted = scratch.save(profiles.mapInArrow(_voted, f"g {kind}, tokens array<string>"))
+    near = lookup_join(part.select("g", "v", "r", "n"), voted, "g", "inner", hot_rows).mapInArrow(_near, f"g {kind}, v string, r array<bigint>, n long, d long, consensus string")
+    best = near.groupBy("g").agg(F.min(F.struct("d", "r", "v")).alias("b"), F.max("consensus").alias("consensus"), F.max("n").alias("n"))
+    best = best.select("g", "consensus", F.col("b")["v"].alias("v"), F.col("b")["d"].alias("d"), "n").unionByName(alone)
+    return best.select(F.col("g").alias(group), "consensus", F.col("v").alias(value), F.col("d").alias("distance"), F.col("n").alias("n_values"))
 
 
-def _fold(read):
-    """Profiles of the runs of equal (g, c); holds one profile at a time."""
+def _fold(read, falls: bool):
+    """Profiles of the runs of equal (g, c), the first row's r with each; holds one profile at a time. `falls`: each row weighs a sixteenth of the one before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, profile, done, schema = None, [], [], None
+        at, rank, profile, scale, done, schema = None, None, [], 1.0, [], None
 
         def batch() -> pa.RecordBatch:
-            g, c, p = zip(*done)
+            g, c, r, p = zip(*done)
             done.clear()
-            return pa.RecordBatch.from_arrays([pa.array(g, schema.field("g").type), pa.array(c, pa.int64()), pa.array(p, pa.string())], names=["g", "c", "profile"])
+            return pa.RecordBatch.from_arrays([pa.array(g, schema.field("g").type), pa.array(c, pa.int64()), pa.array(r, pa.list_(pa.int64())), pa.array(p, pa.string())], names=["g", "c", "r", "profile"])
 
         for b in batches:
             schema = b.schema
             for r in b.to_pylist():
                 if (r["g"], r["c"]) != at:
                     if at is not None:
-                        done.append((*at, json.dumps(profile)))
-                    at, profile = (r["g"], r["c"]), read(r)
+                        done.append((*at, rank, json.dumps(profile)))
+                    at, rank, profile, scale = (r["g"], r["c"]), r["r"], read(r), 1.0
                 else:
-                    profile = align(profile, read(r))
+                    other = read(r)
+                    if falls:
+                        scale /= 16
+                        other = [{k: x * scale for k, x in c.items()} for c in other]
+                    profile = align(profile, other)
                 if len(done) >= 1000:
                     yield batch()
         if at is not None:
-            done.append((*at, json.dumps(profile)))
+            done.append((*at, rank, json.dumps(profile)))
             yield batch()
 
     return run
 
 
+def _voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        won = [vote(json.loads(p)) for p in b.column(b.schema.get_field_index("profile")).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("g")), pa.array(won, pa.list_(pa.string()))], names=["g", "tokens"])
+
+
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, list[str]] = {}
     for b in batches:
+        col = lambda n: b.column(b.schema.get_field_index(n))  # noqa: E731, B023
         d, cons = [], []
-        for v, p in zip(b.column(b.schema.get_field_index("v")).to_pylist(), b.column(b.schema.get_field_index("profile")).to_pylist()):
-            if p not in known:
-                known = {p: vote(json.loads(p))}
-            d.append(edit_distance(tokens(v), known[p]))
-            cons.append("".join(known[p]))
-        yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("g")), b.column(b.schema.get_field_index("v")), b.column(b.schema.get_field_index("w")), pa.array(d, pa.int64()), pa.array(cons, pa.string())], names=["g", "v", "w", "d", "consensus"])
+        for v, won in zip(col("v").to_pylist(), col("tokens").to_pylist()):
+            text = "".join(won)
+            d.append(0 if v == text else edit_distance(tokens(v), won))
+            cons.append(text)
+        yield pa.RecordBatch.from_arrays([col("g"), col("v"), col("r"), col("n"), pa.array(d, pa.int64()), pa.array(cons, pa.string())], names=["g", "v", "r", "n", "d", "consensus"])
+
+
+def file_survivors(listings: DataFrame, chunk: int = 64, fan: int = 16, hot_rows: int = 2_000_000) -> DataFrame:
+    """The surviving file of each content: `size, full_hash, entry_id, path_from, modified_from`.
+
+    Of an entry only its latest listing counts. Content is size and hash (hex digits in lower case); a null or blank
+    hash or a null size is no content. Copies rank online, unknown, offline; then latest modified (null, zero and
+    negative are unknown, last); then least entry_id. A path of white space only is none.
+
+    The path is the consensus of the copies' paths, aligned token by token, where a copy outweighs all that rank after
+    it; path_from is the first copy that has the existing path closest to it. The entry and its time are one token
+    each, so nothing is to be aligned and the vote is the heaviest copy's.
+    """
+    scratch = Scratch(listings.sparkSession, "survivors")
+    rows = latest(listings, "entry_id", "seen_at", ["size", "full_hash", "path", "modified", "online"])
+    rows = rows.select("size", F.nullif(F.lower(F.trim("full_hash")), F.lit("")).alias("full_hash"), "entry_id", "path", "modified", "online").where("size IS NOT NULL AND full_hash IS NOT NULL")
+    known = F.col("modified") > 0
+    order = [F.when(F.col("online"), 0).when(F.col("online").isNull(), 1).otherwise(2), F.when(known, -F.col("modified")).otherwise(F.lit(1)), F.col("entry_id")]
+    rows = scratch.save(rows.select(F.concat_ws("-", "size", "full_hash").alias("g"), "size", "full_hash", F.array(*[c.cast("long") for c in order]).alias("rank"), F.when(F.col("path").rlike(f"[^{WHITE}]"), F.col("path")).alias("path"), known.alias("known")))
+    id = lambda c: F.element_at(c, -1)
+    first = rows.groupBy("g", "size", "full_hash").agg(F.count("*").alias("n"), F.min("rank").alias("first"), F.min(F.when(F.col("known"), F.col("rank"))).alias("dated")).where("n > 1")
+    first = scratch.save(first.select("g", "size", "full_hash", id(F.col("first")).alias("entry_id"), F.coalesce(id(F.col("dated")), F.lit(0)).alias("modified_from")))
+    several = rows.where("path IS NOT NULL").join(first.select("g"), "g", "left_semi")
+    chosen = consensus_values(several, "g", "path", precedence=[F.element_at("rank", i) for i in (1, 2, 3)], chunk=chunk, fan=fan, hot_rows=hot_rows).select("g", "path")
+    holder = lookup_join(several.select("g", "path", "rank"), chosen.withColumnRenamed("path", "_p"), "g", "inner", hot_rows).where("path = _p").groupBy("g").agg(F.min("rank").alias("r")).select("g", id(F.col("r")).alias("path_from"))
+    return first.join(holder, "g", "left").select("size", "full_hash", "entry_id", F.coalesce("path_from", F.lit(0)).cast("long").alias("path_from"), "modified_from")

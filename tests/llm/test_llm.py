@@ -50,7 +50,7 @@ def test_union_find():
 # ---- top N ---------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("bounds", [100_000, 0])
+@pytest.mark.parametrize("bounds", [100_000, 1, 0])
 def test_top_n(spark, bounds):
     rnd = random.Random(4)
     rows = [(rnd.choice([1, 1, 1, 2, 3, None]), i, rnd.choice([5, 5, 7, None, -3]), rnd.choice(["b", "a", None, "é", "😀", "z"])) for i in range(400)] + [(9, 1, 2**62, "a"), (9, 2, -(2**62), "b")]
@@ -61,7 +61,26 @@ def test_top_n(spark, bounds):
         best = sorted({(-r[2], (r[3] or "").encode(), r[1]) for r in rows if r[0] == g and r[2] is not None})[:5]
         want |= {(g, b[2], k + 1) for k, b in enumerate(best)}
     df = spark.createDataFrame([(*r, 0) for r in rows], "g long, id long, score long, name string, s long").repartition(6)
-    assert {tuple(r) for r in top_n(df, "g", "id", "score", "name", 5, bound_rows=bounds, hot_rows=50).collect()} == want
+    assert {tuple(r) for r in top_n(df, "g", "id", "score", "name", 5, bound_rows=bounds).collect()} == want
+
+
+def test_top_n_over_batches(spark):
+    """Groups cut by Arrow batches, with repeats of their items."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rnd = random.Random(8)
+        rows = [(rnd.choice([1, 1, 2, 3, 4]), rnd.randrange(12), rnd.randrange(4), rnd.choice("ab")) for _ in range(300)]
+        want = set()
+        for g in {r[0] for r in rows}:
+            best = {}
+            for r in rows:
+                if r[0] == g:
+                    best[r[1]] = min(best.get(r[1], (9, "")), (-r[2], r[3]))
+            want |= {(g, i, k + 1) for k, (_, i) in enumerate(sorted((p, i) for i, p in best.items())[:5])}
+        df = spark.createDataFrame(rows, "g long, id long, score long, name string").repartition(3)
+        assert {tuple(r) for r in top_n(df, "g", "id", "score", "name", 5).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_top_n_ties_stay_few(spark):
@@ -92,6 +111,22 @@ def test_alignment_and_vote():
     assert edit_distance(list("kitten"), list("sitting")) == 3
 
 
+@pytest.mark.parametrize("chunk,hot", [(64, 2_000_000), (2, 3)])
+def test_survivors_of_a_large_group(spark, chunk, hot):
+    """The consensus of copies that outweigh all later ones is the first copy's, however many agree on something else."""
+    rnd, rows = random.Random(chunk), []
+    for i in range(200):
+        path = rnd.choice([None, " ", f"Work\\Year {rnd.randrange(3)}\\report{rnd.randrange(9)}.pdf", f"x{i}\\y", "ré_su-mé²\\…"])
+        rows.append((i, 5 if i % 3 else i % 4, "AB", path, rnd.choice([None, 0, 7, 8, 9]), rnd.choice([True, False, None]), 1))
+    want = set()
+    for size in {r[1] for r in rows}:
+        group = sorted((0 if r[5] else 1 if r[5] is None else 2, -(r[4] or 0), r[0], r) for r in rows if r[1] == size)
+        pick = lambda ok: next((r[0] for *_, r in group if ok(r)), 0)  # noqa: E731, B023
+        want.add((size, "ab", group[0][2], pick(lambda r: r[3] and r[3].strip()), pick(lambda r: r[4])))
+    df = spark.createDataFrame(rows, "entry_id long, size long, full_hash string, path string, modified long, online boolean, seen_at long")
+    assert {tuple(r) for r in file_survivors(df, chunk, 2, hot).select("size", "full_hash", "entry_id", "path_from", "modified_from").collect()} == want
+
+
 @pytest.mark.parametrize("chunk", [64, 3])
 def test_consensus_of_large_groups(spark, chunk):
     rnd, rows = random.Random(2), []
