@@ -30,6 +30,7 @@ def latest(rows: DataFrame, key: str, at: str, columns: list[str]) -> DataFrame:
 
 TOKEN = re.compile(r"[\\/]|[^\W\d_]+|\d+|[^\w\\/]|_")
 GAP = ""
+MISMATCH = 0.7  # less than two gaps of 0.4, so that different tokens in one place share a column and a profile doesn't grow with each
 
 
 def tokens(value: str) -> list[str]:
@@ -41,12 +42,13 @@ def align(profile: list[dict[str, float]], other: list[dict[str, float]]) -> lis
     wa = sum(profile[0].values()) if profile else 0.0
     wb = sum(other[0].values()) if other else 0.0
     n, m = len(profile), len(other)
-    lo = 0
-    while lo < min(n, m) and profile[lo].keys() == other[lo].keys() and len(profile[lo]) == 1:
+    alike = lambda x, y: len(x) == 1 and x.keys() == y.keys()
+    lo, hi = 0, 0
+    while lo < min(n, m) and alike(profile[lo], other[lo]):
         lo += 1  # a common beginning needs no search
-    if lo == n == m:
-        return [{k: v + b.get(k, 0.0) for k, v in a.items()} for a, b in zip(profile, other)]
-    a, b = profile[lo:], other[lo:]
+    while hi < min(n, m) - lo and alike(profile[n - 1 - hi], other[m - 1 - hi]):
+        hi += 1  # nor does a common end
+    a, b = profile[lo : n - hi], other[lo : m - hi]
     inv = 2 / (wa * wb) if wa and wb else 0.0
     ones = [next(iter(y.items())) if len(y) == 1 else None for y in b]
     match = []  # what it brings to put column i beside column j
@@ -58,14 +60,14 @@ def align(profile: list[dict[str, float]], other: list[dict[str, float]]) -> lis
             else:
                 few, many = (x, y) if len(x) < len(y) else (y, x)
                 same = sum(v * many[k] for k, v in few.items() if k in many)
-            row.append(same * inv - 0.9)
+            row.append(same * inv - MISMATCH)
         match.append(row)
     best = [[-0.4 * j for j in range(len(b) + 1)]]
     for i, got in enumerate(match, 1):
         above, left = best[-1], -0.4 * i
         row = [left]
-        for j, m in enumerate(got):
-            up, across = above[j] + m, above[j + 1] - 0.4
+        for j, bring in enumerate(got):
+            up, across = above[j] + bring, above[j + 1] - 0.4
             left -= 0.4
             left = up if up >= across and up >= left else across if across >= left else left
             row.append(left)
@@ -87,8 +89,8 @@ def align(profile: list[dict[str, float]], other: list[dict[str, float]]) -> lis
             y[GAP] = y.get(GAP, 0.0) + wa
             out.append(y)
             j -= 1
-    head = [{k: v + y.get(k, 0.0) for k, v in x.items()} for x, y in zip(profile[:lo], other[:lo])]
-    return head + out[::-1]
+    both = [{k: v + y.get(k, 0.0) for k, v in x.items()} for x, y in [*zip(profile[:lo], other[:lo]), *zip(profile[n - hi :], other[m - hi :])]]
+    return both[:lo] + out[::-1] + both[lo:]
 
 
 def vote(profile: list[dict[str, float]]) -> list[str]:
@@ -134,8 +136,12 @@ def consensus_values(rows: DataFrame, group: str, value: str, weight: Column | N
     while profiles.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
         up = profiles.withColumn("c", F.floor(F.col("c") / fan)).repartition("g", "c").sortWithinPartitions("g", "c", "r", "profile")
         profiles = scratch.save(up.mapInArrow(_fold(lambda r: json.loads(r["profile"]), falls), schema))
-    voted = scratch.save(profiles.mapInArrow(_voted, f"g {kind}, tokens array<string>"))
-    near = lookup_join(part.select("g", "v", "r", "n"), voted, "g", "inner", hot_rows).mapInArrow(_near, f"g {kind}, v string, r array<bigint>, n long, d long, consensus string")
+    voted = scratch.save(profiles.mapInArrow(_voted, f"g {kind}, tokens array<string>, consensus string"))
+    # a value that equals the consensus is the closest one; distances are only measured where there is none
+    equal = scratch.save(part.select("g", "v", "r", "n").join(voted.select("g", F.col("consensus").alias("v")), ["g", "v"]))
+    others = part.select("g", "v", "r", "n").join(equal.select("g"), "g", "left_anti")
+    near = lookup_join(others, voted, "g", "inner", hot_rows).mapInArrow(_near, f"g {kind}, v string, r array<bigint>, n long, d long, consensus string")
+    near = near.unionByName(equal.select("g", "v", "r", "n", F.lit(0).cast("long").alias("d"), F.col("v").alias("consensus")))
     best = near.groupBy("g").agg(F.min(F.struct("d", "r", "v")).alias("b"), F.max("consensus").alias("consensus"), F.max("n").alias("n"))
     best = best.select("g", "consensus", F.col("b")["v"].alias("v"), F.col("b")["d"].alias("d"), "n").unionByName(alone)
     return best.select(F.col("g").alias(group), "consensus", F.col("v").alias(value), F.col("d").alias("distance"), F.col("n").alias("n_values"))
@@ -177,18 +183,14 @@ def _fold(read, falls: bool):
 def _voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         won = [vote(json.loads(p)) for p in b.column(b.schema.get_field_index("profile")).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("g")), pa.array(won, pa.list_(pa.string()))], names=["g", "tokens"])
+        yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("g")), pa.array(won, pa.list_(pa.string())), pa.array(["".join(t) for t in won])], names=["g", "tokens", "consensus"])
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         col = lambda n: b.column(b.schema.get_field_index(n))  # noqa: E731, B023
-        d, cons = [], []
-        for v, won in zip(col("v").to_pylist(), col("tokens").to_pylist()):
-            text = "".join(won)
-            d.append(0 if v == text else edit_distance(tokens(v), won))
-            cons.append(text)
-        yield pa.RecordBatch.from_arrays([col("g"), col("v"), col("r"), col("n"), pa.array(d, pa.int64()), pa.array(cons, pa.string())], names=["g", "v", "r", "n", "d", "consensus"])
+        d = [edit_distance(tokens(v), won) for v, won in zip(col("v").to_pylist(), col("tokens").to_pylist())]
+        yield pa.RecordBatch.from_arrays([col("g"), col("v"), col("r"), col("n"), pa.array(d, pa.int64()), col("consensus")], names=["g", "v", "r", "n", "d", "consensus"])
 
 
 def file_survivors(listings: DataFrame, chunk: int = 64, fan: int = 16, hot_rows: int = 2_000_000) -> DataFrame:
