@@ -66,12 +66,16 @@ def snapshot_changes(
     differ = scratch.save(differ)
     kind = rows.schema["src"].dataType.simpleString()
     table = f"src {kind}, bucket int, pair int, later boolean, width int, seed int, cells binary, sums array<long>"
-    want = last.select("src", "nth").join(differ.withColumnRenamed("pair", "nth"), ["src", "nth"], "left").select("src", "nth", F.coalesce("expected", F.lit(0.0)).alias("expected"))
-    nxt = last.select("src", "nth").join(differ.select("src", (F.col("pair") - 1).alias("nth"), F.col("expected").alias("next")), ["src", "nth"], "left").select("src", "nth", F.coalesce("next", F.lit(0.0)).alias("next"))
+    # expected differences of a snapshot's own pair and of the next one; null where there is no such pair
+    at = ["src", "nth"]
+    own = differ.select("src", F.col("pair").alias("nth"), F.col("expected").alias("e"))
+    nxt = differ.select("src", (F.col("pair") - 1).alias("nth"), F.col("expected").alias("x"))
     ends = last.groupBy("src").agg(F.max("nth").alias("end"))
-    sizes = scratch.save(want.join(nxt, ["src", "nth"]).join(ends, "src").select("src", "nth", "expected", "next", "end"))
+    sizes = last.select(*at).join(own, at, "left").join(nxt, at, "left").join(ends, "src")
+    zero = lambda c, there: F.when(there, F.coalesce(c, F.lit(0.0))).cast("float")
+    sizes = scratch.save(sizes.select(*at, zero("e", F.col("nth") > 1).alias("own"), zero("x", F.col("nth") < F.col("end")).alias("next")))
     found: list[DataFrame] = []
-    todo, grown = rows.join(small_side(sizes, n_last), ["src", "nth"]).withColumn("pairs", F.lit(None).cast("array<int>")), 1
+    todo, grown = rows.join(small_side(sizes, n_last), at), 1
     while True:
         tables = todo.groupBy("src", "nth", "bucket").applyInArrow(_tables(spare * grown, grown), table)
         got = scratch.save(tables.groupBy("src", "bucket", "pair").applyInArrow(_differ, f"src {kind}, bucket int, nth int, key long, change_kind string"))
@@ -81,9 +85,10 @@ def snapshot_changes(
         if not n_failed:
             break
         # the rows of both sides of what failed
-        both = failed.select("src", "bucket", F.explode(F.array("nth", F.col("nth") - 1)).alias("n"), "nth").groupBy("src", "bucket", F.col("n").alias("nth")).agg(F.collect_set("nth").alias("pairs"))
-        again = rows.join(small_side(both, 2 * n_failed), ["src", "bucket", "nth"])
-        todo, grown = again.join(small_side(sizes, n_last), ["src", "nth"]).select(*todo.columns), grown * 2
+        side = F.explode(F.array(F.struct("nth", F.lit(True).alias("as_own")), F.struct((F.col("nth") - 1).alias("nth"), F.lit(False).alias("as_own")))).alias("s")
+        both = failed.select("src", "bucket", side).groupBy("src", "bucket", F.col("s.nth").alias("nth")).agg(F.max("s.as_own").alias("as_own"), F.max(~F.col("s.as_own")).alias("as_next"))
+        again = rows.join(small_side(both, 2 * n_failed), ["src", "bucket", "nth"]).join(small_side(sizes, n_last), at)
+        todo, grown = again.select(*rows.columns, F.when(F.col("as_own"), F.col("own")).alias("own"), F.when(F.col("as_next"), F.col("next")).alias("next")), grown * 2
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
@@ -184,18 +189,18 @@ def _tables(spare: float, seed: int):
     """The tables of one snapshot's bucket: as the later side of its own pair, as the earlier side of the next one."""
 
     def run(t: pa.Table) -> pa.Table:
-        one = {c: t[c][0].as_py() for c in ("src", "nth", "bucket", "expected", "next", "end", "pairs")}
+        src, nth, bucket, own, nxt = (t[c][0].as_py() for c in ("src", "nth", "bucket", "own", "next"))
         e = _once(_elements(t))
         sums = e.sum(axis=1, dtype=np.uint64).view(np.int64).tolist()
         rows = []
-        for pair, later, expected in ((one["nth"], True, one["expected"]), (one["nth"] + 1, False, one["next"])):
-            if not 1 < pair <= one["end"] or (one["pairs"] is not None and pair not in one["pairs"]):
+        for pair, later, expected in ((nth, True, own), (nth + 1, False, nxt)):
+            if expected is None:
                 continue
             # room for the usual deviation of a bucket from the mean, too
             width = math.ceil(spare * (expected + 4 * math.sqrt(expected) + 8) / HASHES)
             table = LookupTable(width, seed)
             table.add(e, 1)
-            rows.append((one["src"], one["bucket"], pair, later, width, seed, table.pack(), sums))
+            rows.append((src, bucket, pair, later, width, seed, table.pack(), sums))
         cols = list(zip(*rows)) or [[] for _ in range(8)]
         kinds = [t.schema.field("src").type, pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
         return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], names=["src", "bucket", "pair", "later", "width", "seed", "cells", "sums"])
