@@ -13,6 +13,7 @@ from ..operators import reconcile as R
 from ..operators import tree
 from ..operators import volumes as V
 from ..operators import writes as W
+from ..shared import Scratch, numbered
 from . import table
 from .base import category_sql, ext_sql, sql
 
@@ -390,21 +391,78 @@ def r05(spark, d):
 
 
 def snapshot(spark, d, first: bool):
+    """The first or last snapshot of every volume, by its last delivery."""
     pick = F.min if first else F.max
     s = table(spark, d, "snapshots").where("file_ref IS NOT NULL")
     top = s.groupBy("volume_id").agg(pick(F.struct("snap_no", F.when(F.lit(first), -c("delivery_no")).otherwise(c("delivery_no")).alias("dn"))).alias("t"))
     cond = (c("snap_no") == c("t.snap_no")) & (F.abs(c("t.dn")) == c("delivery_no"))
-    rows = s.join(F.broadcast(top), "volume_id").where(cond).select("volume_id", F.coalesce(c("parent_ref").cast("string"), F.lit("")).alias("parent"), "name", "is_dir", "file_ref", "size", c("modified_at").alias("modified")).distinct()
-    return rows.withColumn("id", F.xxhash64("volume_id", "file_ref"))
-
-
-@query("r01_reconcile_counts", """WITH m AS (SELECT volume_id, min(snap_no) AS a, max(snap_no) AS b FROM snapshots WHERE file_ref IS NOT NULL GROUP BY 1), k AS (SELECT volume_id, snap_no, max(delivery_no) AS dn FROM snapshots WHERE file_ref IS NOT NULL GROUP BY ALL),
-s AS (SELECT DISTINCT volume_id, snap_no, coalesce(parent_ref || '', '') AS parent, name, is_dir, file_ref, size, modified_at FROM snapshots SEMI JOIN (SELECT volume_id, snap_no, dn AS delivery_no FROM k) USING (volume_id, snap_no, delivery_no) WHERE file_ref IS NOT NULL),
-x AS (SELECT s.* FROM s JOIN m ON m.volume_id = s.volume_id AND snap_no = a), y AS (SELECT s.* FROM s JOIN m ON m.volume_id = s.volume_id AND snap_no = b)
-SELECT CASE WHEN x.file_ref IS NULL THEN 'insert' WHEN y.file_ref IS NULL THEN 'delete' WHEN x.parent <> y.parent THEN 'move' WHEN x.name <> y.name OR x.size IS DISTINCT FROM y.size OR x.modified_at IS DISTINCT FROM y.modified_at THEN 'update' ELSE 'unchanged' END AS op, count(*) AS n FROM x FULL JOIN y ON x.volume_id = y.volume_id AND x.file_ref = y.file_ref AND x.is_dir = y.is_dir GROUP BY 1""")
+    return s.join(top, "volume_id").where(cond).select("volume_id", "parent_ref", "name", "is_dir", "file_ref", "size", c("modified_at").alias("modified")).distinct()
+
+
+def as_tree(spark, rows, what: str, up: str):
+    """Rows as a tree below one root for each volume, which also holds what has no folder there; numbers stand for references."""
+    n = Scratch(spark, what).save(numbered(rows, [c("volume_id"), c("file_ref")], what))
+    folders = n.where("is_dir").select("volume_id", c("file_ref").alias("parent_ref"), c(what).alias("_up"))
+    roots = rows.select("volume_id").distinct().select("volume_id", (-c("volume_id")).alias(what))
+    inner = n.join(folders, ["volume_id", "parent_ref"], "left").withColumn(up, F.coalesce("_up", -c("volume_id"))).drop("_up", "parent_ref")
+    zero = F.lit(0).cast("long")
+    no = F.lit(None).cast("long")
+    return inner.unionByName(roots.select("volume_id", F.lit("").alias("name"), F.lit(True).alias("is_dir"), no.alias("file_ref"), zero.alias("size"), zero.alias("modified"), what, no.alias(up)))
+
+
+def reconciled(spark, d):
+    """The first snapshots as a catalog, the last ones as a listing in which some references are unknown, some folders renamed and some not wholly readable."""
+    old = as_tree(spark, snapshot(spark, d, True), "id", "parent_id")
+    now = as_tree(spark, snapshot(spark, d, False), "node", "parent_node")
+    bad = F.coalesce(c("is_dir") & (c("file_ref") % 7 == 0), F.lit(False))
+    now = now.withColumns({"state": F.when(bad, "incomplete").otherwise("complete"), "name": F.when(c("is_dir") & (c("file_ref") % 11 == 0), F.concat("name", F.lit(" new"))).otherwise(c("name"))})
+    unread = now.where("state = 'incomplete'").select(c("node").alias("parent_node"), F.lit(True).alias("_bad"))
+    seen = now.join(unread, "parent_node", "left").where(c("_bad").isNull() | c("is_dir") | (c("file_ref") % 3 != 0)).drop("_bad")
+    seen = Scratch(spark, "listing").save(seen.withColumn("ref", c("file_ref")).withColumn("file_ref", F.when(c("file_ref") % 5 != 0, c("file_ref"))))
+    return Scratch(spark, "catalog").save(old), seen
+
+
+RECONCILED = """WITH RECURSIVE m AS (SELECT volume_id, min(snap_no) AS a, max(snap_no) AS b FROM snapshots WHERE file_ref IS NOT NULL GROUP BY 1), k AS (SELECT volume_id, snap_no, max(delivery_no) AS dn FROM snapshots WHERE file_ref IS NOT NULL GROUP BY ALL),
+s AS (SELECT DISTINCT volume_id, snap_no, parent_ref, name, is_dir, file_ref, size, modified_at FROM snapshots SEMI JOIN (SELECT volume_id, snap_no, dn AS delivery_no FROM k) USING (volume_id, snap_no, delivery_no) WHERE file_ref IS NOT NULL),
+x AS (SELECT s.* FROM s JOIN m ON m.volume_id = s.volume_id AND snap_no = a), y AS (SELECT s.* FROM s JOIN m ON m.volume_id = s.volume_id AND snap_no = b),
+o AS (SELECT x.volume_id, x.file_ref || '' AS id, coalesce(p.file_ref || '', 'root') AS up, x.name, x.is_dir, x.file_ref, x.size, x.modified_at FROM x LEFT JOIN x p ON p.volume_id = x.volume_id AND p.file_ref = x.parent_ref AND p.is_dir),
+w AS (SELECT y.volume_id, y.file_ref || '' AS node, coalesce(p.file_ref || '', 'root') AS up, CASE WHEN y.is_dir AND y.file_ref % 11 = 0 THEN y.name || ' new' ELSE y.name END AS name, y.is_dir, y.file_ref AS ref, CASE WHEN y.file_ref % 5 <> 0 THEN y.file_ref END AS file_ref, y.size, y.modified_at, y.is_dir AND y.file_ref % 7 = 0 AS bad
+  FROM y LEFT JOIN y p ON p.volume_id = y.volume_id AND p.file_ref = y.parent_ref AND p.is_dir WHERE y.is_dir OR NOT coalesce(p.file_ref % 7 = 0, false) OR y.file_ref % 3 <> 0),
+r AS (SELECT o.volume_id, o.id, w.node FROM o JOIN w ON o.volume_id = w.volume_id AND o.file_ref = w.file_ref AND o.is_dir = w.is_dir),
+oo AS (SELECT * FROM o ANTI JOIN r USING (volume_id, id)), ww AS (SELECT * FROM w ANTI JOIN r USING (volume_id, node)),
+g AS (SELECT volume_id, id, node FROM r UNION ALL SELECT DISTINCT volume_id, 'root', 'root' FROM x UNION ALL
+  SELECT g.volume_id, oo.id, ww.node FROM g JOIN oo ON oo.volume_id = g.volume_id AND oo.up = g.id JOIN ww ON ww.volume_id = g.volume_id AND ww.up = g.node AND ww.name = oo.name AND ww.is_dir = oo.is_dir AND ww.file_ref IS NULL),
+z AS (
+  SELECT CASE WHEN g.id IS NULL THEN 'insert' WHEN coalesce(q.id, '') <> o.up OR w.name <> o.name THEN 'move' WHEN w.size IS DISTINCT FROM o.size OR w.modified_at IS DISTINCT FROM o.modified_at THEN 'update' ELSE 'unchanged' END AS op, w.volume_id, o.file_ref AS old_ref, w.ref AS new_ref
+  FROM w LEFT JOIN g ON g.volume_id = w.volume_id AND g.node = w.node LEFT JOIN o ON o.volume_id = w.volume_id AND o.id = g.id LEFT JOIN g q ON q.volume_id = w.volume_id AND q.node = w.up
+  UNION ALL SELECT 'delete', o.volume_id, o.file_ref, NULL FROM o ANTI JOIN g USING (volume_id, id) JOIN g q ON q.volume_id = o.volume_id AND q.id = o.up LEFT JOIN w f ON f.volume_id = o.volume_id AND f.node = q.node
+  WHERE NOT coalesce(f.bad, false) OR EXISTS (SELECT 1 FROM w t WHERE t.volume_id = o.volume_id AND t.up = q.node AND t.name = o.name)) """
+
+
+@query("r01_reconcile", RECONCILED + "SELECT * FROM z")
 def r01(spark, d):
-    """The last snapshot of every volume against its first: how many entries each operation concerns."""
-    return R.reconcile(snapshot(spark, d, True), snapshot(spark, d, False)).groupBy("op").agg(F.count("*").alias("n"))
+    """The last snapshot of every volume against its first, row by row."""
+    old, now = reconciled(spark, d)
+    ops = R.reconcile(old, now)
+    refs = old.select("id", c("file_ref").alias("old_ref")).where("id > 0")
+    out = ops.where("parent_id IS NOT NULL OR parent_node IS NOT NULL").join(refs, "id", "left").join(now.select("node", c("ref").alias("new_ref")), "node", "left")
+    return out.select("op", "volume_id", "old_ref", "new_ref")
+
+
+@query("r01_reconcile_counts", RECONCILED + "SELECT op, count(*) AS n FROM z GROUP BY 1")
+def r01_counts(spark, d):
+    """How many entries each operation concerns."""
+    ops = R.reconcile(*reconciled(spark, d))
+    return ops.where("parent_id IS NOT NULL OR parent_node IS NOT NULL").groupBy("op").agg(F.count("*").alias("n"))
+
+
+@query("r01_applied", RECONCILED + """, lo AS (SELECT * FROM o ANTI JOIN g USING (volume_id, id)), dd AS (SELECT volume_id, old_ref || '' AS id FROM z WHERE op = 'delete' UNION ALL SELECT lo.volume_id, lo.id FROM dd JOIN lo ON lo.volume_id = dd.volume_id AND lo.up = dd.id)
+SELECT volume_id, count(*) AS entries, (sum(size) FILTER (NOT is_dir))::BIGINT AS bytes FROM (SELECT volume_id, is_dir, size FROM w UNION ALL SELECT lo.volume_id, lo.is_dir, lo.size FROM lo ANTI JOIN dd USING (volume_id, id)) GROUP BY 1""")
+def r01_applied(spark, d):
+    """The catalog after the operations: entries and bytes of every volume."""
+    old, now = reconciled(spark, d)
+    after = R.apply_reconciled(old, now, R.reconcile(old, now)).where("parent_id IS NOT NULL")
+    return after.groupBy("volume_id").agg(F.count("*").alias("entries"), F.sum(F.when(~c("is_dir"), c("size"))).alias("bytes"))
 
 
 @query("j22_refs", "SELECT DISTINCT e.id, c.volume_id, c.file_ref FROM (SELECT DISTINCT volume_id, file_ref FROM changes) c JOIN (SELECT DISTINCT id, volume_id, file_ref FROM entries) e ON e.volume_id = c.volume_id AND e.file_ref = c.file_ref")

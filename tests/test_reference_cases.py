@@ -138,14 +138,6 @@ def test_backup_contents(spark):
     assert got == {("x\\1", "moved\\1", "same", "content"), ("x\\2", None, "only_a", None), ("y\\m", "M\\M", "same", "metadata"), ("z", None, "different", "content"), ("only", None, "only_a", None), ("new", None, "only_b", None)}
 
 
-def test_reconcile_stages(spark):
-    S = "volume_id long, id long, parent string, name string, is_dir boolean, file_ref long, size long, modified long"
-    old = spark.createDataFrame([(1, 1, "", "a", False, 10, 1, 1), (1, 2, "", "b", False, 11, 1, 1), (1, 3, "d", "c", False, 12, 1, 1), (1, 4, "", "n", False, None, 1, 1), (1, 5, "", "gone", False, 14, 1, 1)], S)
-    new = spark.createDataFrame([(1, 91, "", "a", False, 10, 1, 1), (1, 92, "", "b2", False, 11, 1, 1), (1, 93, "e", "c", False, 12, 1, 1), (1, 94, "", "n", False, 13, 2, 1), (1, 95, "", "gone", True, 14, 0, 1)], S)
-    got = {(r["op"], r["id"], r["node"]) for r in reconcile.reconcile(old, new).collect()}
-    assert got == {("unchanged", 1, 91), ("update", 2, 92), ("move", 3, 93), ("update", 4, 94), ("delete", 5, None), ("insert", None, 95)}
-
-
 def test_ops_in_order(spark):
     e = spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "id long, name string, size long")
     ops = spark.createDataFrame([(1, "update", 1, "x", None), (2, "delete", 1, None, None), (3, "insert", 1, None, 7), (4, "update", 1, "y", None), (5, "delete", 2, None, None), (6, "update", 2, "z", None), (7, "update", 3, "q", None)], "seq long, op string, id long, name string, size long")
