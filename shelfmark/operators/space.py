@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import heapq
+import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import BANDS, CATEGORIES, band, category, extension, kind_of
+from ..shared import Scratch
 
 
 def folder_items(entries: DataFrame, stats: DataFrame, parent: int | None = None) -> DataFrame:
@@ -47,33 +48,41 @@ def type_stats(entries: DataFrame, top: int) -> DataFrame:
     return total.unionByName(by_cat).unionByName(by_band).unionByName(by_ext).unionByName(rest)
 
 
-def treemap(items: DataFrame, root: int, budget: int, min_share: float = 0.0005) -> list[tuple]:
-    """Nodes (id, parent_id, name, size, is_dir, depth) of a treemap: best first by size until `budget` nodes are shown.
+def treemap(paths: DataFrame, stats: DataFrame, root: int, budget: int = 12_000, min_fraction: float = 0.00002, levels: int = 64) -> DataFrame:
+    """`id, parent_id, name, size, is_dir, depth, other`: the nodes that a treemap of `root` draws, the root with depth 0 included.
 
-    A child is never larger than its folder, so the nodes of at least the least share of the root are closed upward
-    and at most depth / min_share in number; only they come to the driver. What is left of an opened folder is one
-    node with a null id.
+    Folders open largest first (of equal ones the shallower, then the lesser id), at most `levels` deep, and show their
+    children of at least `min_fraction` of the root, largest first (then by name, id), until `budget` nodes below the
+    root are shown. `other` is what an opened folder holds besides, all of it where no child is large enough. A child is never larger than its folder, so this
+    order is a global one: the folders that open are the first ones by size until their children fill the budget; only
+    as many folders, and as many children of each, as the budget are ever ranked.
     """
-    size = F.when(F.col("is_dir"), F.col("total")).otherwise(F.col("size"))
-    sized = items.select("id", "parent_id", "name", "is_dir", size.alias("size"))
-    top = sized.where(F.col("id") == root).first()
+    c = F.col
+    size = F.when(c("is_dir"), F.coalesce("total_size", F.lit(0))).otherwise(F.coalesce("size", F.lit(0)))
+    inside = paths.where((c("id") == root) | F.array_contains("ancestors", F.lit(root).cast("long")))
+    inside = inside.join(stats.select(c("entry_id").alias("id"), "total_size"), "id", "left").select("id", "parent_id", "name", "is_dir", size.alias("size"), c("depth").cast("int").alias("depth"))
+    top = inside.where(c("id") == root).select("size", "depth").first()
     if top is None:
-        return []
-    rows = sized.where(F.col("size") >= max(1, int(top["size"] * min_share))).collect()
-    kids: dict[int, list] = {}
-    for r in rows:
-        kids.setdefault(r["parent_id"], []).append(r)
-    out, heap = [(top["id"], None, top["name"], top["size"], True, 0)], [(-top["size"], top["id"], 0)]
-    while heap and len(out) < budget:
-        s, at, depth = heapq.heappop(heap)
-        shown = 0
-        for r in sorted(kids.get(at, []), key=lambda r: (-r["size"], r["name"], r["id"])):
-            if len(out) >= budget:
-                break
-            out.append((r["id"], at, r["name"], r["size"], r["is_dir"], depth + 1))
-            shown += r["size"]
-            if r["is_dir"]:
-                heapq.heappush(heap, (-r["size"], r["id"], depth + 1))
-        if shown and -s - shown > 0:
-            out.append((None, at, "", -s - shown, False, depth + 1))
-    return out
+        return inside.withColumn("other", F.lit(0).cast("long")).limit(0)
+    inside = Scratch(paths.sparkSession, "treemap").save(inside.withColumn("depth", c("depth") - top["depth"]))
+    below = inside.where((c("id") != root) & (c("depth") <= levels))
+    shown = below.where(c("size") >= max(1, math.ceil((top["size"] or 0) * min_fraction)))
+    per = shown.groupBy(c("parent_id").alias("id")).agg(F.count("*").alias("n"))
+    order = [c("size").desc(), c("depth"), c("id")]
+    first = inside.where("is_dir").join(per, "id").orderBy(*order).limit(budget)
+    before = F.coalesce(F.sum("n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    opened = Scratch(paths.sparkSession, "treemap").save(first.select("id", "size", "depth", "n", before.alias("before")).where(c("before") < budget))
+    last = opened.where(c("before") + c("n") >= budget).first()  # where the budget ends
+    opened = F.broadcast(opened.select(c("id").alias("parent_id"), "before"))  # at most `budget` rows
+    at = F.row_number().over(Window.partitionBy("parent_id").orderBy(c("size").desc(), "name", "id"))
+    kids = shown.join(opened, "parent_id").withColumn("at", at).where(c("at") <= budget).where(c("before") + c("at") <= budget)
+    kids = Scratch(paths.sparkSession, "treemap").save(kids.select("id", "parent_id", "name", "size", "is_dir", "depth"))
+    # folders that open, but hold nothing large enough
+    hollow = kids.where("is_dir").select("id", "size", "depth").unionByName(inside.where(c("id") == root).select("id", "size", "depth")).join(opened.select(c("parent_id").alias("id")), "id", "left_anti").where(c("depth") < levels)
+    if last is not None:
+        hollow = hollow.where(F.struct(-c("size"), "depth", "id") < F.struct(*[F.lit(x).cast(k) for x, k in ((-last["size"], "long"), (last["depth"], "int"), (last["id"], "long"))]))
+    everything = opened.select("parent_id").unionByName(F.broadcast(hollow.select(c("id").alias("parent_id"))))  # at most twice the budget
+    held = below.join(everything, "parent_id").groupBy(c("parent_id").alias("id")).agg(F.sum("size").alias("held"))
+    drawn = kids.groupBy(c("parent_id").alias("id")).agg(F.sum("size").alias("drawn"))
+    nodes = inside.where(c("id") == root).select("id", F.lit(None).cast("long").alias("parent_id"), "name", "size", "is_dir", "depth").unionByName(kids)
+    return nodes.join(held, "id", "left").join(drawn, "id", "left").select("id", "parent_id", "name", "size", "is_dir", "depth", (F.coalesce("held", F.lit(0)) - F.coalesce("drawn", F.lit(0))).alias("other"))

@@ -98,7 +98,7 @@ def locate(paths: DataFrame, mounts: DataFrame, absolute: DataFrame) -> DataFram
     tries = inner.select("path", "volume_id", "rel", F.explode(F.sequence(F.lit(0), F.size(rp))).alias("n")).withColumn("k", fold(F.array_join(F.slice(rp, 1, c("n")), "\\")))
     folders = paths.where("is_dir").select("volume_id", "id", fold(c("path")).alias("k"))
     hit = tries.join(folders, ["volume_id", "k"]).groupBy("path", "volume_id", "rel").agg(F.max_by(F.struct("id", "n"), F.struct(c("n"), -c("id"))).alias("h"))
-    return hit.select("path", "volume_id", c("h.id").alias("id"), F.array_join(F.slice(F.split("rel", r"\\"), c("h.n") + 1, F.lit(1000)), "\\").alias("rest"))
+    return hit.select("path", "volume_id", c("h.id").alias("id"), F.array_join(F.slice(F.split("rel", r"\\"), c("h.n") + 1, F.greatest(F.size(F.split("rel", r"\\")) - c("h.n"), F.lit(0))), "\\").alias("rest"))
 
 
 def without_files(paths: DataFrame, ids: Column | None = None) -> DataFrame:

@@ -315,12 +315,19 @@ def a02(spark, d):
     return space.type_stats(entries(spark, d), 10)
 
 
-@query("w07_treemap")
+@query("w07_treemap", sql("stats", """, u AS (SELECT t.id, t.parent_id, t.name, t.is_dir, CASE WHEN t.is_dir THEN total_size ELSE size END AS size, p.depth FROM tree t JOIN path p USING (id) LEFT JOIN stats ON entry_id = t.id WHERE t.volume_id = 1),
+s AS (SELECT * FROM u WHERE depth > 0 AND size >= (SELECT greatest(1, ceil(size * 0.00002)) FROM u WHERE id = 1)),
+f AS (SELECT u.id, u.size, u.depth, count(*) AS n FROM u JOIN s ON s.parent_id = u.id WHERE u.is_dir GROUP BY ALL),
+o AS (SELECT id, size, depth, n, coalesce(sum(n) OVER (ORDER BY size DESC, depth, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM f QUALIFY before < 12000),
+k AS (SELECT s.* FROM s JOIN o ON o.id = s.parent_id QUALIFY before + row_number() OVER (PARTITION BY s.parent_id ORDER BY s.size DESC, s.name, s.id) <= 12000),
+n AS (SELECT * FROM k UNION ALL SELECT id, NULL, name, is_dir, size, depth FROM u WHERE id = 1),
+h AS (SELECT id FROM o UNION SELECT id FROM n WHERE is_dir AND depth < 64 AND NOT EXISTS (SELECT 1 FROM o WHERE before + o.n >= 12000 AND (-o.size, o.depth, o.id) <= (-n.size, n.depth, n.id)))
+SELECT n.id, n.parent_id, n.name, n.size, n.is_dir, n.depth, CASE WHEN n.id IN (FROM h) THEN (coalesce((SELECT sum(size) FROM u x WHERE x.parent_id = n.id), 0) - coalesce((SELECT sum(size) FROM k x WHERE x.parent_id = n.id), 0))::BIGINT ELSE 0 END AS other
+FROM n"""))
 def w07(spark, d):
-    """The 500 nodes of a treemap of volume 1."""
-    t = fixtures.tree(spark, d)
-    items = t.join(tree.roll_up(tree.with_paths(t)).select(c("entry_id").alias("id"), c("total_size").alias("total")), "id", "left")
-    return spark.createDataFrame(space.treemap(items, 1, 500), "id long, parent_id long, name string, size long, is_dir boolean, depth int")
+    """The treemap of volume 1."""
+    p = tree.with_paths(fixtures.tree(spark, d))
+    return space.treemap(p, tree.roll_up(p), 1)
 
 
 @query("o06_capped_folder", sql("ent", "SELECT parent_id, count(*) AS n, least(count(*), 100) AS shown, greatest(count(*) - 100, 0) AS more FROM ent WHERE parent_id IS NOT NULL GROUP BY 1"))

@@ -162,10 +162,35 @@ def test_volume_matching(spark):
 def test_treemap_budget_and_rest(spark):
     from shelfmark.operators.space import treemap
 
-    rows = [(1, None, "", True, None, 100), (2, 1, "a", True, None, 70), (3, 1, "b", False, 30, None), (4, 2, "c", False, 40, None), (5, 2, "d", False, 20, None), (6, 2, "e", False, 10, None)]
-    t = spark.createDataFrame(rows, "id long, parent_id long, name string, is_dir boolean, size long, total long")
-    assert [(r[0], r[3], r[5]) for r in treemap(t, 1, 5)] == [(1, 100, 0), (2, 70, 1), (3, 30, 1), (4, 40, 2), (5, 20, 2), (None, 10, 2)]
-    assert [r[0] for r in treemap(t, 1, 100, 0.25)] == [1, 2, 3, 4, None] and treemap(t, 99, 5) == []
+    def drawn(items, **more):
+        ids, rows = {"": 1}, [(1, 1, None, "", True, 0, 0)]
+        for p, size in items:
+            is_dir = p.endswith("\\")
+            names = p.rstrip("\\").split("\\")
+            ids["\\".join(names)] = len(ids) + 1
+            rows.append((ids["\\".join(names)], 1, ids["\\".join(names[:-1])], names[-1], is_dir, size, size))
+        e = spark.createDataFrame(rows, "id long, volume_id long, parent_id long, name string, is_dir boolean, size long, alloc_size long")
+        p = tree.with_paths(e)
+        return {r["name"]: (r["size"], r["depth"], r["other"]) for r in treemap(p, tree.roll_up(p), 1, **more).collect()}
+
+    sample = [("Video\\", 0), ("Video\\film.mkv", 6000), ("Foto\\", 0), ("Foto\\2024\\", 0), ("Foto\\2024\\a.jpg", 2000), ("Foto\\2024\\b.jpg", 1800), ("notes.txt", 150), (".gitignore", 49), ("tiny.bin", 1)]
+    got = drawn(sample, min_fraction=0.01, levels=3, budget=100)
+    assert got == {"": (10_000, 0, 50), "Video": (6000, 1, 0), "film.mkv": (6000, 2, 0), "Foto": (3800, 1, 0), "2024": (3800, 2, 0), "a.jpg": (2000, 3, 0), "b.jpg": (1800, 3, 0), "notes.txt": (150, 1, 0)}
+    assert drawn(sample, min_fraction=0.0, levels=1, budget=2) == {"": (10_000, 0, 200), "Video": (6000, 1, 0), "Foto": (3800, 1, 0)}
+    deep = [("Big\\", 0), ("Big\\Sub\\", 0), ("Big\\Sub\\deep.bin", 5000), ("Big\\x.bin", 3000), ("Small\\", 0), ("Small\\s.bin", 1000)]
+    got = drawn(deep, min_fraction=0.0, levels=5, budget=5)
+    assert set(got) == {"", "Big", "Small", "Sub", "x.bin", "deep.bin"} and got["Small"] == (1000, 1, 0)
+    many = [("F\\", 0), *[(f"F\\{i}", 20) for i in range(3000)], ("rest", 3_000_000)]
+    assert drawn(many, min_fraction=0.0005)["F"] == (60_000, 1, 60_000)  # each too small to be drawn, so all of them are the rest
+    assert drawn([*many, ("F\\big", 9000)], min_fraction=0.0005)["F"] == (69_000, 1, 60_000)
+
+
+def test_long_paths_stay_whole(spark):
+    e = spark.createDataFrame([(1, 1, None, "", True, 0, 0), (2, 1, 1, "a", True, 0, 0)], "id long, volume_id long, parent_id long, name string, is_dir boolean, size long, alloc_size long")
+    m = spark.createDataFrame([(1, "C:\\")], "id long, last_mount string")
+    rest = "\\".join(f"n{i}" for i in range(1500))
+    w = spark.createDataFrame([(f"c:\\A\\{rest}",), ("c:\\a",)], "path string")
+    assert {(r["id"], r["rest"]) for r in tree.locate(tree.with_paths(e), m, w).collect()} == {(2, rest), (2, "")}
 
 
 def test_crc32(spark):
