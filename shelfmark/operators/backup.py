@@ -5,6 +5,10 @@ Sides are tables of rel, size, modified (100 ns), full.
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,12 +80,55 @@ def compare_paths(a: DataFrame, b: DataFrame) -> DataFrame:
     return left.unionByName(right)
 
 
+def _near_in_time(x: DataFrame, y: DataFrame) -> DataFrame:
+    """`ra, rb`: pairs of files of one name and size whose times are the same, where at least one has no hash; each file once.
+
+    The times of a name and size fall into stretches that are further apart than the tolerance (found on the distinct
+    ranges of time, not on the files); every stretch is gone through in order of time, remembering only files within
+    the tolerance that still wait.
+    """
+    side = lambda d, s: d.select(_name(F.col(f"r{s}")).alias("name"), F.col(f"s{s}").alias("size"), F.col(f"m{s}").alias("t"), F.lit(s).alias("side"), F.col(f"r{s}").alias("rel"), F.col(f"f{s}").isNotNull().alias("hashed"))
+    a, b, key = side(x, "a"), side(y, "b"), ["name", "size"]
+    both = a.join(b.select(*key).distinct(), key, "left_semi").unionByName(b.join(a.select(*key).distinct(), key, "left_semi"))
+    both = Scratch(x.sparkSession, "near").save(both.withColumn("cell", F.coalesce(F.floor(F.col("t") / TOLERANCE), F.lit(-(1 << 62)))))
+    w = Window.partitionBy(*key).orderBy("cell")
+    cells = both.select(*key, "cell").distinct().withColumn("_new", (F.col("cell") - F.lag("cell").over(w) > 1).cast("int"))
+    cells = cells.select(*key, "cell", F.coalesce(F.sum("_new").over(w), F.lit(0)).alias("stretch"))
+    placed = both.join(cells, [*key, "cell"]).repartition(*key, "stretch").sortWithinPartitions(*key, "stretch", F.asc_nulls_first("t"), "side", "rel")
+    return placed.select(*key, "stretch", "t", "side", "rel", "hashed").mapInArrow(_partners, "ra string, rb string")
+
+
+def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    at, waiting = None, {}
+    for b in batches:
+        ra, rb = [], []
+        for name, size, stretch, t, side, rel, hashed in zip(*(c.to_pylist() for c in b.columns)):
+            if (name, size, stretch) != at:
+                at, waiting = (name, size, stretch), {(s, h): deque() for s in "ab" for h in (False, True)}
+            other = "b" if side == "a" else "a"
+            # a file with a hash can only go with one without; one without takes first what has no other choice
+            for h in (False,) if hashed else (True, False):
+                free = waiting[other, h]
+                while free and t is not None and free[0][0] is not None and free[0][0] < t - TOLERANCE:
+                    free.popleft()
+                if free and (free[0][0] is None) == (t is None):
+                    found = free.popleft()[1]
+                    ra.append(rel if side == "a" else found)
+                    rb.append(found if side == "a" else rel)
+                    break
+            else:
+                waiting[side, hashed].append((t, rel))
+        yield pa.RecordBatch.from_arrays([pa.array(ra, pa.string()), pa.array(rb, pa.string())], names=["ra", "rb"])
+
+
 def compare_contents(a: DataFrame, b: DataFrame) -> DataFrame:
     """Like compare_paths, but a file moved or renamed is the same file: `other` is then its path in `b`.
 
     First equal files at the same path, then one-to-one by content in the order of paths, then one-to-one by name,
-    size and time where a hash is missing, then what is left at the same path is different. The one-to-one matches
-    pair equal ranks, so a content with very many copies is ranked, not multiplied. Paths must be unique on a side.
+    size and time where a hash is missing, then what is left at the same path is different. A content with very many
+    copies is ranked, not multiplied. Paths must be unique on a side. Content goes before names for all files, so a
+    file without a hash never takes the counterpart that another one has by content; of files that could be each
+    other's by name and time none is left without a partner while one is free.
     """
     scratch = Scratch(a.sparkSession, "compare")
     x, y = (scratch.save(d) for d in _sides(a, b))
@@ -109,15 +156,9 @@ def compare_contents(a: DataFrame, b: DataFrame) -> DataFrame:
     moved = scratch.save(u.join(v, ["size", "full", "n"]))
     emit(moved, F.col("rb"), F.lit("same"), F.lit("content"))
     x, y = rest(x, moved, "ra"), rest(y, moved, "rb")
-    # by name: a side without a hash; times within the tolerance lie in the same or in neighbouring ranges
-    for hashed in (False, True):
-        for off in (0, 1, -1):
-            cell = lambda m: F.coalesce(F.floor(m / TOLERANCE), F.lit(-(1 << 62)))
-            u = ranked(x.withColumns({"name": _name(F.col("ra")), "size": F.col("sa"), "t": cell(F.col("ma")) + off}), ["name", "size", "t"], "ra", F.col("fa").isNotNull() if hashed else F.col("fa").isNull())
-            v = ranked(y.withColumns({"name": _name(F.col("rb")), "size": F.col("sb"), "t": cell(F.col("mb"))}).drop("k"), ["name", "size", "t"], "rb", F.col("fb").isNull() if hashed else F.lit(True))
-            meta = scratch.save(u.join(v, ["name", "size", "t", "n"]).where(same_time(F.col("ma"), F.col("mb"))))
-            emit(meta, F.col("rb"), F.lit("same"), F.lit("metadata"))
-            x, y = rest(x, meta, "ra"), rest(y, meta, "rb")
+    meta = scratch.save(_near_in_time(x, y))
+    emit(x.join(meta, "ra"), F.col("rb"), F.lit("same"), F.lit("metadata"))
+    x, y = rest(x, meta, "ra"), rest(y, meta, "rb")
     lastly = y.groupBy("k").agg(F.max_by(F.struct("rb", "sb", "mb", "fb"), "rb").alias("y")).select("k", "y.*")
     j = x.join(lastly, "k")
     _, evidence = _judge(j)

@@ -10,10 +10,11 @@ from ..shared import numbered
 
 
 def quick_hash(content: Column, ends: int = 65_536) -> Column:
-    """Digest of the size and both ends of a binary content, which don't overlap."""
+    """Digest of the size (eight bytes, the least first) and both ends of a binary content, which don't overlap."""
     n = F.octet_length(content)
     tail = F.greatest(n - ends, F.lit(ends))
-    return F.sha2(F.concat(n.cast("string").cast("binary"), F.substring(content, 1, ends), F.when(n > ends, F.substring(content, tail + 1, ends)).otherwise(F.lit(b""))), 256)
+    size = F.unhex(F.concat(*[F.lpad(F.hex(F.shiftright(n.cast("long"), 8 * k).bitwiseAND(255)), 2, "0") for k in range(8)]))
+    return F.sha2(F.concat(size, F.substring(content, 1, ends), F.when(n > ends, F.substring(content, tail + 1, ends)).otherwise(F.lit(b""))), 256)
 
 
 def full_hash(content: Column) -> Column:

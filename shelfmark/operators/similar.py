@@ -26,27 +26,77 @@ def masks(blocks: int, bits: int, radius: int) -> list[int]:
     return out
 
 
-def near_prints(prints: DataFrame, limit: int, column: str = "print") -> DataFrame:
+def _layout(limit: int, prints: int) -> list[int]:
+    """Masks of bits of which any two prints within the limit share one; none if there is no good choice.
+
+    Of m blocks at least m - limit are untouched, so some choice of so many blocks is equal as a whole. m is the least
+    whose choices have as many bits as it takes to tell the prints apart, so few of them meet by chance.
+    """
+    bits = max(8, prints.bit_length())
+    for m in range(limit + 1, limit + 5):
+        width = 64 // m
+        if (m - limit) * width >= bits or m == limit + 4:
+            blocks = [((1 << width) - 1) << (width * i) for i in range(m)]
+            chosen = [sum(c) for c in combinations(blocks, m - limit)]
+            return [v - (1 << 64) if v >> 63 else v for v in chosen] if len(chosen) <= 300 else []
+    return []
+
+
+def _keyed(p: DataFrame, to: str, masks_: list[int]) -> DataFrame:
+    each = F.array(*[F.struct(F.lit(k).alias("k"), F.col("p").bitwiseAND(F.lit(m).cast("long")).alias("v")) for k, m in enumerate(masks_)])
+    return p.select(F.col("p").alias(to), F.explode(each).alias("key")).select(to, "key.*")
+
+
+def _near(queries: DataFrame, all_: DataFrame, limit: int, hot_rows: int) -> DataFrame:
+    """`a, b` of different prints at most `limit` bits apart: a of `queries`, b of `all_` (both distinct, column p).
+
+    Keys that more than `hot_rows` prints share (blank regions) are told apart by their other bits before they meet.
+    """
+    scratch = Scratch(all_.sparkSession, "near")
+    all_ = scratch.save(all_)
+    d = hamming(F.col("a"), F.col("b"))
+    chosen = _layout(limit, all_.count())
+    if chosen:
+        build, probe = _keyed(all_, "b", chosen), _keyed(queries, "a", chosen)
+    else:  # four blocks of 16 bits, of which one has at most a fourth of the limit changed
+        block = [0xFFFF << (16 * k) for k in range(4)]
+        build = _keyed(all_, "b", [v - (1 << 64) if v >> 63 else v for v in block])
+        flips = F.array(*[F.struct(F.lit(k).alias("k"), (F.col("p").bitwiseXOR(F.call_function("shiftleft", F.lit(m).cast("long"), F.lit(16 * k)))).bitwiseAND(F.lit(v - (1 << 64) if v >> 63 else v).cast("long")).alias("v")) for k, v in enumerate(block) for m in masks(4, 16, limit // 4)])
+        probe = queries.select(F.col("p").alias("a"), F.explode(flips).alias("key")).select("a", "key.*")
+    rows = scratch.save(build.groupBy("k", "v").count().where(F.col("count") > hot_rows).select("k", "v", F.lit(True).alias("_hot")))
+    near = (F.col("a") != F.col("b")) & (d <= limit)
+    if rows.isEmpty():
+        return probe.join(build, ["k", "v"]).where(near).select("a", "b").distinct()
+    hot = F.broadcast(rows)  # at most (prints x keys) / hot_rows rows
+    b, p = build.join(hot, ["k", "v"], "left"), probe.join(hot, ["k", "v"], "left")
+    cold = p.where("_hot IS NULL").drop("_hot").join(b.where("_hot IS NULL").drop("_hot"), ["k", "v"]).where(near).select("a", "b")
+    # the 64 bits in one piece more than the limit, of which one is untouched
+    cuts = [64 * i // (limit + 1) for i in range(limit + 2)]
+    ones = lambda lo, hi: (1 << (hi - lo)) - 1 if hi - lo < 63 else -1
+    piece = lambda x: F.explode(F.array(*[F.struct(F.lit(i).alias("j"), F.shiftrightunsigned(x, lo).bitwiseAND(F.lit(ones(lo, hi)).cast("long")).alias("w")) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:]))])).alias("piece")
+    x, y = p.where("_hot").select("k", "v", "a", piece("a")).select("k", "v", "a", "piece.*"), b.where("_hot").select("k", "v", "b", piece("b")).select("k", "v", "b", "piece.*")
+    return cold.union(x.join(y, ["k", "v", "j", "w"]).where(near).select("a", "b")).distinct()
+
+
+def near_prints(prints: DataFrame, limit: int, column: str = "print", hot_rows: int = 100_000) -> DataFrame:
     """`a, b, distance` of different prints (a < b) at most `limit` bits apart.
 
-    Of four 16-bit blocks at least one differs in at most limit / 4 bits, so probes with that many bits flipped meet
-    their partner's block by equality: exact, and no pair of prints is compared that shares no block. Files with equal
-    prints are one row here; `members` maps files to prints.
+    Prints meet by equality of some of their bits (see _layout), or for larger limits by four blocks of 16 bits probed
+    with up to a fourth of the limit flipped. Exact, and no pair is compared that shares no key. Files with equal
+    prints are one row here.
     """
     p = prints.where(F.col(column).isNotNull()).select(F.col(column).alias("p")).distinct()
-    block = lambda k: F.shiftrightunsigned("p", 16 * k).bitwiseAND(0xFFFF)
-    flips = masks(4, 16, limit // 4)
-    build = p.select(F.col("p").alias("b"), F.explode(F.array(*[F.struct(F.lit(k).alias("k"), block(k).alias("v")) for k in range(4)])).alias("key")).select("b", "key.*")
-    probe = p.select(F.col("p").alias("a"), F.explode(F.array(*[F.struct(F.lit(k).alias("k"), block(k).alias("v0")) for k in range(4)])).alias("key")).select("a", "key.*")
-    probe = probe.select("a", "k", F.explode(F.array(*map(F.lit, flips))).alias("m"), "v0").select("a", "k", F.col("v0").bitwiseXOR(F.col("m")).alias("v"))
     d = hamming(F.col("a"), F.col("b"))
-    return probe.join(build, ["k", "v"]).where((F.col("a") < F.col("b")) & (d <= limit)).select("a", "b").distinct().withColumn("distance", d)
+    return _near(p, p, limit, hot_rows).where("a < b").withColumn("distance", d)
 
 
-def similar_to(prints: DataFrame, value: int, limit: int, column: str = "print") -> DataFrame:
-    """All rows whose print is at most `limit` bits from one given print, with the distance."""
-    d = hamming(F.col(column), F.lit(value).cast("long"))
-    return prints.withColumn("distance", d).where(F.col("distance") <= limit)
+def similar(queries: DataFrame, prints: DataFrame, limit: int, id: str = "id", column: str = "print", hot_rows: int = 100_000) -> DataFrame:
+    """`id, near_id, distance`: for every row of `queries` all other rows of `prints` at most `limit` bits away, equal prints with distance 0."""
+    q = queries.where(F.col(column).isNotNull()).select(F.col(id).alias("id"), F.col(column).alias("a"))
+    p = prints.where(F.col(column).isNotNull()).select(F.col(id).alias("near_id"), F.col(column).alias("b"))
+    met = _near(q.select(F.col("a").alias("p")).distinct(), p.select(F.col("b").alias("p")).distinct(), limit, hot_rows)
+    met = met.unionByName(q.select("a", F.col("a").alias("b")).distinct())
+    return q.join(met, "a").join(p, "b").where("id <> near_id").select("id", "near_id", hamming(F.col("a"), F.col("b")).alias("distance"))
 
 
 def linked(pairs: DataFrame) -> DataFrame:

@@ -53,10 +53,13 @@ def f01(spark, d):
     return hashed(spark, d).select("id", "quick", "full")
 
 
-@query("c16_content_hashes", "SELECT doc_id, sha256(text) AS \"full\", sha256(strlen(text) || CASE WHEN strlen(text) <= 65536 THEN text END) AS quick FROM documents WHERE text IS NOT NULL AND strlen(text) <= 65536")
+EIGHT = " || ".join(f"lpad(printf('%x', (strlen(text) >> {8 * k}) & 255), 2, '0')" for k in range(8))
+
+
+@query("c16_content_hashes", f"SELECT doc_id, sha256(text) AS \"full\", sha256(unhex({EIGHT} || left(h, 131072) || substr(h, greatest(131072, 2 * strlen(text) - 131072) + 1))) AS quick FROM (SELECT doc_id, text, hex(encode(text)) AS h FROM documents WHERE text IS NOT NULL)")
 def c16(spark, d):
     b = c("text").cast("binary")
-    return table(spark, d, "documents").where(c("text").isNotNull() & (F.octet_length("text") <= 65536)).select("doc_id", content.full_hash(b).alias("full"), content.quick_hash(b).alias("quick"))
+    return table(spark, d, "documents").where(c("text").isNotNull()).select("doc_id", content.full_hash(b).alias("full"), content.quick_hash(b).alias("quick"))
 
 
 @query("j02_hash_states", sql("doc", HASHED + 'SELECT id, quick IS NOT NULL AS has_quick, "full" IS NOT NULL AS has_full FROM h'))
@@ -74,7 +77,7 @@ def j05(spark, d):
     return content.full_work(hashed(spark, d))
 
 
-@query("w10_hash_order", sql("doc", HASHED + 'SELECT id, row_number() OVER (ORDER BY cand DESC, CASE WHEN cand THEN -size ELSE size END, id) AS pos FROM (SELECT id, size, quick IS NOT NULL AND (size, quick) IN (SELECT (size, quick) FROM sq) AS cand FROM w WHERE "full" IS NULL) QUALIFY pos <= 500'))
+@query("w10_hash_order", sql("doc", HASHED + 'SELECT id, row_number() OVER (ORDER BY cand DESC, CASE WHEN cand THEN -size ELSE size END, id) AS pos FROM (SELECT id, size, quick IS NOT NULL AND (size, quick) IN (SELECT (size, quick) FROM sq) AS cand FROM w WHERE "full" IS NULL)'))
 def w10(spark, d):
     """The place of every pending file in the full pass."""
     return content.hash_order(hashed(spark, d))
@@ -228,9 +231,11 @@ def j13b(spark, d):
     return similar.print_groups(prints(spark, d), 6)
 
 
-@query("j14_similar_to_one", "SELECT entry_id AS id, bit_count(xor(dhash, 664937137176053347))::BIGINT AS distance FROM (SELECT DISTINCT entry_id, dhash FROM image_prints WHERE dhash <> 0) WHERE bit_count(xor(dhash, 664937137176053347)) <= 24")
+@query("j14_similar", f"WITH {PRINTS} SELECT a.id, b.id AS near_id, bit_count(xor(a.print, b.print))::BIGINT AS distance FROM p a JOIN p b ON a.id <> b.id AND bit_count(xor(a.print, b.print)) <= 6 WHERE a.id % 20 = 0")
 def j14(spark, d):
-    return similar.similar_to(prints(spark, d), 664937137176053347, 24).select("id", "distance")
+    """Every print whose id is divisible by 20, searched among all."""
+    p = prints(spark, d)
+    return similar.similar(p.where("id % 20 = 0"), p, 6)
 
 
 @query("w06_representatives", f"WITH RECURSIVE {PRINTS}, e AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.id <> b.id AND bit_count(xor(a.print, b.print)) <= 6), r AS (SELECT a AS id, a AS near FROM e UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.near), g AS (SELECT id, min(near) AS group_id FROM r GROUP BY id), x AS (SELECT group_id, min_by(p.id, (-coalesce(width::BIGINT * height, 0), p.id)) AS rep_id, count(*) AS files FROM g JOIN p USING (id) GROUP BY 1) SELECT group_id, g.id, rep_id, files, bit_count(xor(p.print, q.print))::BIGINT AS distance FROM g JOIN x USING (group_id) JOIN p ON p.id = g.id JOIN p q ON q.id = rep_id")
@@ -355,7 +360,21 @@ def j11(spark, d):
     return backup.compare_paths(side(spark, d, 0), side(spark, d, 1)).drop("other")
 
 
-@query("j11_compare_contents")
+@query(
+    "j11_compare_contents",
+    SIDES
+    + """, j AS (SELECT a.rel AS ra, b.rel AS rb, a.size AS sa, b.size AS sb, a."full" AS fa, b."full" AS fb, abs(a.modified - b.modified) <= 20000000 AS near FROM a JOIN b ON upper(a.rel) = upper(b.rel)),
+jj AS (SELECT *, CASE WHEN fa IS NOT NULL AND fb IS NOT NULL THEN sa = sb AND fa = fb WHEN sa <> sb THEN false ELSE near END AS same, CASE WHEN (fa IS NOT NULL AND fb IS NOT NULL) OR sa <> sb THEN 'content' ELSE 'metadata' END AS evidence FROM j),
+s1 AS (SELECT ra, rb, evidence FROM jj WHERE same),
+a1 AS (SELECT * FROM a WHERE rel NOT IN (SELECT ra FROM s1)), b1 AS (SELECT * FROM b WHERE rel NOT IN (SELECT rb FROM s1)),
+m1 AS (SELECT x.rel AS ra, y.rel AS rb FROM (SELECT *, row_number() OVER (PARTITION BY size, "full" ORDER BY rel) AS n FROM a1 WHERE "full" IS NOT NULL) x JOIN (SELECT *, row_number() OVER (PARTITION BY size, "full" ORDER BY rel) AS n FROM b1 WHERE "full" IS NOT NULL) y USING (size, "full", n)),
+a2 AS (SELECT * FROM a1 WHERE rel NOT IN (SELECT ra FROM m1)), b2 AS (SELECT * FROM b1 WHERE rel NOT IN (SELECT rb FROM m1)),
+m2 AS (SELECT a2.rel AS ra, b2.rel AS rb FROM a2 JOIN b2 ON a2.name = b2.name AND a2.size = b2.size AND abs(a2.modified - b2.modified) <= 20000000 AND (a2."full" IS NULL OR b2."full" IS NULL)),
+a3 AS (SELECT * FROM a2 WHERE rel NOT IN (SELECT ra FROM m2)), b3 AS (SELECT * FROM b2 WHERE rel NOT IN (SELECT rb FROM m2)),
+d AS (SELECT jj.* FROM jj WHERE ra IN (SELECT rel FROM a3) AND rb IN (SELECT rel FROM b3))
+SELECT ra AS rel, NULL AS other, size, 'same' AS status, evidence FROM s1 JOIN a ON rel = ra UNION ALL SELECT ra, rb, size, 'same', 'content' FROM m1 JOIN a ON rel = ra UNION ALL SELECT ra, rb, size, 'same', 'metadata' FROM m2 JOIN a ON rel = ra
+UNION ALL SELECT ra, NULL, sa, 'different', evidence FROM d UNION ALL SELECT rel, NULL, size, 'only_a', NULL FROM a3 WHERE rel NOT IN (SELECT ra FROM d) UNION ALL SELECT rel, NULL, size, 'only_b', NULL FROM b3 WHERE rel NOT IN (SELECT rb FROM d)""",
+)
 def j11b(spark, d):
     return backup.compare_contents(side(spark, d, 0), side(spark, d, 1))
 

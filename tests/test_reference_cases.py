@@ -65,6 +65,35 @@ def test_search_unknown_disk_and_empty(spark):
     assert [r["id"] for r in search.matches(i, v, parse("d:port")).orderBy("id").collect()] == [2, 3, 4]
 
 
+def test_pairs_by_time_leave_no_two_that_fit(spark):
+    import random
+
+    rnd, unit = random.Random(6), backup.TOLERANCE
+    side = lambda s: [(f"{s}{i}\\{rnd.choice(['n', 'm'])}", 1, rnd.choice([None, *[int(unit * rnd.uniform(0, 30)) for _ in range(6)]]), rnd.choice([None, None, f"{s}{i}"])) for i in range(60)]
+    a, b = side("a"), side("b")
+    S = "rel string, size long, modified long, full string"
+    got = backup.compare_contents(spark.createDataFrame(a, S), spark.createDataFrame(b, S)).collect()
+    fits = lambda x, y: x[0][-1] == y[0][-1] and (x[3] is None or y[3] is None) and (x[2] is None and y[2] is None or None not in (x[2], y[2]) and abs(x[2] - y[2]) <= unit)
+    A, B = {x[0]: x for x in a}, {y[0]: y for y in b}
+    pairs = [(A[r["rel"]], B[r["other"]]) for r in got if r["other"]]
+    assert len(pairs) > 10 and all(fits(x, y) for x, y in pairs) and len({x for x, _ in pairs}) == len(pairs) == len({y for _, y in pairs})
+    left_a, left_b = [A[r["rel"]] for r in got if r["status"] == "only_a"], [B[r["rel"]] for r in got if r["status"] == "only_b"]
+    assert len(pairs) + len(left_a) == 60 == len(pairs) + len(left_b) and not any(fits(x, y) for x in left_a for y in left_b)
+    near = backup.compare_contents(spark.createDataFrame([("x\\f", 1, 0, None), ("y\\f", 1, 19_000_000, None)], S), spark.createDataFrame([("z\\f", 1, 38_000_000, None)], S)).collect()
+    assert {(r["rel"], r["status"]) for r in near} == {("x\\f", "only_a"), ("y\\f", "same")}
+
+
+def test_quick_hash_of_long_contents(spark):
+    import hashlib
+
+    from shelfmark.operators import content
+
+    for n in (0, 5, 65_536, 65_537, 100_000, 131_072, 131_073, 300_000):
+        data = bytes(i * 7 % 251 for i in range(n))
+        want = hashlib.sha256(n.to_bytes(8, "little") + data[:65_536] + data[max(n - 65_536, 65_536) :]).hexdigest()
+        assert one(spark, data, content.quick_hash, "binary") == want, n
+
+
 def test_selection_rules(spark):
     rows = [(1, 1000, "h", 1, "a/long/path", 30, True), (2, 1000, "h", 2, "b", 10, True), (3, 1000, "h", 2, "c", 20, False), (4, 1000, "h", 1, "keep/d", None, True)]
     f = spark.createDataFrame(rows, "id long, size long, full string, volume_id long, path string, modified long, online boolean")
@@ -84,9 +113,15 @@ def test_near_prints_equal_all_pairs(spark):
     values = [b ^ sum(1 << k for k in rnd.sample(range(64), rnd.randrange(9))) for b in base for _ in range(4)] + base
     signed = sorted({v - (1 << 64) if v >> 63 else v for v in values})
     df = spark.createDataFrame([(i, v) for i, v in enumerate(signed)], "id long, print long")
-    for limit in (0, 3, 6, 9):
+    for limit in (0, 3, 6, 9, 12):
         want = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= limit}
         assert {(r["a"], r["b"]) for r in similar.near_prints(df, limit).collect()} == want
+    want = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 6}
+    assert {(r["a"], r["b"]) for r in similar.near_prints(df, 6, hot_rows=3).collect()} == want
+    at = {v: i for i, v in enumerate(signed)}
+    found = {(r["id"], r["near_id"], r["distance"]) for r in similar.similar(df.where("id % 5 = 0"), df.union(df.selectExpr("id + 1000", "print").where("id % 7 = 0")), 6).collect()}
+    twice = lambda i: [i, i + 1000] if i % 7 == 0 else [i]
+    assert found == {(at[a], j, ((a ^ b) & (2**64 - 1)).bit_count()) for a in signed for b in signed if at[a] % 5 == 0 and ((a ^ b) & (2**64 - 1)).bit_count() <= 6 for j in twice(at[b]) if j != at[a]}
 
 
 def test_linked_chains(spark):
