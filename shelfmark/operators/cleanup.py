@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import fold, fold_text
@@ -81,7 +81,7 @@ def browser_caches(paths: DataFrame, stats: DataFrame, folder: str, layout: str)
 
 
 def scan(paths: DataFrame, stats: DataFrame, temp: list[str], temp_before: int, large: int, large_before: int, keep: list[str] | None = None, time: str = "modified_ms", browsers: list[tuple[str, str]] | None = None) -> DataFrame:
-    """`category, id, path, size` of all proposals for the entries of volumes.
+    """`category, owner, id, path, size` of all proposals for the entries of volumes; owner is the browser of a cache, else null.
 
     temp: files below the temporary folders older than a moment. empty_folders: top-most folders without files.
     large_old: large files not changed for long, outside the temporary folders. browser_caches: known cache folders of
@@ -91,15 +91,28 @@ def scan(paths: DataFrame, stats: DataFrame, temp: list[str], temp_before: int,
     keep = PROTECTED if keep is None else keep
     free = paths.where(~protected(F.col("path"), keep)).join(guarded(paths), "id", "left_anti").join(inside_holders(paths).select("id"), "id", "left_anti")
     total = stats.select(F.col("entry_id").alias("id"), F.col("total_size").alias("_t"))
-    say = lambda df, what, size: df.select(F.lit(what).alias("category"), "id", "path", size.alias("size"))
+    say = lambda df, what, size, owner=None: df.select(F.lit(what).alias("category"), F.lit(owner).cast("string").alias("owner"), "id", "path", size.alias("size"))
     out = say(free.join(top_empty(paths, stats).select("id"), "id", "left_semi").join(total, "id"), "empty_folders", F.col("_t"))
     out = out.unionByName(say(large_old(free.where(~protected(F.col("path"), temp)), time, large, large_before), "large_old", F.col("size")))
     if temp:
         out = out.unionByName(say(paths.where(~F.col("is_dir") & protected(F.col("path"), temp) & (F.col(time) < temp_before)), "temp", F.col("size")))
     for folder, layout in browsers or []:
-        out = out.unionByName(say(browser_caches(paths, stats, folder, layout), "browser_caches", F.col("_t")))
+        out = out.unionByName(say(browser_caches(paths, stats, folder, layout), "browser_caches", F.col("_t"), layout))
     return out
 
 
 def totals(proposals: DataFrame) -> DataFrame:
     return proposals.groupBy("category").agg(F.count("*").alias("items"), F.sum("size").alias("bytes"))
+
+
+def groups(proposals: DataFrame, running: list[str]) -> DataFrame:
+    """`category, owner, items, bytes, blocked, pos`: the groups as shown, largest first, those of a `running` browser last."""
+    blocked = F.coalesce(F.col("owner").isin(running), F.lit(False)) if running else F.lit(False)
+    g = proposals.groupBy("category", "owner").agg(F.count("*").alias("items"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).withColumn("blocked", blocked)
+    return g.withColumn("pos", F.row_number().over(Window.orderBy("blocked", F.desc("bytes"), "category", "owner")).cast("long"))  # one row for each category and browser
+
+
+def default_selection(proposals: DataFrame, running: list[str]) -> DataFrame:
+    """The proposals that are selected at first: never large old files, which are the user's own, nor anything of a running browser."""
+    blocked = F.coalesce(F.col("owner").isin(running), F.lit(False)) if running else F.lit(False)
+    return proposals.where((F.col("category") != "large_old") & ~blocked)

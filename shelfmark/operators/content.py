@@ -82,3 +82,43 @@ def passes(hashed: DataFrame) -> DataFrame:
 def changed_recently(modified_ms: Column, now_ms: int, window_ms: int = 600_000) -> Column:
     """Files changed within the window around now are left for later."""
     return (modified_ms > now_ms - window_ms) & (modified_ms < now_ms + window_ms)
+
+
+def work_state(entries: DataFrame, hashes: DataFrame, prints: DataFrame) -> DataFrame:
+    """`id, has_quick, has_full, has_print`: what is known of each file as it is now; prints: entry_id, size, modified."""
+    valid = (F.col("size") == F.col("_s")) & F.col("modified").eqNullSafe(F.col("_m"))
+    p = prints.select(F.col("entry_id").alias("id"), F.col("size").alias("_s"), F.col("modified").alias("_m"))
+    ok = entries.select("id", "size", "modified").join(p, "id").where(valid).select("id", F.lit(True).alias("_p")).distinct()
+    j = with_hashes(entries, hashes).join(ok, "id", "left")
+    return j.select("id", F.col("quick").isNotNull().alias("has_quick"), F.col("full").isNotNull().alias("has_full"), F.col("_p").isNotNull().alias("has_print"))
+
+
+def waiting(paused: bool) -> Column:
+    """Why the analysis of a volume isn't running, from left (files without a hash), running, excluded, busy, skipped (files that couldn't be read); null if it runs or has nothing to do."""
+    c = F.col
+    why = F.when(c("excluded"), "excluded")
+    why = why.when(F.lit(paused), "paused").when(c("busy"), "busy").when(c("skipped") >= c("left"), "skipped").otherwise("next")
+    return F.when(~c("running") & (c("left") > 0), why)
+
+
+def only_skipped_left() -> Column:
+    """Whether all that is left of files, images and videos are ones that couldn't be read: files, hashed, images, printed, videos, videos_printed, skipped_files, skipped_prints."""
+    less = lambda a, b: F.greatest(F.col(a) - F.col(b), F.lit(0))
+    files, prints = less("files", "hashed"), less("images", "printed") + less("videos", "videos_printed")
+    return (files + prints > 0) & (F.col("skipped_files") >= files) & (F.col("skipped_prints") >= prints)
+
+
+def hash_percent(hashed: Column, total: Column) -> Column:
+    return F.when(total <= 0, 100).otherwise(F.least(F.lit(100), F.floor(hashed * 100 / total))).cast("long")
+
+
+def read_contents(spark, path: str, expected: DataFrame) -> DataFrame:
+    """`id, content, state` of files read whole from a folder: expected has id, path (as read), size, modified_ms.
+
+    state: ok, missing, or changed where size or time of what was read isn't what the catalog expects; then content is
+    null. The size and time are those of the file as it was opened.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("_size"), F.unix_millis("modificationTime").alias("_ms"), "content")
+    j = expected.select("id", "path", "size", "modified_ms").join(files, "path", "left")
+    same = (F.col("_size") == F.col("size")) & F.col("_ms").eqNullSafe(F.col("modified_ms"))
+    return j.select("id", F.when(same, F.col("content")).alias("content"), F.when(F.col("_size").isNull(), "missing").when(same, "ok").otherwise("changed").alias("state"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import category, extension, fold, fold_text
@@ -46,32 +46,26 @@ def selected(dups: DataFrame, rules: list[tuple]) -> DataFrame:
     Rules: ("keep_on_volume", id), ("keep_oldest",), ("keep_newest",), ("keep_shortest_path",), ("never_in", text). A
     rule that fits none of those left is skipped; of those left in the end the least id is kept. Copies that are
     offline, or whose path has the text of a `never_in`, are never chosen. Where all times are unknown, every copy
-    fits an oldest or newest rule. Each rule is one aggregate over the group, so no group is held in one task.
+    fits an oldest or newest rule. What the rules narrow down to is the least copy in the order that compares by one rule
+    after the other, so one mergeable aggregate per group finds it and no group is held in one task.
     """
-    left = dups.select("id", *KEY, "volume_id", "path", "modified", "online", F.lit(True).alias("alive"))
-
-    def over(df: DataFrame, value: Column) -> DataFrame:
-        return df.join(df.groupBy(*KEY).agg(value.alias("_v")), KEY)
-
-    for rule in rules:
-        kind, alive = rule[0], F.col("alive")
-        if kind == "never_in":
+    order = []
+    for n, rule in enumerate(rules):
+        if rule[0] == "keep_on_volume":
+            key = F.when(F.col("volume_id") == rule[1], 0).otherwise(1).cast("long")
+        elif rule[0] == "keep_oldest":
+            key = F.coalesce("modified", F.lit((1 << 63) - 1))
+        elif rule[0] == "keep_newest":
+            key = F.coalesce(-F.col("modified"), F.lit((1 << 63) - 1))
+        elif rule[0] == "keep_shortest_path":
+            key = F.coalesce(F.char_length("path"), F.lit(1 << 31)).cast("long")
+        elif rule[0] == "never_in":
             continue
-        if kind == "keep_on_volume":
-            fits = F.col("volume_id") == rule[1]
-        elif kind in ("keep_oldest", "keep_newest"):
-            pick = F.min if kind == "keep_oldest" else F.max
-            left = over(left, pick(F.when(alive, F.col("modified")))).withColumn("_b", F.col("_v")).drop("_v")
-            fits = F.col("modified").eqNullSafe(F.col("_b"))
-        elif kind == "keep_shortest_path":
-            left = over(left, F.min(F.when(alive, F.char_length("path")))).withColumn("_b", F.col("_v")).drop("_v")
-            fits = F.char_length("path") == F.col("_b")
         else:
-            raise ValueError(f"unknown rule {kind}")
-        left = over(left.withColumn("_fits", alive & F.coalesce(fits, F.lit(False))), F.max("_fits"))
-        left = left.withColumn("alive", F.when(F.col("_v"), F.col("_fits")).otherwise(alive)).select("id", *KEY, "volume_id", "path", "modified", "online", "alive")
-    left = over(left, F.min(F.when(F.col("alive"), F.col("id"))))
-    chosen = left.where(F.col("online") & (F.col("id") != F.col("_v")))
+            raise ValueError(f"unknown rule {rule[0]}")
+        order.append(key.alias(f"k{n}"))
+    keeper = dups.groupBy(*KEY).agg(F.min(F.struct(*order, F.col("id").alias("keeper"))).alias("_k")).select(*KEY, "_k.keeper")
+    chosen = dups.join(keeper, KEY).where(F.col("online") & (F.col("id") != F.col("keeper")))
     for rule in rules:
         if rule[0] == "never_in":
             chosen = chosen.where(~F.contains(fold(F.col("path")), F.lit(fold_text(rule[1]))))
@@ -99,9 +93,30 @@ def kept_copies(files: DataFrame, doomed: DataFrame) -> DataFrame:
     return known.join(d, "id", "left_semi").select("id", *KEY).join(stay, KEY).select("id", "kept_id", "kept")
 
 
+def can_select(dups: DataFrame, chosen: DataFrame) -> DataFrame:
+    """`id, can_select` of every copy: it is connected, and chosen already or not the last copy of its content that isn't."""
+    d = dups.join(chosen.select("id", F.lit(True).alias("_c")).distinct(), "id", "left")
+    left = d.groupBy(*KEY).agg(F.count_if(F.col("_c").isNull()).alias("_left"))
+    return d.join(left, KEY).select("id", (F.coalesce("online", F.lit(False)) & (F.col("_c").isNotNull() | (F.col("_left") > 1))).alias("can_select"))
+
+
+def only_offline_left(dups: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Contents of which something is chosen and something stays, but only on disks that aren't connected."""
+    d = dups.join(chosen.select("id", F.lit(True).alias("_c")).distinct(), "id", "left")
+    stays = F.col("_c").isNull()
+    g = d.groupBy(*KEY).agg(F.count_if(~stays).alias("c"), F.count_if(stays).alias("l"), F.count_if(stays & F.coalesce("online", F.lit(False))).alias("o"))
+    return g.where("c > 0 AND l > 0 AND o = 0").select(*KEY)
+
+
 def same_file(a: DataFrame, b: DataFrame) -> DataFrame:
-    """`a, b` that are one file on disk: same volume serial and file number, or the same folded path; the OR is a union of two equi-joins."""
-    x, y = a.select(F.col("id").alias("a"), "serial", "number", fold(F.col("path")).alias("p")), b.select(F.col("id").alias("b"), "serial", "number", fold(F.col("path")).alias("p"))
-    by_number = x.drop("p").join(y.drop("p"), ["serial", "number"]).select("a", "b")
-    by_path = x.select("a", "p").join(y.select("b", "p"), "p").select("a", "b")
-    return by_number.union(by_path).distinct()
+    """`a, b` that are one file on disk: id, serial (of the volume), number (64 bits), server (of a connected share, else null).
+
+    The same number on the same volume, or on one server the same low 32 bits of it that aren't all zero, as one disk
+    may be shown under two shares. The OR is a union of two equi-joins.
+    """
+    low = F.col("number").bitwiseAND(0xFFFFFFFF)
+    side = lambda d, to: d.select(F.col("id").alias(to), "serial", "number", fold(F.col("server")).alias("server"), low.alias("low"))
+    x, y = side(a, "a"), side(b, "b")
+    by_number = x.select("a", "serial", "number").join(y.select("b", "serial", "number"), ["serial", "number"]).select("a", "b")
+    by_server = x.where("low <> 0").select("a", "server", "low").join(y.select("b", "server", "low"), ["server", "low"]).select("a", "b")
+    return by_number.union(by_server).distinct()

@@ -148,3 +148,28 @@ def nas_problems(disks: DataFrame) -> DataFrame:
 
 def news(before: DataFrame, now: DataFrame) -> DataFrame:
     return now.join(before, ["server", "problem"], "left_anti")
+
+
+def health_view(readings: DataFrame, media: DataFrame, n: int = 30) -> DataFrame:
+    """`disk_key, points, status, most, medium`: the newest status of each disk, its last `n` readings in sum, and its saved medium (disk_key, medium)."""
+    g = latest(readings, n).groupBy("disk_key").agg(F.count("*").alias("points"), F.max_by("status", F.struct("at_ms", "reading_no")).alias("status"), F.max("reallocated").alias("most"))
+    return g.join(media.groupBy("disk_key").agg(F.max("medium").alias("medium")), "disk_key", "left")
+
+
+#: The share that stands for the system's own storage, and where that is mounted.
+SYSTEM_SHARE, SYSTEM_MOUNT = "ZIMAOS-HD", "/DATA"
+
+
+def share_storages(shares: DataFrame, storages: DataFrame, disks: DataFrame) -> DataFrame:
+    """`server, share, storage, n_disks, n_bad`: the storage a share shows (by name in any case, else the system's own), and its disks.
+
+    shares: server, share. storages: server, storage, mount. disks: server, storage, serial, healthy, missing. Shares
+    without a storage have nulls.
+    """
+    up = F.upper
+    by_name = storages.groupBy("server", up("storage").alias("_k")).agg(F.min("storage").alias("_named"))
+    system = storages.where(F.col("mount") == SYSTEM_MOUNT).groupBy("server").agg(F.min("storage").alias("_system"))
+    j = shares.select("server", "share", up("share").alias("_k")).join(by_name, ["server", "_k"], "left").join(system, "server", "left")
+    j = j.select("server", "share", F.coalesce("_named", F.when(F.col("_k") == SYSTEM_SHARE, F.col("_system"))).alias("storage"))
+    d = disks.groupBy("server", "storage").agg(F.count("*").alias("n_disks"), F.count_if(F.col("missing") | ~F.col("healthy")).alias("n_bad"))
+    return j.join(d, ["server", "storage"], "left").select("server", "share", "storage", "n_disks", "n_bad")

@@ -273,9 +273,10 @@ def affected_folders(records: DataFrame, entries: DataFrame) -> DataFrame:
     return named.unionByName(held).distinct()
 
 
-def claimed_twice(state: DataFrame) -> DataFrame:
-    """Names that two files of one folder claim: the records must be read again."""
-    return state.where("parent_ref IS NOT NULL AND name IS NOT NULL").groupBy("volume_id", "parent_ref", "name").agg(F.count("*").alias("n")).where("n > 1")
+def claimed_twice(state: DataFrame, within: list[str] | None = None) -> DataFrame:
+    """Names that two files of one folder claim (of one volume, or of what `within` names): the records must be read again."""
+    by = [*(within or ["volume_id"]), "parent_ref", "name"]
+    return state.where("parent_ref IS NOT NULL AND name IS NOT NULL").groupBy(*by).agg(F.count("*").alias("n")).where("n > 1")
 
 
 def folders_to_refresh(paths: DataFrame, changed: DataFrame) -> DataFrame:

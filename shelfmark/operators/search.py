@@ -102,3 +102,39 @@ def hits(best: DataFrame, paths: DataFrame, volumes: DataFrame, stats: DataFrame
     j = best.join(p, "parent_id").join(v, "volume_id").join(s, "id", "left")
     kind = F.when(c("is_dir"), "dir").otherwise(category(extension(c("folded"))))
     return j.select("id", "score", "name", "folder", kind.alias("kind"), F.when(c("is_dir"), F.coalesce("total_size", F.lit(0))).otherwise(c("size")).alias("size"), "modified_ms", "disk", "online", "location")
+
+
+def trigrams(entries: DataFrame) -> DataFrame:
+    """`gram, id`: every run of three characters of a folded name, once for each name; shorter names have none."""
+    e = entries.select("id", fold(F.col("name")).alias("n")).where(F.char_length("n") >= 3).distinct()
+    grams = F.transform(F.sequence(F.lit(1), F.char_length("n") - 2), lambda i: F.substring("n", i, F.lit(3)))
+    return e.select(F.explode(F.array_distinct(grams)).alias("gram"), "id").distinct()
+
+
+class LiveIndex:
+    """A name index kept as a table under `path`, a folder for each volume; volumes that changed are written anew, at most every `interval_ms`.
+
+    A volume that has no index yet is due at once. Only due volumes are read and rewritten; readers of the others are
+    not disturbed.
+    """
+
+    def __init__(self, path: str, interval_ms: int):
+        self.path, self.interval_ms = path, interval_ms
+        self.dirty: set[int] = set()
+        self.built: dict[int, int] = {}
+
+    def touch(self, *volumes: int) -> None:
+        self.dirty |= set(volumes)
+
+    def due(self, now_ms: int) -> list[int]:
+        return sorted(v for v in self.dirty if v not in self.built or now_ms - self.built[v] >= self.interval_ms)
+
+    def refresh(self, entries: DataFrame, now_ms: int) -> list[int]:
+        """Rebuilds what is due and says which volumes that were."""
+        volumes = self.due(now_ms)
+        if volumes:
+            index = name_index(entries.where(F.col("volume_id").isin(volumes))).repartition("volume_id")
+            index.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("volume_id").parquet(self.path)
+            self.dirty -= set(volumes)
+            self.built |= dict.fromkeys(volumes, now_ms)
+        return volumes

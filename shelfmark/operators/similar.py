@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.names import hamming, mean_distance
+from ..functions.names import hamming, local_content, mean_distance
 from ..shared import Scratch
 
 
@@ -178,3 +178,46 @@ def representatives(groups: DataFrame, prints: DataFrame) -> DataFrame:
     area = F.coalesce(F.col("width").cast("long") * F.col("height"), F.lit(0))
     rep = j.groupBy("group_id").agg(F.min_by(F.struct(F.col("id").alias("rep_id"), F.col("print").alias("rep_print")), F.struct(-area, F.col("id"))).alias("r"), F.count("*").alias("files"))
     return j.join(rep, "group_id").select("group_id", "id", F.col("r.rep_id").alias("rep_id"), "files", hamming(F.col("print"), F.col("r.rep_print")).alias("distance"))
+
+
+def print_states(entries: DataFrame, prints: DataFrame) -> DataFrame:
+    """`id, name, printed` of every non-empty file whose content is local: whether a print of its present size and time is there."""
+    p = prints.select(F.col("entry_id").alias("id"), F.col("size").alias("_s"), F.col("modified_at").alias("_m"))
+    files = entries.where(~F.col("is_dir") & (F.col("size") > 0) & local_content(F.col("attrs"))).select("id", "name", "size", "modified_at")
+    ok = files.join(p, "id").where((F.col("_s") == F.col("size")) & F.col("_m").eqNullSafe(F.col("modified_at"))).select("id", F.lit(True).alias("_p")).distinct()
+    return files.join(ok, "id", "left").select("id", "name", F.col("_p").isNotNull().alias("printed"))
+
+
+def print_pass(files: DataFrame, grays, skip: DataFrame | None = None) -> DataFrame:
+    """`id, print, error` of files (id, content): `grays(content)` gives the 72 gray values of a picture, on the executors.
+
+    What it can't read has no print and the kind of its error, and the pass goes on. `skip` (id): files that brought a
+    worker down before; they are left out of the pass, with the error `skipped`.
+    """
+    from pyspark.sql import types as T
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            values, errors = [], []
+            for content in b.column(1).to_pylist():
+                try:
+                    g = [int(x) for x in grays(content)]
+                    if len(g) != 72:
+                        raise ValueError("not 72 values")
+                    values.append(g)
+                    errors.append(None)
+                except Exception as e:  # whatever a decoder throws at a broken file
+                    values.append(None)
+                    errors.append(type(e).__name__)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(values, pa.list_(pa.int32())), pa.array(errors, pa.string())], names=["id", "grays", "error"])
+
+    todo = files if skip is None else files.join(skip.select("id").distinct(), "id", "left_anti")
+    kind = files.schema["id"].dataType
+    schema = T.StructType([T.StructField("id", kind), T.StructField("grays", T.ArrayType(T.IntegerType())), T.StructField("error", T.StringType())])
+    out = todo.select("id", "content").mapInArrow(run, schema).select("id", print_of_pixels(F.col("grays")).alias("print"), "error")
+    if skip is None:
+        return out
+    left = files.join(skip.select("id").distinct(), "id", "left_semi").select("id", F.lit(None).cast("long").alias("print"), F.lit("skipped").alias("error"))
+    return out.unionByName(left)

@@ -22,6 +22,14 @@ def folder_items(entries: DataFrame, stats: DataFrame, parent: int | None = None
     )
 
 
+def folder_page(items: DataFrame, rows: int = 1000) -> DataFrame:
+    """`parent_id, id, pos, more`: the `rows` largest children of each folder (then by name, id) and how many there are besides; unknown sizes come last."""
+    n = items.groupBy("parent_id").agg(F.count("*").alias("n"))
+    at = F.row_number().over(Window.partitionBy("parent_id").orderBy(F.coalesce("size", F.lit(-1)).desc(), "name", "id")).cast("long")
+    shown = items.withColumn("pos", at).where(F.col("pos") <= rows)
+    return shown.join(n, "parent_id").select("parent_id", "id", "pos", F.greatest(F.col("n") - rows, F.lit(0)).alias("more"))
+
+
 def largest_files(entries: DataFrame, n: int) -> DataFrame:
     """The `n` largest files, ties by id; pass a subtree or a volume's entries for a narrower question."""
     return entries.where("NOT is_dir AND size IS NOT NULL").orderBy(F.desc("size"), "id").limit(n)

@@ -35,12 +35,25 @@ def roll_up(paths: DataFrame) -> DataFrame:
 
 
 def refresh_roll_up(old: DataFrame, paths: DataFrame, seeds: DataFrame) -> DataFrame:
-    """`old` totals with those of the `seeds` (id) and of all their ancestors computed anew."""
-    chain = paths.join(seeds.select("id").distinct(), "id", "left_semi").select(F.explode(F.concat("ancestors", F.array("id"))).alias("entry_id")).distinct()
-    touched = chain.select(F.col("entry_id").alias("x"))
-    below = paths.where(F.col("is_dir") | F.col("parent_id").isNotNull())
-    part = below.select("*", F.explode(F.concat("ancestors", F.array("id"))).alias("x")).join(touched, "x", "left_semi").drop("x").dropDuplicates(["id"])
-    fresh = roll_up(part).join(chain, "entry_id", "left_semi")
+    """`old` totals with those of the `seeds` (id) and of all their ancestors computed anew.
+
+    A touched folder's totals are its own children's and those of its folders: of touched ones anew, of all others as
+    they are in `old`, which are right. So only the children of touched folders are read, and what they add up to
+    spreads along the touched folders' chains.
+    """
+    c = F.col
+    names = ["total_size", "total_alloc", "file_count", "dir_count"]
+    chain = paths.join(seeds.select("id").distinct(), "id", "left_semi").select(F.explode(F.concat("ancestors", F.array("id"))).alias("id")).distinct()
+    touched = Scratch(paths.sparkSession, "touched").save(paths.where("is_dir").join(chain, "id", "left_semi").select("id", "ancestors"))
+    kids = paths.where("parent_id IS NOT NULL").join(touched.select(c("id").alias("parent_id")), "parent_id", "left_semi")
+    kids = kids.join(touched.select("id", F.lit(True).alias("_t")), "id", "left").join(old.select(c("entry_id").alias("id"), *[c(n).alias(f"_{n}") for n in names]), "id", "left")
+    known = lambda n: F.when(c("_t").isNull(), F.coalesce(f"_{n}", F.lit(0))).otherwise(0)
+    own = kids.groupBy(c("parent_id").alias("id")).agg(
+        F.sum(F.coalesce("size", F.lit(0)) + known("total_size")).alias("s"), F.sum(F.coalesce("alloc_size", "size", F.lit(0)) + known("total_alloc")).alias("a"),
+        F.sum((~c("is_dir")).cast("long") + known("file_count")).alias("f"), F.sum(c("is_dir").cast("long") + known("dir_count")).alias("d"))
+    up = touched.join(own, "id").select(F.explode(F.concat("ancestors", F.array("id"))).alias("id"), "s", "a", "f", "d")
+    sums = up.groupBy("id").agg(*[F.sum(x).alias(x) for x in "safd"])
+    fresh = touched.select("id").join(sums, "id", "left").select(c("id").alias("entry_id"), *[F.coalesce(x, F.lit(0)).cast("long").alias(n) for x, n in zip("safd", names)])
     return old.join(fresh.select("entry_id"), "entry_id", "left_anti").unionByName(fresh)
 
 
@@ -163,22 +176,22 @@ def problems(rows: DataFrame, stats: DataFrame) -> DataFrame:
     rows = rows.where("id IS NOT NULL").distinct()
     e = Scratch(rows.sparkSession, "problems").save(reduced(rows))
     p = e.select(c("id").alias("pid"), c("is_dir").alias("p_dir"), c("volume_id").alias("p_vol"))
-    j = e.where("parent_id IS NOT NULL").join(p, c("parent_id") == c("pid"), "left")
-    roots = e.where("parent_id IS NULL")
-    s = stats.select(c("entry_id").alias("id")).distinct()
+    has = stats.select(c("entry_id").alias("id"), F.lit(True).alias("has")).distinct()
+    j = e.join(p, c("parent_id") == c("pid"), "left").join(has, "id", "left")
+    hung, there = c("parent_id").isNotNull(), c("has").isNotNull()
+    rules = {
+        "root_name": ~hung & (c("name") != ""), "no_parent": hung & c("pid").isNull(), "parent_is_file": ~c("p_dir"), "other_volume": c("p_vol") != c("volume_id"),
+        "no_stats": c("is_dir") & ~there, "file_stats": ~c("is_dir") & there, "parked_name": c("name").startswith("\u0001"),
+    }
+    own = j.select(F.explode(F.array_compact(F.array(*[F.when(rule, what) for what, rule in rules.items()]))).alias("problem"), "id")
     say = lambda df, what: df.select(F.lit(what).alias("problem"), "id")
+    several = lambda df, *by: df.groupBy(*by).agg(F.min("id").alias("id"), F.count("*").alias("n")).where("n > 1")
     found = [
+        own,
         say(rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1"), "duplicate_id"),
-        say(roots.groupBy("volume_id").agg(F.min("id").alias("id"), F.count("*").alias("n")).where("n > 1"), "two_roots"),
-        say(roots.where("name <> ''"), "root_name"),
-        say(j.where("pid IS NULL"), "no_parent"),
-        say(j.where("NOT p_dir"), "parent_is_file"),
-        say(j.where("p_vol <> volume_id"), "other_volume"),
-        say(e.where("parent_id IS NOT NULL").groupBy("parent_id", "name").agg(F.min("id").alias("id"), F.count("*").alias("n")).where("n > 1"), "same_name"),
-        say(e.where("is_dir").join(s, "id", "left_anti"), "no_stats"),
-        say(e.where("NOT is_dir").join(s, "id", "left_semi"), "file_stats"),
+        say(several(e.where(~hung), "volume_id"), "two_roots"),
+        say(several(e.where(hung), "parent_id", "name"), "same_name"),
         say(stats_differ(e, stats), "stats_differ"),
-        say(e.where(c("name").startswith("\u0001")), "parked_name"),
         say(hierarchy(e, below=False).where("depth < 0"), "loop"),
     ]
     out = found[0]

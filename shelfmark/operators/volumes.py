@@ -27,6 +27,66 @@ def used_percent() -> Column:
     return F.when(ok, F.floor((F.col("capacity") - F.col("free_space")) * 100 / F.col("capacity")).cast("long"))
 
 
+#: States in which a volume is kept up to date on its own; files read at the same time from a share.
+AUTO_UPDATE = ["indexed", "reindex_needed"]
+NETWORK_READERS = 4
+
+
+def section() -> Column:
+    """Where a volume stands in the catalog: online, network (whether its server answers or not) or offline."""
+    return F.when(F.col("kind") == "network", "network").when(F.col("online"), "online").otherwise("offline")
+
+
+def visible(volumes: DataFrame) -> DataFrame:
+    """All volumes but the ignored ones; an unknown status is shown."""
+    return volumes.where(F.coalesce(F.col("status") != "ignored", F.lit(True)))
+
+
+def filter_counts(volumes: DataFrame) -> DataFrame:
+    """How many volumes each filter shows: one row of all_volumes, online, network, offline."""
+    n = lambda s: F.count_if(section() == s).alias(s)
+    return visible(volumes).agg(F.count("*").alias("all_volumes"), n("online"), n("network"), n("offline"))
+
+
+def cards_order(volumes: DataFrame) -> list[Column]:
+    """Connected disks first, then shares, then the others; by name, then id."""
+    return [F.when(section() == "online", 0).when(section() == "network", 1).otherwise(2), fold(display_name()), F.col("id")]
+
+
+def updated_by() -> tuple[Column, Column]:
+    """Whether a connected volume is kept up to date by its journal (local, NTFS), and whether by watching its folders."""
+    ntfs = F.coalesce(F.upper("fs_type") == "NTFS", F.lit(False))
+    auto = F.coalesce(F.col("status").isin(AUTO_UPDATE), F.lit(False))
+    network = F.coalesce(F.col("kind") == "network", F.lit(False))
+    on = F.coalesce("online", F.lit(False))
+    return on & auto & ~network & ntfs, on & (auto | F.coalesce(F.col("status") == "indexing", F.lit(False))) & (network | ~ntfs)
+
+
+def readers() -> Column:
+    return F.when(F.col("kind") == "network", NETWORK_READERS).otherwise(1).cast("long")
+
+
+def resource() -> Column:
+    """What a job on the volume keeps busy: the server of a share, the disk of anything else; null if unknown."""
+    return F.when(F.col("kind") == "network", F.concat(F.lit("net:"), F.coalesce(unc_server(F.col("unc_path")), F.lit("")))).otherwise(F.concat(F.lit("disk:"), "disk_key"))
+
+
+def dimensions(volumes: DataFrame) -> DataFrame:
+    """`what, key, value`: the disk of each volume, the medium of each disk, the shares of each server that isn't ignored."""
+    disks = volumes.where("disk_key IS NOT NULL").select(F.lit("volume_disk").alias("what"), F.col("id").cast("string").alias("key"), F.col("disk_key").alias("value"))
+    media = volumes.where("disk_key IS NOT NULL").groupBy("disk_key").agg(F.max("bus_type").alias("value")).select(F.lit("disk_medium").alias("what"), F.col("disk_key").alias("key"), "value")
+    servers = visible(volumes).where("kind = 'network' AND unc_path IS NOT NULL").groupBy(unc_server(F.col("unc_path")).alias("key")).agg(F.count("*").cast("string").alias("value"))
+    return disks.unionByName(media).unionByName(servers.select(F.lit("server_shares").alias("what"), "key", "value"))
+
+
+def resolve(choice: DataFrame, chosen: int | None, det: int) -> tuple[str, int | None]:
+    """What becomes of an ambiguous volume: ("known", id) for one of its candidates, ("new", None) for none; anything else is refused."""
+    ids = {r["volume_id"] for r in choice.where(F.col("det") == det).select("volume_id").collect()}  # a handful of disks
+    if not ids or (chosen is not None and chosen not in ids):
+        raise ValueError(f"{chosen} is no candidate of {det}")
+    return ("new", None) if chosen is None else ("known", chosen)
+
+
 def group_key() -> Column:
     """Volumes of one disk or one server belong together."""
     return F.when(F.col("disk_key").isNotNull(), F.concat(F.lit("disk:"), "disk_key")).when(F.col("unc_path").isNotNull(), F.concat(F.lit("net:"), unc_server(F.col("unc_path")))).otherwise(F.concat(F.lit("volume:"), F.col("id").cast("string")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -67,3 +67,29 @@ def deletion_plan(wanted: DataFrame, disk: DataFrame) -> DataFrame:
 
 def append_log(log: DataFrame, path: str) -> None:
     log.write.mode("append").parquet(path)
+
+
+def subtree_deletes(paths: DataFrame, ops: DataFrame) -> DataFrame:
+    """A log of ops for `apply_ops` in which every `delete_subtree` names each entry at or below its id; `paths` as of `tree.with_paths`."""
+    cut = ops.where("op = 'delete_subtree'").select(F.col("id").alias("_top"), "seq")
+    rows = paths.select("id", F.explode(F.concat("ancestors", F.array("id"))).alias("_top")).join(cut, "_top").select("seq", F.lit("delete").alias("op"), "id")
+    return ops.where("op <> 'delete_subtree'").unionByName(rows, allowMissingColumns=True)
+
+
+def put_volume(volumes: DataFrame, new: DataFrame) -> DataFrame:
+    """Volumes with new ones (without id) added after the greatest id, in the order of their columns."""
+    last = volumes.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    w = Window.orderBy(*[F.col(c) for c in new.columns])  # a handful of disks
+    return volumes.unionByName(new.withColumn("id", F.row_number().over(w).cast("long") + last), allowMissingColumns=True)
+
+
+def set_volumes(volumes: DataFrame, changes: DataFrame, columns: list[str]) -> DataFrame:
+    """Volumes with the columns of `changes` (one row per id) in place, nulls too: labels, the journal position, the address of a share."""
+    c = changes.select("id", F.lit(True).alias("_set"), *[F.col(x).alias(f"_{x}") for x in columns])
+    j = volumes.join(c, "id", "left")
+    return j.withColumns({x: F.when(F.col("_set"), F.col(f"_{x}")).otherwise(F.col(x)) for x in columns}).drop("_set", *[f"_{x}" for x in columns])
+
+
+def reset_catalog(tables: dict[str, DataFrame], keep: tuple[str, ...] = ("settings", "actions_log")) -> dict[str, DataFrame]:
+    """All tables of a catalog emptied but the settings and the log."""
+    return {n: t if n in keep else t.limit(0) for n, t in tables.items()}

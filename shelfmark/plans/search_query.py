@@ -179,3 +179,25 @@ def parse(text: str, now_ms: int = 0, offset_min: int = 0) -> Query:
                 raise QueryError("bad_regex", str(e), at, end) from e
             q.regexes.append(value)
     return q
+
+
+def get_filter(text: str, key: str) -> str | None:
+    """The value of a filter in a search text, without quotes; None if it has none."""
+    m = re.search(rf'(?:^|\s){re.escape(key)}:("[^"]*"|\S*)', text, re.I)
+    return m[1].strip('"') if m else None
+
+
+def set_filter(text: str, key: str, value: str | None) -> str:
+    """The search text with one filter of that key, in quotes if it has spaces; without any for None or ''."""
+    left = " ".join(re.sub(rf'(^|\s){re.escape(key)}:("[^"]*"|\S*)', " ", text, flags=re.I).split())
+    if not value:
+        return left
+    shown = f'"{value}"' if re.search(r"\s", value) else value
+    return f"{left} {key}:{shown}".strip()
+
+
+def split_at(text: str, start: int, end: int) -> tuple[str, str, str]:
+    """The text around a mistake, cut where the range leaves the text."""
+    a = max(0, min(start, len(text)))
+    b = max(a, min(end, len(text)))
+    return text[:a], text[a:b], text[b:]

@@ -59,3 +59,8 @@ def category_sql(ext: str) -> str:
 
 def band_sql(size: str) -> str:
     return f"(CASE WHEN {size} >= 1000000000 THEN 5 WHEN {size} >= 100000000 THEN 4 WHEN {size} >= 1000000 THEN 3 WHEN {size} >= 100000 THEN 2 WHEN {size} >= 1000 THEN 1 ELSE 0 END)::BIGINT"
+
+
+def up_sql(name: str) -> str:
+    """Names folded character by character: what would grow stays as it is."""
+    return f"replace(replace(upper(replace({name}, 'ẞ', chr(57344))), 'ẞ', 'ß'), chr(57344), 'ẞ')"

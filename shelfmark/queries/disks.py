@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 from .. import fixtures
 from ..functions import names as N
 from ..operators import actions as A
+from ..operators import content, similar
 from ..operators import health as H
 from ..operators import reconcile as R
+from ..operators import search as S
 from ..operators import tree
 from ..operators import volumes as V
 from ..operators import writes as W
 from ..shared import Scratch, numbered
 from . import table
-from .base import category_sql, ext_sql, sql
+from .base import category_sql, ext_sql, sql, up_sql
 
 QUERIES, SQL = {}, {}
 c = F.col
@@ -42,6 +44,10 @@ KIND = "CASE WHEN kind = 'network' THEN 'network' WHEN kind = 'removable' THEN '
 GROUP = "CASE WHEN disk_key IS NOT NULL THEN 'disk:' || disk_key WHEN unc_path IS NOT NULL THEN 'net:' || split_part(ltrim(upper(unc_path), chr(92)), chr(92), 1) ELSE 'volume:' || id END"
 
 
+SECTION = "CASE WHEN kind = 'network' THEN 'network' WHEN online THEN 'online' ELSE 'offline' END"
+SERVER = "split_part(ltrim(upper(unc_path), chr(92)), chr(92), 1)"
+
+
 @query("proj02_display_kind", f"SELECT id, {KIND} AS shown_as FROM volumes")
 def proj02(spark, d):
     return vols(spark, d).select("id", V.display_kind(c("kind"), c("bus_type")).alias("shown_as"))
@@ -74,21 +80,21 @@ def a18(spark, d):
     return V.known_locations(vols(spark, d))
 
 
-@query("a18_filter_counts", "SELECT count(*) AS all_volumes, count(*) FILTER (online) AS online, count(*) FILTER (NOT online) AS offline, count(*) FILTER (status <> 'indexed') AS waiting FROM volumes")
+@query("a18_filter_counts", f"SELECT count(*) AS all_volumes, count(*) FILTER (s = 'online') AS online, count(*) FILTER (s = 'network') AS network, count(*) FILTER (s = 'offline') AS offline FROM (SELECT {SECTION} AS s FROM volumes WHERE status IS DISTINCT FROM 'ignored')")
 def a18b(spark, d):
-    return vols(spark, d).agg(F.count("*").alias("all_volumes"), F.count_if("online").alias("online"), F.count_if(~c("online")).alias("offline"), F.count_if(c("status") != "indexed").alias("waiting"))
+    return V.filter_counts(vols(spark, d))
 
 
-@query("f21_visible", "SELECT id FROM volumes WHERE status IN ('indexed', 'indexing') AND online")
+@query("f21_visible", f"SELECT id, {SECTION} AS section FROM volumes WHERE status IS DISTINCT FROM 'ignored'")
 def f21(spark, d):
-    return vols(spark, d).where("status IN ('indexed', 'indexing') AND online").select("id")
+    return V.visible(vols(spark, d)).select("id", V.section().alias("section"))
 
 
-@query("f22_eligible", "SELECT id, coalesce(online AND upper(fs_type) = 'NTFS' AND kind <> 'network', false) AS by_journal, online AND kind <> 'removable' AND journal_id IS NULL AS by_watcher FROM volumes")
+@query("f22_eligible", "WITH v AS (SELECT id, coalesce(online, false) AS o, coalesce(status IN ('indexed', 'reindex_needed'), false) AS auto, status = 'indexing' AS ix, kind = 'network' AS net, coalesce(upper(fs_type) = 'NTFS', false) AS ntfs FROM volumes) SELECT id, o AND auto AND NOT net AND ntfs AS by_journal, o AND (auto OR ix) AND (net OR NOT ntfs) AS by_watcher FROM v")
 def f22(spark, d):
     """Which volumes update from their journal, and which by watching folders."""
-    journal = c("online") & (F.upper("fs_type") == "NTFS") & (c("kind") != "network")
-    return vols(spark, d).select("id", F.coalesce(journal, F.lit(False)).alias("by_journal"), (c("online") & (c("kind") != "removable") & c("journal_id").isNull()).alias("by_watcher"))
+    journal, watcher = V.updated_by()
+    return vols(spark, d).select("id", journal.alias("by_journal"), watcher.alias("by_watcher"))
 
 
 @query("c24_disk_parts", "SELECT id, split_part(disk_key, '|', 1) AS model, split_part(disk_key, '|', 2) AS serial, disk_key FROM volumes WHERE disk_key IS NOT NULL")
@@ -114,12 +120,7 @@ def j16b(spark, d):
     return V.match(detected(spark, d), vols(spark, d))
 
 
-@query("x10_ambiguous", "SELECT disk_key, count(*) AS volumes, min(id) AS first_id FROM volumes WHERE disk_key IS NOT NULL GROUP BY split_part(disk_key, '|', 1), disk_key HAVING count(*) >= 1")
-def x10(spark, d):
-    return vols(spark, d).where("disk_key IS NOT NULL").groupBy("disk_key").agg(F.count("*").alias("volumes"), F.min("id").alias("first_id"))
-
-
-@query("x10_candidates")
+@query("x10_ambiguous")
 def x10b(spark, d):
     """The catalogued volumes among which the user chooses for each ambiguous one."""
     return V.ambiguous(detected(spark, d), vols(spark, d))
@@ -150,22 +151,24 @@ def s20b(spark, d):
     return V.moved_shares(now, v)
 
 
-@query("j24_share_check", "WITH e AS (SELECT DISTINCT volume_id, upper(name) AS n FROM entries WHERE parent_id IN (SELECT id FROM entries WHERE parent_id IS NULL) AND name NOT LIKE '%ß%') SELECT volume_id, count(*) AS known, count(*) FILTER (strlen(n) % 2 = 0) AS found FROM e GROUP BY 1")
+@query("j24_share_check", f"WITH e AS (SELECT DISTINCT volume_id, {up_sql('name')} AS n FROM entries WHERE parent_id IN (SELECT id FROM entries WHERE parent_id IS NULL)) SELECT volume_id, count(*) AS known, count(*) FILTER (strlen(n) % 2 = 0) AS found FROM e GROUP BY 1")
 def j24(spark, d):
-    e = table(spark, d, "entries").where(~c("name").contains("ß"))
+    e = table(spark, d, "entries")
     top = e.join(e.where("parent_id IS NULL").select(c("id").alias("parent_id")).distinct(), "parent_id", "left_semi").select("volume_id", "name")
-    return V.share_check(top, top.where(F.octet_length(F.upper("name")) % 2 == 0).select("volume_id", F.lower("name").alias("name")))
+    return V.share_check(top, top.where(F.octet_length(N.fold(c("name"))) % 2 == 0).select("volume_id", N.fold(c("name")).alias("name")))
 
 
-@query("x13_readers", "SELECT id, CASE WHEN kind = 'network' THEN 4 WHEN lower(bus_type) = 'nvme' THEN 8 ELSE 1 END::BIGINT AS readers FROM volumes")
+@query("x13_readers", f"SELECT id, CASE WHEN kind = 'network' THEN 4 ELSE 1 END::BIGINT AS readers, CASE WHEN kind = 'network' THEN 'net:' || coalesce({SERVER}, '') ELSE 'disk:' || disk_key END AS resource FROM volumes")
 def x13(spark, d):
-    """How many readers a volume bears at once."""
-    return vols(spark, d).select("id", F.when(c("kind") == "network", 4).when(F.lower("bus_type") == "nvme", 8).otherwise(1).cast("long").alias("readers"))
+    """How many files are read at once on a volume, and what a job there keeps busy."""
+    return vols(spark, d).select("id", V.readers().alias("readers"), V.resource().alias("resource"))
 
 
-@query("x14_waiting", "SELECT id, CASE WHEN status = 'ignored' THEN 'excluded' WHEN NOT online THEN 'offline' WHEN status = 'indexing' THEN 'busy' WHEN status = 'reindex_needed' THEN 'paused' ELSE 'next' END AS why FROM volumes")
+@query("x14_waiting", "SELECT id, CASE WHEN status = 'indexing' OR id % 6 = 0 THEN NULL WHEN status = 'ignored' OR id % 7 = 0 THEN 'excluded' WHEN id % 5 = 0 THEN 'busy' WHEN id % 4 >= id % 6 THEN 'skipped' ELSE 'next' END AS why FROM volumes")
 def x14(spark, d):
-    return vols(spark, d).select("id", F.when(c("status") == "ignored", "excluded").when(~c("online"), "offline").when(c("status") == "indexing", "busy").when(c("status") == "reindex_needed", "paused").otherwise("next").alias("why"))
+    """Why the analysis of each volume waits; numbers derived from the ids stand for files left and skipped."""
+    v = vols(spark, d).select("id", (c("status") == "indexing").alias("running"), ((c("status") == "ignored") | (c("id") % 7 == 0)).alias("excluded"), (c("id") % 5 == 0).alias("busy"), (c("id") % 6).alias("left"), (c("id") % 4).alias("skipped"))
+    return v.select("id", content.waiting(False).alias("why"))
 
 
 @query("c27_rescan_gap", "SELECT id, least(greatest(10 * (capacity // 1000000000), 1800000), 21600000) AS gap_ms FROM volumes")
@@ -212,26 +215,40 @@ def with_browsers(p):
     return p.withColumn("name", F.coalesce(F.when(c("is_dir") & (c("depth") == 2), inner).when(c("is_dir") & (c("depth") == 1), direct), "name"))
 
 
-@query("g01_cleanup", sql("stats", """, o AS (SELECT t.*, p.path FROM tree t JOIN path p USING (id))
-SELECT 'temp' AS category, id, path, size FROM o WHERE NOT is_dir AND volume_id = 1 AND starts_with(upper(path), 'NATION_5' || chr(92)) AND modified_ms < epoch_ms(TIMESTAMP '1997-01-01')
-UNION ALL SELECT 'empty_folders', o.id, o.path, s.total_size FROM o JOIN stats s ON s.entry_id = o.id JOIN tree q ON q.id = o.parent_id LEFT JOIN stats qs ON qs.entry_id = q.id WHERE o.volume_id = 1 AND s.file_count = 0 AND (q.parent_id IS NULL OR qs.file_count > 0) AND NOT starts_with(upper(o.path), 'NATION_10' || chr(92))
-UNION ALL SELECT 'large_old', id, path, size FROM o WHERE NOT is_dir AND volume_id = 1 AND size >= 30000000 AND modified_ms < epoch_ms(TIMESTAMP '1996-01-01') AND NOT starts_with(upper(path), 'NATION_10' || chr(92)) AND NOT starts_with(upper(path), 'NATION_5' || chr(92))"""))
+CACHES = """SELECT t.id, p.path, s.total_size AS size, t.volume_id, CASE WHEN p.depth = 1 OR right(t.name, 1) IN ('7', '9', '5') THEN 'chromium' ELSE 'firefox' END AS owner FROM tree t JOIN path p USING (id) JOIN stats s ON s.entry_id = t.id
+  WHERE t.is_dir AND s.total_size > 0 AND ((p.depth = 1 AND right(t.name, 1) IN ('0', '1', '2')) OR (p.depth = 2 AND right(t.name, 1) IN ('7', '9', '5', '3')))"""
+CLEANUP = """, o AS (SELECT t.*, p.path FROM tree t JOIN path p USING (id)), cc AS (CACHES),
+z AS (SELECT 'temp' AS category, NULL::VARCHAR AS owner, id, path, size, volume_id FROM o WHERE NOT is_dir AND starts_with(upper(path), 'NATION_5' || chr(92)) AND modified_ms < epoch_ms(TIMESTAMP '1997-01-01')
+UNION ALL SELECT 'empty_folders', NULL, o.id, o.path, s.total_size, o.volume_id FROM o JOIN stats s ON s.entry_id = o.id JOIN tree q ON q.id = o.parent_id LEFT JOIN stats qs ON qs.entry_id = q.id WHERE s.file_count = 0 AND (q.parent_id IS NULL OR qs.file_count > 0) AND NOT (KEEP)
+UNION ALL SELECT 'large_old', NULL, id, path, size, volume_id FROM o WHERE NOT is_dir AND size >= 30000000 AND modified_ms < epoch_ms(TIMESTAMP '1996-01-01') AND NOT (KEEP) AND NOT starts_with(upper(path), 'NATION_5' || chr(92))
+UNION ALL SELECT 'browser_caches', owner, id, path, size, volume_id FROM cc) """.replace("CACHES", CACHES)
+KEEP_10 = CLEANUP.replace("KEEP", "starts_with(upper(o.path), 'NATION_10' || chr(92))")
+
+
+def proposals(spark, d, keep: list[str]):
+    t = with_browsers(paths(spark, d))
+    return C.scan(t, tree.roll_up(t), temp=["Nation_5"], temp_before=852_076_800_000, large=30_000_000, large_before=820_454_400_000, keep=keep, browsers=BROWSERS)
+
+
+@query("g01_cleanup", sql("stats", KEEP_10 + "SELECT category, id, path, size FROM z"))
 def g01(spark, d):
-    t = with_browsers(paths(spark, d).where("volume_id = 1"))
-    return C.scan(t, tree.roll_up(t), temp=["Nation_5"], temp_before=852_076_800_000, large=30_000_000, large_before=820_454_400_000, keep=["nation_10"], browsers=BROWSERS).select("category", "id", "path", "size")
+    return proposals(spark, d, ["nation_10"]).select("category", "id", "path", "size")
 
 
-@query("a10_cleanup_totals", sql("stats", "SELECT 'empty_folders' AS category, count(*) AS items, sum(s.total_size)::BIGINT AS bytes FROM tree o JOIN stats s ON s.entry_id = o.id JOIN tree q ON q.id = o.parent_id LEFT JOIN stats qs ON qs.entry_id = q.id WHERE s.file_count = 0 AND (q.parent_id IS NULL OR qs.file_count > 0)"))
+@query("a10_cleanup_totals", sql("stats", CLEANUP.replace("KEEP", "false") + "SELECT category, count(*) AS items, sum(size)::BIGINT AS bytes FROM z GROUP BY 1"))
 def a10(spark, d):
-    t = with_browsers(paths(spark, d))
-    return C.totals(C.scan(t, tree.roll_up(t), temp=["Nation_5"], temp_before=852_076_800_000, large=30_000_000, large_before=820_454_400_000, keep=[], browsers=BROWSERS))
+    return C.totals(proposals(spark, d, []))
 
 
-@query("g02_default_selection", sql("tree", "SELECT volume_id, count(*) FILTER (modified_ms < 852076800000) AS chosen, (sum(size) FILTER (modified_ms < 852076800000))::BIGINT AS bytes FROM tree WHERE NOT is_dir GROUP BY 1"))
+@query("g02_default_selection", sql("stats", CLEANUP.replace("KEEP", "false") + "SELECT category, owner, count(*) AS chosen, sum(size)::BIGINT AS bytes FROM z WHERE category <> 'large_old' AND owner IS DISTINCT FROM 'firefox' GROUP BY ALL"))
 def g02(spark, d):
-    t = fixtures.tree(spark, d).where("NOT is_dir")
-    old = c("modified_ms") < 852_076_800_000
-    return t.groupBy("volume_id").agg(F.count_if(old).alias("chosen"), F.sum(F.when(old, c("size"))).alias("bytes"))
+    """What is selected at first while one of the browsers runs."""
+    return C.default_selection(proposals(spark, d, []), ["firefox"]).groupBy("category", "owner").agg(F.count("*").alias("chosen"), F.sum("size").alias("bytes"))
+
+
+@query("o10_group_order", sql("stats", CLEANUP.replace("KEEP", "false") + "SELECT category, owner, items, bytes, blocked, row_number() OVER (ORDER BY blocked, bytes DESC) AS pos FROM (SELECT category, owner, count(*) AS items, sum(size)::BIGINT AS bytes, coalesce(owner = 'firefox', false) AS blocked FROM z GROUP BY ALL)"))
+def o10_groups(spark, d):
+    return C.groups(proposals(spark, d, []), ["firefox"])
 
 
 @query("o08_large_old", sql("ent", "SELECT id, size FROM ent WHERE NOT is_dir AND size >= 1000000 AND modified_at < 132000000000000000 ORDER BY size DESC, id"))
@@ -240,7 +257,7 @@ def o08(spark, d):
     return C.large_old(e, "modified_at", 1_000_000, 132_000_000_000_000_000).select("id", "size")
 
 
-@query("j25_browser_caches", sql("path", "SELECT p.id, p.path FROM path p JOIN tree t USING (id) WHERE t.is_dir AND p.depth = 2 AND t.volume_id = 2 AND right(upper(t.name), 1) IN ('7', '9') AND starts_with(upper(p.path), 'NATION_6' || chr(92))"))
+@query("j25_browser_caches", sql("stats", ", cc AS (" + CACHES + ") SELECT id, path FROM cc"))
 def j25(spark, d):
     """Cache folders of both layouts on all volumes, in the browser's folder and in each profile."""
     t = with_browsers(paths(spark, d))
@@ -269,10 +286,12 @@ def w04(spark, d):
     return H.latest(fixtures.readings(spark, d), 30).select("disk_key", "reading_no", "pos")
 
 
-@query("x07_health_view", sql("rdg", ", l AS (SELECT * FROM rdg QUALIFY row_number() OVER (PARTITION BY disk_key ORDER BY at_ms DESC, reading_no DESC) <= 30) SELECT disk_key, count(*) AS points, max_by(status, (at_ms, reading_no)) AS status, max(reallocated) AS most FROM l GROUP BY 1"))
+@query("x07_health_view", sql("rdg", ", l AS (SELECT * FROM rdg QUALIFY row_number() OVER (PARTITION BY disk_key ORDER BY at_ms DESC, reading_no DESC) <= 30) SELECT disk_key, count(*) AS points, max_by(status, (at_ms, reading_no)) AS status, max(reallocated) AS most, CASE WHEN any_value(k) % 3 <> 0 THEN CASE any_value(k) % 2 WHEN 0 THEN 'ssd' ELSE 'hdd' END END AS medium FROM (SELECT *, split_part(disk_key, '-', 2)::BIGINT AS k FROM l) GROUP BY 1"))
 def x07(spark, d):
-    l = H.latest(fixtures.readings(spark, d), 30)
-    return l.groupBy("disk_key").agg(F.count("*").alias("points"), F.max_by("status", F.struct("at_ms", "reading_no")).alias("status"), F.max("reallocated").alias("most"))
+    r = fixtures.readings(spark, d)
+    k = F.split("disk_key", "-")[1].cast("long")
+    media = r.select("disk_key").distinct().where(k % 3 != 0).select("disk_key", F.when(k % 2 == 0, "ssd").otherwise("hdd").alias("medium"))
+    return H.health_view(r, media)
 
 
 @query("a16_worst_status", sql("rdg", "SELECT disk_key, ['good', 'warning', 'critical'][max(list_position(['good', 'warning', 'critical'], status))] AS worst, string_agg(DISTINCT status, ',' ORDER BY status) AS seen FROM rdg GROUP BY 1"))
@@ -330,9 +349,19 @@ def u05(spark, d):
     return H.news(now.where("server % 2 = 0"), now)
 
 
-@query("x08_nas_servers", "SELECT split_part(ltrim(upper(unc_path), chr(92)), chr(92), 1) AS server, count(*) AS shares FROM volumes WHERE unc_path IS NOT NULL GROUP BY 1")
+@query("x08_nas_shares", NAS + ", st AS (SELECT server, storage, count(*) AS n_disks, count(*) FILTER (missing OR NOT healthy) AS n_bad FROM d GROUP BY ALL) SELECT s_suppkey AS server, share, st.storage, n_disks, n_bad FROM (SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'POOL' || s_suppkey WHEN 1 THEN 'ZimaOS-HD' ELSE 'other' END AS share FROM supplier) LEFT JOIN st ON st.server = s_suppkey AND (upper(share) = upper(storage) OR (upper(share) = 'ZIMAOS-HD' AND s_suppkey % 2 = 0))")
 def x08(spark, d):
-    return vols(spark, d).where("unc_path IS NOT NULL").groupBy(N.unc_server(c("unc_path")).alias("server")).agg(F.count("*").alias("shares"))
+    """The storage behind each share, and its disks; every other server's own storage is mounted as the system's."""
+    k = c("s_suppkey")
+    disks = H.nas_disks(nas(spark, d))
+    shares = table(spark, d, "supplier").select(k.alias("server"), F.when(k % 3 == 0, F.concat(F.lit("POOL"), k.cast("string"))).when(k % 3 == 1, "ZimaOS-HD").otherwise("other").alias("share"))
+    storages = disks.select("server", "storage").distinct().withColumn("mount", F.when(c("server") % 2 == 0, "/DATA").otherwise("/media"))
+    return H.share_storages(shares, storages, disks)
+
+
+@query("x08_nas_servers", f"SELECT {SERVER} AS server, count(*) AS shares FROM volumes WHERE kind = 'network' AND unc_path IS NOT NULL AND status IS DISTINCT FROM 'ignored' GROUP BY 1")
+def x08b(spark, d):
+    return V.dimensions(vols(spark, d)).where("what = 'server_shares'").select(c("key").alias("server"), c("value").cast("long").alias("shares"))
 
 
 # ---- actions ----------------------------------------------------------------------------------------------------
@@ -383,11 +412,12 @@ def r03(spark, d):
     return R.affected_folders(table(spark, d, "changes"), table(spark, d, "entries").dropDuplicates(["id"]))
 
 
-@query("r05_claimed_twice", "WITH s AS (SELECT DISTINCT volume_id, snap_no, delivery_no, parent_ref, name, file_ref FROM snapshots) SELECT volume_id, parent_ref, lower(left(name, 4)) AS name, count(*) AS n FROM s WHERE snap_no = 1 AND parent_ref IS NOT NULL GROUP BY ALL HAVING count(*) > 1")
+@query("r05_claimed_twice", "WITH s AS (SELECT DISTINCT volume_id, snap_no, delivery_no, parent_ref, name, file_ref FROM snapshots WHERE file_ref IS NOT NULL QUALIFY delivery_no = max(delivery_no) OVER (PARTITION BY volume_id, snap_no)) SELECT volume_id, snap_no, parent_ref, name, count(*) AS n FROM s WHERE parent_ref IS NOT NULL AND name IS NOT NULL GROUP BY ALL HAVING count(*) > 1")
 def r05(spark, d):
-    """Folders whose first snapshot has several names with one beginning (names themselves are unique there)."""
-    s = table(spark, d, "snapshots").where("snap_no = 1").select("volume_id", "snap_no", "delivery_no", "parent_ref", "name", "file_ref").distinct()
-    return R.claimed_twice(s.select("volume_id", "parent_ref", F.lower(F.left("name", F.lit(4))).alias("name")))
+    """Names that two files of one folder claim in the last delivery of any snapshot."""
+    s = table(spark, d, "snapshots").where("file_ref IS NOT NULL").select("volume_id", "snap_no", "delivery_no", "parent_ref", "name", "file_ref").distinct()
+    last = s.groupBy("volume_id", "snap_no").agg(F.max("delivery_no").alias("delivery_no"))
+    return R.claimed_twice(s.join(last, ["volume_id", "snap_no", "delivery_no"]), ["volume_id", "snap_no"])
 
 
 def snapshot(spark, d, first: bool):
@@ -495,11 +525,12 @@ def k04(spark, d):
     return W.upsert(o, new, ["entry_id"], existing=exist)
 
 
-@query("k05_last_writer", sql("rdg", "SELECT disk_key, status, reallocated FROM rdg QUALIFY row_number() OVER (PARTITION BY disk_key ORDER BY reading_no DESC) = 1"))
+@query("k05_last_writer", sql("rdg", "SELECT disk_key, status, reallocated FROM rdg QUALIFY row_number() OVER (PARTITION BY disk_key ORDER BY reading_no % 2 DESC, reading_no DESC) = 1"))
 def k05(spark, d):
-    r = fixtures.readings(spark, d)
-    cols = ["disk_key", "status", "reallocated", "reading_no"]
-    return W.upsert(r.where("reading_no < 0").select(*cols), r.select(*cols), ["disk_key"], "reading_no").drop("reading_no")
+    """Odd readings written over even ones; of several new ones the last holds."""
+    r = fixtures.readings(spark, d).select("disk_key", "status", "reallocated", "reading_no")
+    old = W.upsert(r.limit(0), r.where("reading_no % 2 = 0"), ["disk_key"], "reading_no")
+    return W.upsert(old, r.where("reading_no % 2 = 1"), ["disk_key"], "reading_no").drop("reading_no")
 
 
 @query("k06_update_volumes", "SELECT id, CASE WHEN id % 2 = 0 THEN 'indexed' ELSE status END AS status, CASE WHEN id % 2 = 0 AND id > 10 THEN 'cellar' ELSE location END AS location FROM volumes")
@@ -538,28 +569,25 @@ def u06(spark, d):
     return table(spark, d, "changes").where("parent_ref IS NOT NULL").select("volume_id", "parent_ref").distinct()
 
 
-@query("x06_dimensions", "SELECT disk_key, count(*) AS volumes, max(bus_type) AS bus FROM volumes WHERE disk_key IS NOT NULL GROUP BY 1")
+@query("x06_dimensions", f"SELECT 'volume_disk' AS what, id || '' AS key, disk_key AS value FROM volumes WHERE disk_key IS NOT NULL UNION ALL SELECT 'disk_medium', disk_key, max(bus_type) FROM volumes WHERE disk_key IS NOT NULL GROUP BY 2 UNION ALL SELECT 'server_shares', {SERVER}, count(*) || '' FROM volumes WHERE kind = 'network' AND unc_path IS NOT NULL AND status IS DISTINCT FROM 'ignored' GROUP BY 2")
 def x06(spark, d):
-    return vols(spark, d).where("disk_key IS NOT NULL").groupBy("disk_key").agg(F.count("*").alias("volumes"), F.max("bus_type").alias("bus"))
+    return V.dimensions(vols(spark, d))
 
 
-@query("x09_print_states", f"SELECT e.id, {ext_sql('name')} = 'jpg' AS jpg, p.entry_id IS NOT NULL AS printed FROM (SELECT DISTINCT id, name FROM entries WHERE NOT is_dir) e LEFT JOIN (SELECT DISTINCT entry_id FROM image_prints) p ON p.entry_id = e.id")
+@query("x09_print_states", f"WITH e AS (SELECT DISTINCT * FROM entries), p AS (SELECT DISTINCT entry_id, size, modified_at FROM image_prints) SELECT e.id, p.entry_id IS NOT NULL AS printed, {ext_sql('name')} IN ({', '.join(map(repr, N.IMAGE_EXTENSIONS + N.RAW_EXTENSIONS))}) AS image FROM e LEFT JOIN p ON p.entry_id = e.id AND p.size = e.size AND p.modified_at IS NOT DISTINCT FROM e.modified_at WHERE NOT is_dir AND e.size > 0 AND coalesce(attrs, 0) & 4460544 = 0")
 def x09(spark, d):
-    e = table(spark, d, "entries").where("NOT is_dir").select("id", "name").distinct()
-    p = table(spark, d, "image_prints").select(c("entry_id").alias("id"), F.lit(True).alias("p")).distinct()
-    return e.join(p, "id", "left").select("id", (N.extension(c("name")) == "jpg").alias("jpg"), c("p").isNotNull().alias("printed"))
+    """Work states of files: whether they have a print as they are now, and whether they are pictures."""
+    e = table(spark, d, "entries").dropDuplicates(["id"])
+    return similar.print_states(e, table(spark, d, "image_prints")).select("id", "printed", N.is_printable(c("name")).alias("image"))
 
 
-@query("x17_trigrams", "WITH g AS (SELECT DISTINCT id, upper(name) AS n FROM entries WHERE name NOT LIKE '%ß%'), t AS (SELECT id, unnest(list_transform(range(1, length(n) - 1), lambda i: substr(n, i, 3))) AS gram FROM g WHERE length(n) >= 3) SELECT gram, count(DISTINCT id) AS names FROM t GROUP BY 1 HAVING count(DISTINCT id) >= 50")
+@query("x17_trigrams", f"WITH g AS (SELECT DISTINCT id, {up_sql('name')} AS n FROM entries), t AS (SELECT id, unnest(list_distinct(list_transform(range(1, length(n) - 1), lambda i: substr(n, i, 3)))) AS gram FROM g WHERE length(n) >= 3) SELECT gram, count(DISTINCT id) AS names, min(id) AS first_id, max(id) AS last_id FROM t GROUP BY 1")
 def x17(spark, d):
-    """How many names have each run of three characters (the index that a trigram search would need)."""
-    e = table(spark, d, "entries").where(~c("name").contains("ß")).select("id", N.fold(c("name")).alias("n")).distinct().where(F.char_length("n") >= 3)
-    grams = F.transform(F.sequence(F.lit(1), F.char_length("n") - 2), lambda i: F.substring("n", i, F.lit(3)))
-    return e.select("id", F.explode(F.array_distinct(grams)).alias("gram")).groupBy("gram").agg(F.count("*").alias("names")).where("names >= 50")
+    """The index of a trigram search: for each run of three characters how many names have it, and the first and last of them."""
+    return S.trigrams(table(spark, d, "entries")).groupBy("gram").agg(F.count("*").alias("names"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
 
 
-@query("o10_cards_order", f"SELECT id, row_number() OVER (ORDER BY CASE WHEN online THEN 0 ELSE 1 END, upper({NAME}), id) AS pos FROM volumes")
+@query("o10_cards_order", f"SELECT id, row_number() OVER (ORDER BY CASE {SECTION} WHEN 'online' THEN 0 WHEN 'network' THEN 1 ELSE 2 END, upper({NAME}), id) AS pos FROM volumes WHERE status IS DISTINCT FROM 'ignored'")
 def o10(spark, d):
-    """Cards in their order: connected ones first, then by name; volumes are a handful of rows."""
-    v = vols(spark, d).select("id", "online", N.fold(V.display_name()).alias("k"))
-    return v.select("id", F.row_number().over(Window.orderBy(F.when(c("online"), 0).otherwise(1), "k", "id")).cast("long").alias("pos"))
+    """Cards in their order; volumes are a handful of rows."""
+    return V.visible(vols(spark, d)).select("id", F.row_number().over(Window.orderBy(*V.cards_order(vols(spark, d)))).cast("long").alias("pos"))

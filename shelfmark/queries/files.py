@@ -62,9 +62,12 @@ def c16(spark, d):
     return table(spark, d, "documents").where(c("text").isNotNull()).select("doc_id", content.full_hash(b).alias("full"), content.quick_hash(b).alias("quick"))
 
 
-@query("j02_hash_states", sql("doc", HASHED + 'SELECT id, quick IS NOT NULL AS has_quick, "full" IS NOT NULL AS has_full FROM h'))
+@query("j02_work_states", sql("doc", HASHED + 'SELECT id, quick IS NOT NULL AS has_quick, "full" IS NOT NULL AS has_full, doc_id % 4 = 1 AS has_print FROM h'))
 def j02(spark, d):
-    return hashed(spark, d).select("id", c("quick").isNotNull().alias("has_quick"), c("full").isNotNull().alias("has_full"))
+    """What is known of each file as it is now; every fourth has a print, every other one of an older time."""
+    f = files(spark, d)
+    prints = f.where("doc_id % 4 IN (1, 2)").select(c("id").alias("entry_id"), "size", (c("modified") - (c("doc_id") % 4 - 1)).alias("modified"))
+    return content.work_state(f, hashes(spark, d), prints)
 
 
 @query("j04_quick_work", sql("doc", HASHED + "SELECT id, size FROM w WHERE quick IS NULL AND size IN (SELECT size FROM h WHERE size > 0 GROUP BY size HAVING count(*) > 1)"))
@@ -176,12 +179,18 @@ def a17(spark, d):
     return D.selected(D.members(dup_files(spark, d)), []).agg(F.count("*").alias("copies"), F.sum("size").alias("bytes"))
 
 
-@query("x12_only_offline_left", DUPS + ', k AS (SELECT size, "full", min(id) AS keeper FROM m GROUP BY ALL) SELECT size, "full" FROM m JOIN k USING (size, "full") GROUP BY size, "full" HAVING count(*) FILTER (online AND id <> keeper) > 0 AND count(*) FILTER (online AND id = keeper) = 0')
+@query("x12_only_offline_left", DUPS + ', k AS (SELECT size, "full", min(id) AS keeper FROM m GROUP BY ALL) SELECT size, "full" FROM m JOIN k USING (size, "full") GROUP BY size, "full" HAVING count(*) FILTER (online AND id <> keeper) > 0 AND count(*) FILTER (online AND id = keeper) = 0 AND count(*) FILTER (NOT online OR id = keeper) > 0')
 def x12(spark, d):
     """Groups where deleting the default selection leaves copies on unconnected disks only."""
     m = D.members(dup_files(spark, d))
-    v = D.last_copies(m, D.selected(m, [])).where("verdict = 'only_offline'")
-    return m.join(v, "id", "left_semi").select("size", "full").distinct()
+    return D.only_offline_left(m, D.selected(m, []))
+
+
+@query("x12_can_select", DUPS + ', k AS (SELECT size, "full", count(*) FILTER (NOT (online AND id % 3 <> 0)) AS l FROM m GROUP BY ALL) SELECT id, online AND ((online AND id % 3 <> 0) OR l > 1) AS can_select FROM m JOIN k USING (size, "full")')
+def x12b(spark, d):
+    """Which copies can be selected or unselected after two in three connected ones are."""
+    m = D.members(dup_files(spark, d))
+    return D.can_select(m, m.where("online AND id % 3 <> 0"))
 
 
 @query("j19_last_copies", DUPS + """, doomed AS (SELECT * FROM f WHERE id % 2 = 0), s AS (SELECT size, "full", count(*) FILTER (id % 2 <> 0) AS kept, count(*) FILTER (id % 2 <> 0 AND online) AS kept_online FROM f WHERE "full" IS NOT NULL AND size > 0 GROUP BY ALL)
@@ -197,9 +206,11 @@ def j20(spark, d):
     return D.kept_copies(f, f.where("id % 2 = 0"))
 
 
-@query("j21_same_file", DUPS + ", a AS (SELECT id, volume_id * 7 AS serial, size AS number, path FROM f WHERE id % 3 = 0 AND path <> ''), b AS (SELECT id, volume_id * 7 AS serial, size AS number, path FROM f WHERE id % 3 = 1 AND path <> '') SELECT a.id AS a, b.id AS b FROM a JOIN b ON (a.serial = b.serial AND a.number = b.number) OR upper(a.path) = upper(b.path)")
+@query("j21_same_file", DUPS + ", n AS (SELECT id, volume_id AS serial, size + (volume_id << 32) AS number, CASE WHEN volume_id % 3 = 0 THEN 'nas' || volume_id % 2 END AS server FROM f) SELECT a.id AS a, b.id AS b FROM n a JOIN n b ON (a.serial = b.serial AND a.number = b.number) OR (a.server = b.server AND a.number & 4294967295 = b.number & 4294967295 AND a.number & 4294967295 <> 0) WHERE a.id % 3 = 0 AND b.id % 3 = 1")
 def j21(spark, d):
-    f = dup_files(spark, d).where("path <> ''").select("id", (c("volume_id") * 7).alias("serial"), c("size").alias("number"), "path")
+    """Files that are one on disk; sizes stand for file numbers, every third volume is a share of one of two servers."""
+    v = c("volume_id")
+    f = dup_files(spark, d).select("id", v.alias("serial"), (c("size") + v * (1 << 32)).alias("number"), F.when(v % 3 == 0, F.concat(F.lit("nas"), (v % 2).cast("string"))).alias("server"))
     return D.same_file(f.where("id % 3 = 0"), f.where("id % 3 = 1"))
 
 

@@ -11,7 +11,7 @@ from ..operators import search as S
 from ..operators import space, tree
 from ..plans.search_query import parse
 from . import table
-from .base import band_sql, category_sql, ext_sql, sql
+from .base import band_sql, category_sql, ext_sql, sql, up_sql
 
 QUERIES, SQL = {}, {}
 NOW = 1_794_000_000_000  # the fixed moment of queries about age
@@ -44,22 +44,22 @@ def paths(spark: SparkSession, d: str) -> DataFrame:
 # ---- names -----------------------------------------------------------------------------------------------------
 
 
-@query("c01_fold", sql("ent", "SELECT DISTINCT name, upper(name) AS folded FROM ent WHERE name NOT LIKE '%ß%'"))
+@query("c01_fold", sql("ent", f"SELECT DISTINCT name, {up_sql('name')} AS folded FROM ent"))
 def c01(spark, d):
-    return table(spark, d, "entries").select("name").where(~c("name").contains("ß")).distinct().select("name", N.fold(c("name")).alias("folded"))
+    return table(spark, d, "entries").select("name").distinct().select("name", N.fold(c("name")).alias("folded"))
 
 
-@query("c02_equal_names", sql("ent", "SELECT a.id, b.id AS other FROM ent a JOIN ent b ON a.parent_id = b.parent_id AND upper(a.name) = upper(b.name) AND a.id < b.id WHERE a.name NOT LIKE '%ß%' AND a.name <> b.name"))
+@query("c02_equal_names", sql("ent", f"SELECT a.id, b.id AS other FROM ent a JOIN ent b ON a.parent_id = b.parent_id AND {up_sql('a.name')} = {up_sql('b.name')} AND a.id < b.id WHERE a.name <> b.name"))
 def c02(spark, d):
     """Siblings whose names differ in case only."""
-    e = entries(spark, d).where(~c("name").contains("ß")).select("id", "parent_id", "name", N.fold(c("name")).alias("k"))
-    o = e.select(c("id").alias("other"), "parent_id", "k", c("name").alias("n2"))
+    e = entries(spark, d).select("id", "parent_id", "name", N.fold(c("name")).alias("k"))
+    o = e.select(c("id").alias("other"), "parent_id", "k", c("name").alias("n2"), c("k").alias("k2")).drop("k2")
     return e.join(o, ["parent_id", "k"]).where("id < other AND name <> n2").select("id", "other")
 
 
-@query("c03_stored_names", "SELECT DISTINCT doc_id AS id, replace(coalesce(left(source, 40), ''), '/', chr(65535)) AS name, replace(replace(coalesce(left(source, 40), ''), '/', chr(65535)), chr(65535), chr(65535) || 'FFFF') AS stored, replace(coalesce(left(source, 40), ''), '/', chr(65535)) AS back FROM documents")
+@query("c03_stored_names", "SELECT DISTINCT doc_id AS id, replace(coalesce(source, ''), '/', chr(65535)) AS name, replace(replace(coalesce(source, ''), '/', chr(65535)), chr(65535), chr(65535) || 'FFFF') AS stored, replace(coalesce(source, ''), '/', chr(65535)) AS back FROM documents")
 def c03(spark, d):
-    name = F.translate(F.coalesce(F.left("source", F.lit(40)), F.lit("")), "/", N.ESCAPE)
+    name = F.translate(F.coalesce("source", F.lit("")), "/", N.ESCAPE)
     df = table(spark, d, "documents").select(c("doc_id").alias("id"), name.alias("name"))
     return df.select("id", "name", N.encode_name(c("name")).alias("stored"), N.decode_name(N.encode_name(c("name"))).alias("back"))
 
@@ -163,25 +163,24 @@ def s14(spark, d):
 @query("s22_replicate", sql("tree", "SELECT t.id + k * 100000000 AS id, t.volume_id + k * 1000 AS volume_id, t.parent_id + k * 100000000 AS parent_id FROM tree t, range(3) r(k)"))
 def s22(spark, d):
     """The catalog three times, with ids and volumes moved apart."""
-    copies = F.broadcast(spark.range(3).withColumnRenamed("id", "k"))
     t = fixtures.tree(spark, d).select("id", "volume_id", "parent_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"))
-    del copies
     far = c("k").cast("long") * 100_000_000
     return t.select((c("id") + far).alias("id"), (c("volume_id") + c("k").cast("long") * 1000).alias("volume_id"), (c("parent_id") + far).alias("parent_id"))
 
 
-@query("s23_locate", sql("path", "SELECT 'c:' || chr(92) || upper(p.path) || chr(92) || 'new' || chr(92) || 'x.txt' AS path, 1::BIGINT AS volume_id, p.id, 'new' || chr(92) || 'x.txt' AS rest FROM path p JOIN tree t USING (id) WHERE t.is_dir AND t.volume_id = 1 AND t.parent_id IS NOT NULL"))
+@query("s23_locate", sql("path", "SELECT lower(v.last_mount) || upper(p.path) || chr(92) || 'new' || chr(92) || 'x.txt' AS path, t.volume_id, p.id, 'new' || chr(92) || 'x.txt' AS rest FROM path p JOIN tree t USING (id) JOIN volumes v ON v.id = t.volume_id WHERE t.is_dir AND t.parent_id IS NOT NULL AND v.last_mount IS NOT NULL"))
 def s23(spark, d):
-    """Where new files under the folders of volume 1 belong, given absolute paths in another case."""
+    """Where new files under the folders of all mounted volumes belong, given absolute paths in another case."""
     p = paths(spark, d)
-    wanted = p.where("is_dir AND volume_id = 1 AND parent_id IS NOT NULL").select(F.concat(F.lit("c:\\"), F.upper("path"), F.lit("\\new\\x.txt")).alias("path"))
-    return tree.locate(p, table(spark, d, "volumes").select("id", "last_mount"), wanted)
+    v = table(spark, d, "volumes").select("id", "last_mount")
+    at = p.where("is_dir AND parent_id IS NOT NULL").join(v.where("last_mount IS NOT NULL").select(c("id").alias("volume_id"), "last_mount"), "volume_id")
+    return tree.locate(p, v, at.select(F.concat(F.lower("last_mount"), F.upper("path"), F.lit("\\new\\x.txt")).alias("path")))
 
 
-@query("s24_resolve", sql("path", "SELECT t.volume_id, lower(p.path) AS rel, p.id FROM path p JOIN tree t USING (id) WHERE t.is_dir AND p.depth = 2"))
+@query("s24_resolve", sql("path", "SELECT t.volume_id, lower(p.path) AS rel, p.id FROM path p JOIN tree t USING (id) WHERE t.is_dir AND p.depth > 0"))
 def s24(spark, d):
     p = paths(spark, d)
-    return tree.resolve(p, p.where("is_dir AND depth = 2").select("volume_id", F.lower("path").alias("rel")))
+    return tree.resolve(p, p.where("is_dir AND depth > 0").select("volume_id", F.lower("path").alias("rel")))
 
 
 # ---- tree -------------------------------------------------------------------------------------------------------
@@ -222,22 +221,25 @@ def j08(spark, d):
     return tree.subtree(paths(spark, d), 1003).select("id", "path")
 
 
-@query("j09_chain", sql("path", "SELECT p.id, g.i - 1 AS pos, chain[g.i] AS ancestor_id, t.name FROM path p, range(1, 6) g(i), tree t WHERE g.i <= len(chain) AND t.id = chain[g.i] AND p.id BETWEEN 10000000 AND 10000500"))
+@query("j09_chain", sql("path", "SELECT p.id, g.i - 1 AS pos, chain[g.i] AS ancestor_id, t.name FROM path p, range(1, 6) g(i), tree t WHERE g.i <= len(chain) AND t.id = chain[g.i]"))
 def j09(spark, d):
     p = paths(spark, d)
-    return tree.chain(p, p.where("id BETWEEN 10000000 AND 10000500").select("id"))
+    return tree.chain(p, p.select("id"))
 
 
-@query("x05_breadcrumb", sql("path", "SELECT p.id, replace(p.path, chr(92), ' > ') AS crumbs FROM path p JOIN tree USING (id) WHERE is_dir AND p.depth = 2"))
+@query("x05_breadcrumb", sql("path", "SELECT p.id, replace(p.path, chr(92), ' > ') AS crumbs FROM path p JOIN tree USING (id) WHERE is_dir AND p.depth > 0"))
 def x05(spark, d):
-    return paths(spark, d).where("is_dir AND depth = 2").select("id", F.array_join(F.split("path", r"\\"), " > ").alias("crumbs"))
+    return paths(spark, d).where("is_dir AND depth > 0").select("id", F.array_join(F.split("path", r"\\"), " > ").alias("crumbs"))
 
 
-@query("j12_overlap", sql("path", "SELECT a.id AS a, b.id AS b, list_contains(a.chain, b.id) OR list_contains(b.chain, a.id) AS overlap FROM path a, path b WHERE a.id BETWEEN 1000 AND 1024 AND b.id BETWEEN 1 AND 5"))
+@query("j12_overlap", sql("path", ", x AS (SELECT id, chain FROM path JOIN tree USING (id) WHERE is_dir), ab AS (SELECT id AS a, 1000 + id % 25 AS b FROM x WHERE len(chain) = 3 UNION SELECT chain[2], 1 + id % 5 FROM x WHERE len(chain) = 3 UNION SELECT id, chain[1] FROM x) SELECT a, b, list_contains(p.chain, b) OR list_contains(q.chain, a) AS overlap FROM ab JOIN path p ON p.id = a JOIN path q ON q.id = b"))
 def j12(spark, d):
+    """Every folder with one of another level: some nation, some volume, its own volume, itself."""
     p = paths(spark, d)
-    a = p.where("id BETWEEN 1000 AND 1024").select(c("id").alias("a"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(5).cast("long"))).alias("b"))
-    return tree.overlapping(p, a)
+    f = p.where("is_dir")
+    low = f.where("depth = 2")
+    pairs = low.select(c("id").alias("a"), (c("id") % 25 + 1000).alias("b")).union(low.select(F.get("ancestors", F.lit(1)), c("id") % 5 + 1)).union(f.select("id", F.coalesce(F.get("ancestors", F.lit(0)), "id")))
+    return tree.overlapping(p, pairs.distinct())
 
 
 @query("f18_drop_nested", sql("path", ", sel AS (SELECT id, chain FROM path WHERE id % 7 = 0 OR id IN (1, 1005)) SELECT id FROM sel WHERE NOT EXISTS (SELECT 1 FROM sel o WHERE o.id <> sel.id AND list_contains(sel.chain, o.id))"))
@@ -268,7 +270,9 @@ def q01(spark, d):
     sql(
         "ent dst",
         """, loops AS (
-  SELECT c.id AS start, c.parent_id AS above FROM ent c JOIN ent p ON p.id = c.parent_id UNION SELECT l.start, c.parent_id FROM loops l JOIN ent c ON c.id = l.above JOIN ent p ON p.id = c.parent_id)
+  SELECT c.id AS start, c.parent_id AS above FROM ent c JOIN ent p ON p.id = c.parent_id UNION SELECT l.start, c.parent_id FROM loops l JOIN ent c ON c.id = l.above JOIN ent p ON p.id = c.parent_id),
+  hung AS (SELECT e.* FROM ent e JOIN ent p ON p.id = e.parent_id AND p.is_dir AND p.volume_id = e.volume_id),
+  reach AS (SELECT id, [id] AS chain FROM ent WHERE parent_id IS NULL AND is_dir UNION ALL SELECT h.id, list_append(r.chain, h.id) FROM reach r JOIN hung h ON h.parent_id = r.id WHERE h.is_dir)
 SELECT 'two_roots' AS problem, min(id) AS id FROM ent WHERE parent_id IS NULL GROUP BY volume_id HAVING count(*) > 1
 UNION ALL SELECT 'root_name', id FROM ent WHERE parent_id IS NULL AND name <> ''
 UNION ALL SELECT 'no_parent', id FROM ent e WHERE parent_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM ent p WHERE p.id = e.parent_id)
@@ -278,7 +282,12 @@ UNION ALL SELECT 'same_name', min(id) FROM ent WHERE parent_id IS NOT NULL GROUP
 UNION ALL SELECT 'no_stats', id FROM ent WHERE is_dir AND id NOT IN (SELECT entry_id FROM dst)
 UNION ALL SELECT 'file_stats', id FROM ent WHERE NOT is_dir AND id IN (SELECT entry_id FROM dst)
 UNION ALL SELECT 'parked_name', id FROM ent WHERE starts_with(name, chr(1))
-UNION ALL SELECT DISTINCT 'loop', start FROM loops WHERE start = above OR above IN (SELECT start FROM loops WHERE start = above)""",
+UNION ALL SELECT DISTINCT 'loop', start FROM loops WHERE start = above OR above IN (SELECT start FROM loops WHERE start = above)
+UNION ALL SELECT 'duplicate_id', id FROM ent GROUP BY id HAVING count(*) > 1
+UNION ALL SELECT DISTINCT 'stats_differ', d.entry_id FROM dst d JOIN (
+  SELECT a AS id, coalesce(sum(size), 0) AS s, coalesce(sum(alloc), 0) AS l, count(size) AS f, count(*) FILTER (is_dir AND NOT own) AS n FROM (
+    SELECT unnest(chain) AS a, false AS own, true AS is_dir, NULL AS size, NULL AS alloc FROM (SELECT chain[1:-2] AS chain FROM reach) UNION ALL SELECT unnest(chain), false, false, coalesce(e.size, 0), coalesce(e.alloc_size, e.size, 0) FROM reach r JOIN hung e ON e.parent_id = r.id AND NOT e.is_dir UNION ALL SELECT id, true, true, NULL, NULL FROM reach) GROUP BY a) x
+  ON x.id = d.entry_id WHERE d.total_size IS DISTINCT FROM s OR d.total_alloc IS DISTINCT FROM l OR d.file_count IS DISTINCT FROM f OR d.dir_count IS DISTINCT FROM n""",
     ),
 )
 def q02(spark, d):
@@ -330,11 +339,10 @@ def w07(spark, d):
     return space.treemap(p, tree.roll_up(p), 1)
 
 
-@query("o06_capped_folder", sql("ent", "SELECT parent_id, count(*) AS n, least(count(*), 100) AS shown, greatest(count(*) - 100, 0) AS more FROM ent WHERE parent_id IS NOT NULL GROUP BY 1"))
+@query("o06_folder_page", sql("ent dst", "SELECT parent_id, id, row_number() OVER k AS pos, greatest(count(*) OVER (PARTITION BY parent_id) - 1000, 0) AS more FROM (SELECT e.id, parent_id, name, CASE WHEN is_dir THEN coalesce(total_size, 0) ELSE coalesce(size, -1) END AS size FROM ent e LEFT JOIN dst ON entry_id = e.id WHERE parent_id IS NOT NULL) WINDOW k AS (PARTITION BY parent_id ORDER BY size DESC, name, id) QUALIFY pos <= 1000"))
 def o06(spark, d):
-    """Children of each folder: how many a view of 100 rows shows and how many more there are."""
-    n = F.count("*")
-    return entries(spark, d).where("parent_id IS NOT NULL").groupBy("parent_id").agg(n.alias("n")).select("parent_id", "n", F.least("n", F.lit(100)).cast("long").alias("shown"), F.greatest(c("n") - 100, F.lit(0)).cast("long").alias("more"))
+    """What a view shows of every folder, and how many children it doesn't."""
+    return space.folder_page(space.folder_items(entries(spark, d), stats(spark, d)), 1000)
 
 
 # ---- search -----------------------------------------------------------------------------------------------------
