@@ -116,7 +116,8 @@ def read_contents(spark, path: str, expected: DataFrame) -> DataFrame:
     """`id, content, state` of files read whole from a folder: expected has id, path (as read), size, modified_ms.
 
     state: ok, missing, or changed where size or time of what was read isn't what the catalog expects; then content is
-    null. The size and time are those of the file as it was opened.
+    null. The size and time are those of the file as it was listed for reading. An empty file has nothing to read and
+    counts as missing.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("_size"), F.unix_millis("modificationTime").alias("_ms"), "content")
     j = expected.select("id", "path", "size", "modified_ms").join(files, "path", "left")
