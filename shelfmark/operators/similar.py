@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,27 +101,50 @@ def similar(queries: DataFrame, prints: DataFrame, limit: int, id: str = "id", c
     return q.join(met, "a").join(p, "b").where("id <> near_id").select("id", "near_id", hamming(F.col("a"), F.col("b")).alias("distance"))
 
 
-def linked(pairs: DataFrame) -> DataFrame:
-    """`v, group_id` by joins alone: large-star and small-star steps until every vertex points at the least of its group."""
+def least_linked(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct vertices of the edges a-b, each with the least one it is linked to."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    least = np.arange(len(ids))
+    while True:
+        x, y = least[u], least[v]
+        if np.array_equal(x, y):
+            return ids, ids[least]
+        np.minimum.at(least, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(up := least[least], least):
+            least = up
+
+
+def _stretch(t: pa.Table) -> pa.Table:
+    v, rep = least_linked(t["a"].to_numpy(), t["b"].to_numpy())
+    return pa.table({"v": v, "rep": rep})
+
+
+def linked(pairs: DataFrame, task_edges: int = 200_000) -> DataFrame:
+    """`v, group_id`: every vertex with the least one it is linked to, directly or through others.
+
+    Edges are dealt out to tasks of some `task_edges` by their hash, so a vertex with very many spreads over all; each
+    task finds the least vertex of its pieces, and where tasks disagree about a vertex their representatives are the
+    edges of the next round. When one task has seen all edges, the rounds are composed backwards.
+    """
     scratch = Scratch(pairs.sparkSession, "linked")
-    e = scratch.save(pairs.select("a", "b").where("a <> b").distinct())
-    last = None
+    e = scratch.save(pairs.where("a <> b").select(F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b")).distinct())
+    rounds: list[DataFrame] = []
     while True:
-        both = e.union(e.select("b", "a"))
-        low = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).withColumn("m", F.least("m", "v"))
-        large = both.where("b > a").join(low.select(F.col("v").alias("a"), "m"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        down = large.where("b < a")
-        low2 = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(low2, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m")), F.struct(F.col("b").alias("a"), F.col("m")))).alias("x")).select("x.a", F.col("x.m").alias("b")).where("a <> b").distinct()
-        after = scratch.save(small)
-        now = tuple(after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        scratch.drop(e)
-        e = after
-        if now == last:
+        parts = max(1, -(-e.count() // task_edges))
+        dealt = e.withColumn("part", F.pmod(F.xxhash64(F.lit(len(rounds)), "a", "b"), F.lit(parts)))
+        local = scratch.save(dealt.groupBy("part").applyInArrow(_stretch, "v long, rep long"))
+        if parts == 1:
+            final = local
             break
-        last = now
-    tops = e.select(F.col("b").alias("v"), F.col("b").alias("group_id")).distinct()
-    return e.select(F.col("a").alias("v"), F.col("b").alias("group_id")).union(tops)
+        parent = scratch.save(local.groupBy("v").agg(F.min("rep").alias("least")))
+        rounds.append(parent)
+        e = scratch.save(local.join(parent, "v").where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct())
+    final = final.select("v", F.col("rep").alias("group_id"))
+    for parent in reversed(rounds):
+        up = final.select(F.col("v").alias("least"), "group_id")
+        final = parent.join(up, "least", "left").select("v", F.coalesce("group_id", "least").alias("group_id"))
+    return final
 
 
 def print_groups(prints: DataFrame, limit: int, id: str = "id", column: str = "print") -> DataFrame:
@@ -197,8 +222,6 @@ def print_pass(files: DataFrame, grays, skip: DataFrame | None = None) -> DataFr
     from pyspark.sql import types as T
 
     def run(batches):
-        import pyarrow as pa
-
         for b in batches:
             values, errors = [], []
             for content in b.column(1).to_pylist():

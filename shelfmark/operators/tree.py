@@ -140,24 +140,30 @@ def reduced(rows: DataFrame) -> DataFrame:
     return rows.where("id IS NOT NULL").groupBy("id").agg(F.max(F.struct("parent_id", "name", *rest)).alias("_r")).select("id", "_r.*")
 
 
-def stats_differ(entries: DataFrame, stats: DataFrame) -> DataFrame:
+def stats_differ(entries: DataFrame, stats: DataFrame, ways: DataFrame | None = None) -> DataFrame:
     """Ids of folders with stored totals other than those recomputed from the entries below them.
 
     As in the reference only folders reached from a root are recomputed, over entries whose parent is a folder of their
-    volume; sizes of folders themselves don't count. Of several stored rows of a folder all must be right.
+    volume; sizes of folders themselves don't count. Of several stored rows of a folder all must be right. `ways`: the
+    entries' hierarchy with ancestors, if it is there already.
     """
     c = F.col
+    if ways is None:
+        ways = hierarchy(entries, below=False, ancestors=True)
     p = entries.where("is_dir").select(c("id").alias("parent_id"), c("volume_id").alias("p_vol"))
-    hung = entries.join(p, "parent_id").where("p_vol = volume_id")
-    own = lambda n: F.when(c("is_dir"), 0).otherwise(c(n)).cast("long").alias(n)
-    cols = ["id", "parent_id", "volume_id", "name", "is_dir", own("size"), own("alloc_size")]
-    roots = entries.where("parent_id IS NULL")
-    paths = with_paths(roots.select(*cols).unionByName(hung.select(*cols)).where("is_dir"))
-    tops = roots.select(c("id").alias("top"))
-    reached = paths.withColumn("top", F.coalesce(F.get("ancestors", F.lit(0)), "id")).join(tops, "top", "left_semi").drop("top")
-    reached = reached.unionByName(hung.where("NOT is_dir").select(*cols), allowMissingColumns=True)  # a file counts through its folder and needs no path
+    hung = entries.join(p, "parent_id").where("p_vol = volume_id").drop("p_vol")
+    folders = entries.where("is_dir").select("id", "parent_id", "volume_id", "name", "is_dir")
+    cut = folders.where("parent_id IS NOT NULL").join(hung.select("id"), "id", "left_anti").select("id")
+    tops = folders.where("parent_id IS NULL").select(c("id").alias("top"))
+    at = ways.where("depth >= 0").select("id", "ancestors")
+    paths = folders.join(at, "id").withColumn("top", F.coalesce(F.get("ancestors", F.lit(0)), "id")).join(tops, "top", "left_semi").drop("top")
+    # at or below a folder that doesn't hang where it says, nothing is reached
+    off = paths.select("id", F.explode(F.concat("ancestors", F.array("id"))).alias("a")).join(cut.select(c("id").alias("a")), "a", "left_semi").select("id").distinct()
+    zero = F.lit(0).cast("long")
+    reached = paths.join(off, "id", "left_anti").withColumns({"size": zero, "alloc_size": zero})
+    reached = reached.unionByName(hung.where("NOT is_dir").select("id", "parent_id", "volume_id", "name", "is_dir", c("size").cast("long"), c("alloc_size").cast("long")), allowMissingColumns=True)  # a file counts through its folder and needs no path
     names = ["total_size", "total_alloc", "file_count", "dir_count"]
-    right = roll_up(reached).select(c("entry_id").alias("id"), *[c(n).alias(f"_{n}") for n in names])
+    right = roll_up(Scratch(entries.sparkSession, "reached").save(reached)).select(c("entry_id").alias("id"), *[c(n).alias(f"_{n}") for n in names])
     same = F.lit(True)
     for n in names:
         same = same & c(n).eqNullSafe(c(f"_{n}"))
@@ -186,13 +192,14 @@ def problems(rows: DataFrame, stats: DataFrame) -> DataFrame:
     own = j.select(F.explode(F.array_compact(F.array(*[F.when(rule, what) for what, rule in rules.items()]))).alias("problem"), "id")
     say = lambda df, what: df.select(F.lit(what).alias("problem"), "id")
     several = lambda df, *by: df.groupBy(*by).agg(F.min("id").alias("id"), F.count("*").alias("n")).where("n > 1")
+    ways = hierarchy(e, below=False, ancestors=True)
     found = [
         own,
         say(rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1"), "duplicate_id"),
         say(several(e.where(~hung), "volume_id"), "two_roots"),
         say(several(e.where(hung), "parent_id", "name"), "same_name"),
-        say(stats_differ(e, stats), "stats_differ"),
-        say(hierarchy(e, below=False).where("depth < 0"), "loop"),
+        say(stats_differ(e, stats, ways), "stats_differ"),
+        say(ways.where("depth < 0"), "loop"),
     ]
     out = found[0]
     for f in found[1:]:

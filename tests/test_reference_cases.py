@@ -124,10 +124,11 @@ def test_near_prints_equal_all_pairs(spark):
     assert found == {(at[a], j, ((a ^ b) & (2**64 - 1)).bit_count()) for a in signed for b in signed if at[a] % 5 == 0 and ((a ^ b) & (2**64 - 1)).bit_count() <= 6 for j in twice(at[b]) if j != at[a]}
 
 
-def test_linked_chains(spark):
-    pairs = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 102), (102, 100), (200, 201)]
-    got = {r["v"]: r["group_id"] for r in similar.linked(spark.createDataFrame(pairs, "a long, b long")).collect()}
-    assert got == {**{i: 1 for i in range(1, 41)}, 100: 100, 101: 100, 102: 100, 200: 200, 201: 200}
+@pytest.mark.parametrize("edges", [200_000, 9])
+def test_linked_chains(spark, edges):
+    pairs = [(i + 1, i) for i in range(1, 40)] + [(100, 101), (101, 102), (102, 100), (200, 201), (201, 200), (7, 7)] + [(300, 301 + i) for i in range(60)]
+    got = {r["v"]: r["group_id"] for r in similar.linked(spark.createDataFrame(pairs, "a long, b long"), edges).collect()}
+    assert got == {**{i: 1 for i in range(1, 41)}, 100: 100, 101: 100, 102: 100, 200: 200, 201: 200, **{i: 300 for i in range(300, 361)}}
 
 
 def test_pixels(spark):
