@@ -117,6 +117,7 @@ def consensus_values(rows: DataFrame, group: str, value: str, weight: Column | N
     without tokens. `chunk`: different values aligned in one task; `fan`: profiles merged in one step.
     """
     scratch = Scratch(rows.sparkSession, "consensus")
+    value_name = value
     kind = rows.schema[group].dataType.simpleString()
     if precedence is None:
         w = F.lit(1.0) if weight is None else weight.cast("double")
@@ -126,29 +127,36 @@ def consensus_values(rows: DataFrame, group: str, value: str, weight: Column | N
         v = rows.select(F.col(group).alias("g"), F.col(value).alias("v"), F.array(*[p.cast("long") for p in precedence]).alias("r")).where("g IS NOT NULL AND v IS NOT NULL")
         v = v.groupBy("g", "v").agg(F.min("r").alias("r")).select("g", "v", F.lit(1.0).alias("w"), "r")
     v = scratch.save(v)
+    n_values = v.count()
     sizes = v.groupBy("g").agg(F.count("*").alias("n"))
-    part = lookup_join(v, sizes, "g", "inner", hot_rows)
+    part = scratch.save(lookup_join(v, sizes, "g", "inner", hot_rows, n_values))
     alone = part.where("n = 1").select("g", F.col("v").alias("consensus"), "v", F.lit(0).cast("long").alias("d"), F.lit(1).cast("long").alias("n"))
-    part = part.where("n > 1").withColumn("c", F.pmod(F.xxhash64("v"), F.ceil(F.col("n") / chunk)).cast("long"))
-    schema = f"g {kind}, c long, r array<bigint>, profile string"
+    part = part.where("n > 1")
     falls = precedence is not None
-    profiles = scratch.save(part.select("g", "c", "r", "v", "w").repartition("g", "c").sortWithinPartitions("g", "c", "r", "v").mapInArrow(_fold(lambda r: [{t: r["w"]} for t in tokens(r["v"])], falls), schema))
+    won = f"g {kind}, tokens array<string>, consensus string"
+    single = lambda r: [{t: r["w"]} for t in tokens(r["v"])]
+    # groups of one chunk vote where they are aligned; profiles of the others meet in a tree
+    few = part.where(F.col("n") <= chunk).select("g", F.lit(0).cast("long").alias("c"), "r", "v", "w")
+    voted = [few.repartition("g").sortWithinPartitions("g", "r", "v").mapInArrow(_fold(single, falls, True), won)]
+    many = part.where(F.col("n") > chunk).withColumn("c", F.pmod(F.xxhash64("v"), F.ceil(F.col("n") / chunk)).cast("long")).select("g", "c", "r", "v", "w")
+    profiles = scratch.save(many.repartition("g", "c").sortWithinPartitions("g", "c", "r", "v").mapInArrow(_fold(single, falls, False), f"g {kind}, c long, r array<bigint>, profile string"))
     while profiles.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
         up = profiles.withColumn("c", F.floor(F.col("c") / fan)).repartition("g", "c").sortWithinPartitions("g", "c", "r", "profile")
-        profiles = scratch.save(up.mapInArrow(_fold(lambda r: json.loads(r["profile"]), falls), schema))
-    voted = scratch.save(profiles.mapInArrow(_voted, f"g {kind}, tokens array<string>, consensus string"))
+        profiles = scratch.save(up.mapInArrow(_fold(lambda r: json.loads(r["profile"]), falls, False), profiles.schema))
+    voted.append(profiles.mapInArrow(_voted, won))
+    voted = scratch.save(voted[0].unionByName(voted[1]))
     # a value that equals the consensus is the closest one; distances are only measured where there is none
     equal = scratch.save(part.select("g", "v", "r", "n").join(voted.select("g", F.col("consensus").alias("v")), ["g", "v"]))
-    others = part.select("g", "v", "r", "n").join(equal.select("g"), "g", "left_anti")
-    near = lookup_join(others, voted, "g", "inner", hot_rows).mapInArrow(_near, f"g {kind}, v string, r array<bigint>, n long, d long, consensus string")
-    near = near.unionByName(equal.select("g", "v", "r", "n", F.lit(0).cast("long").alias("d"), F.col("v").alias("consensus")))
+    open_ = voted.join(equal.select("g"), "g", "left_anti")
+    near = lookup_join(part.select("g", "v", "r", "n"), open_, "g", "inner", hot_rows, n_values).mapInArrow(_near, f"g {kind}, v string, r array<bigint>, n long, d long, consensus string")
     best = near.groupBy("g").agg(F.min(F.struct("d", "r", "v")).alias("b"), F.max("consensus").alias("consensus"), F.max("n").alias("n"))
     best = best.select("g", "consensus", F.col("b")["v"].alias("v"), F.col("b")["d"].alias("d"), "n").unionByName(alone)
-    return best.select(F.col("g").alias(group), "consensus", F.col("v").alias(value), F.col("d").alias("distance"), F.col("n").alias("n_values"))
+    best = best.unionByName(equal.select("g", F.col("v").alias("consensus"), "v", F.lit(0).cast("long").alias("d"), "n"))
+    return best.select(F.col("g").alias(group), "consensus", F.col("v").alias(value_name), F.col("d").alias("distance"), F.col("n").alias("n_values"))
 
 
-def _fold(read, falls: bool):
-    """Profiles of the runs of equal (g, c), the first row's r with each; holds one profile at a time. `falls`: each row weighs a sixteenth of the one before."""
+def _fold(read, falls: bool, last: bool):
+    """Profiles of the runs of equal (g, c), the first row's r with each, or with `last` what they vote for; holds one profile at a time. `falls`: each row weighs a sixteenth of the one before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, rank, profile, scale, done, schema = None, None, [], 1.0, [], None
@@ -156,6 +164,8 @@ def _fold(read, falls: bool):
         def batch() -> pa.RecordBatch:
             g, c, r, p = zip(*done)
             done.clear()
+            if last:
+                return pa.RecordBatch.from_arrays([pa.array(g, schema.field("g").type), pa.array(p, pa.list_(pa.string())), pa.array(["".join(t) for t in p])], names=["g", "tokens", "consensus"])
             return pa.RecordBatch.from_arrays([pa.array(g, schema.field("g").type), pa.array(c, pa.int64()), pa.array(r, pa.list_(pa.int64())), pa.array(p, pa.string())], names=["g", "c", "r", "profile"])
 
         for b in batches:
@@ -163,7 +173,7 @@ def _fold(read, falls: bool):
             for r in b.to_pylist():
                 if (r["g"], r["c"]) != at:
                     if at is not None:
-                        done.append((*at, rank, json.dumps(profile)))
+                        done.append((*at, rank, vote(profile) if last else json.dumps(profile)))
                     at, rank, profile, scale = (r["g"], r["c"]), r["r"], read(r), 1.0
                 else:
                     other = read(r)
@@ -174,7 +184,7 @@ def _fold(read, falls: bool):
                 if len(done) >= 1000:
                     yield batch()
         if at is not None:
-            done.append((*at, rank, json.dumps(profile)))
+            done.append((*at, rank, vote(profile) if last else json.dumps(profile)))
             yield batch()
 
     return run
@@ -213,7 +223,7 @@ def file_survivors(listings: DataFrame, chunk: int = 64, fan: int = 16, hot_rows
     id = lambda c: F.element_at(c, -1)
     first = rows.groupBy("g", "size", "full_hash").agg(F.count("*").alias("n"), F.min("rank").alias("first"), F.min(F.when(F.col("known"), F.col("rank"))).alias("dated")).where("n > 1")
     first = scratch.save(first.select("g", "size", "full_hash", id(F.col("first")).alias("entry_id"), F.coalesce(id(F.col("dated")), F.lit(0)).alias("modified_from")))
-    several = rows.where("path IS NOT NULL").join(first.select("g"), "g", "left_semi")
+    several = scratch.save(rows.where("path IS NOT NULL").select("g", "path", "rank").join(first.select("g"), "g", "left_semi"))
     chosen = consensus_values(several, "g", "path", precedence=[F.element_at("rank", i) for i in (1, 2, 3)], chunk=chunk, fan=fan, hot_rows=hot_rows).select("g", "path")
-    holder = lookup_join(several.select("g", "path", "rank"), chosen.withColumnRenamed("path", "_p"), "g", "inner", hot_rows).where("path = _p").groupBy("g").agg(F.min("rank").alias("r")).select("g", id(F.col("r")).alias("path_from"))
+    holder = several.select("g", "path", "rank").join(chosen, ["g", "path"]).groupBy("g").agg(F.min("rank").alias("r")).select("g", id(F.col("r")).alias("path_from"))
     return first.join(holder, "g", "left").select("size", "full_hash", "entry_id", F.coalesce("path_from", F.lit(0)).cast("long").alias("path_from"), "modified_from")
