@@ -275,7 +275,7 @@ def j15(spark, d):
     return similar.near_videos(videos(spark, d), 28.0)
 
 
-@query("j15_groups")
+@query("j15_groups", sql("vec", VIDEOS + ", e AS (SELECT a, b FROM dist WHERE near AND mean <= 28 UNION SELECT b, a FROM dist WHERE near AND mean <= 28), r AS (SELECT a AS id, a AS other FROM e UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.other) SELECT id, min(other) AS group_id, (SELECT count(*) FROM e WHERE a = id) AS links FROM r GROUP BY id"))
 def j15b(spark, d):
     return similar.video_groups(videos(spark, d), 28.0)
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _LOCAL: str | None = None
+_KEPT: dict[str, SparkSession] = {}  # folders of tables that may still be read
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,14 +33,15 @@ class Scratch:
     """Intermediate tables of one run of an operator, as Parquet files in the shared folder.
 
     A saved table survives the loss of executors and is read back with column pruning. `drop` removes a table that no
-    later step reads; what is left when Python ends is removed then.
+    later step reads. What is left belongs to results that may still be read: `clear_scratch` removes it once they
+    have been, or the end of Python does.
     """
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
         self._n = 0
-        atexit.register(self.clear)
+        _KEPT[self.root] = spark
 
     def save(self, df: DataFrame) -> DataFrame:
         self._n += 1
@@ -57,16 +59,29 @@ class Scratch:
         for t in tables:
             self._delete(t._shelfmark_path)
 
-    def clear(self) -> None:
+    def _delete(self, path: str) -> None:
+        _delete(self.spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clear_scratch() -> int:
+    """Removes the intermediate tables of all operators run so far and says of how many runs; their results must have been written or collected. For sessions that go on."""
+    n = 0
+    while _KEPT:
+        root, spark = _KEPT.popitem()
         try:
-            self._delete(self.root)
+            _delete(spark, root)
+            n += 1
         except Exception:  # the session has ended; its folder belongs to the cluster
             pass
+    return n
 
-    def _delete(self, path: str) -> None:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+atexit.register(clear_scratch)
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:

@@ -13,8 +13,8 @@ from ..operators.health import DAY_MS, SEVERITY
 
 
 def path_batches(paths: DataFrame, quiet: str = "500 milliseconds", late: str = "5 seconds") -> DataFrame:
-    """Changed paths (volume_id, path, at) in batches that a quiet time ends: number of records and of paths; works on streams and tables."""
-    return paths.withWatermark("at", late).groupBy("volume_id", F.session_window("at", quiet).alias("w")).agg(F.count("*").alias("records"), F.approx_count_distinct("path").alias("paths")).select("volume_id", F.col("w.start").alias("since"), F.col("w.end").alias("until"), "records", "paths")
+    """Changed paths (volume_id, path, at) in batches that a quiet time ends: number of records and of different paths; works on streams and tables."""
+    return paths.withWatermark("at", late).groupBy("volume_id", F.session_window("at", quiet).alias("w")).agg(F.count("*").alias("records"), F.size(F.collect_set("path")).cast("long").alias("paths")).select("volume_id", F.col("w.start").alias("since"), F.col("w.end").alias("until"), "records", "paths")
 
 
 def distinct_paths(paths: DataFrame, within: str = "5 seconds") -> DataFrame:

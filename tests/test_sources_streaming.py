@@ -150,4 +150,15 @@ def test_watch_and_health_streams(spark, tmp_path):
     assert got == {("d", 0): (True, None), ("d", 5): (False, None), ("d", 9): (True, "status"), ("d", 12): (True, "reallocated"), ("d", 13): (True, None), ("e", 1): (True, "status")}
     p = spark.sql("SELECT 1 AS volume_id, concat('p', id % 7) AS path, timestamp_millis(id * 100 + IF(id > 20, 5000, 0)) AS at FROM range(40)")
     b = path_batches(p).orderBy("since").collect()
-    assert [r["records"] for r in b] == [21, 19] and overflowed(path_batches(p), 20).count() == 1
+    assert [(r["records"], r["paths"]) for r in b] == [(21, 7), (19, 7)] and overflowed(path_batches(p), 20).count() == 1
+
+
+def test_scratch_is_cleared(spark):
+    import os
+
+    from shelfmark.operators import tree
+    from shelfmark.shared import clear_scratch, shared_dir
+
+    e = spark.createDataFrame([(1, 1, None, "", True, 0, 0), (2, 1, 1, "a", False, 5, 5)], "id long, volume_id long, parent_id long, name string, is_dir boolean, size long, alloc_size long")
+    assert tree.with_paths(e).count() == 2 and os.listdir(shared_dir(spark))
+    assert clear_scratch() > 0 and not os.listdir(shared_dir(spark)) and clear_scratch() == 0
