@@ -191,10 +191,11 @@ def f11(spark, d):
     return C.excluded(paths(spark, d), ["Nation_12", "nation_6"], ["Nation_7"]).select("id")
 
 
-@query("f12_protected", sql("path", r"SELECT id FROM path WHERE regexp_matches(upper(path), '^(NATION_5(\\|$)|NATION_3\\[^\\]+\\ORDER_1)')"))
+@query("f12_protected", sql("path", r"SELECT id FROM path WHERE regexp_matches(upper(path), '^(NATION_5(\\|$)|NATION_3\\[^\\]+\\[^\\]+(\\|$)|[^\\]+\\CUSTOMER#000000007(\\|$))')"))
 def f12(spark, d):
+    """At or below a folder, what lies two below another, and one name in any folder."""
     p = paths(spark, d)
-    return p.where(C.protected(c("path"), ["nation_5"]) | c("path").rlike(r"(?i)^nation_3\\[^\\]+\\order_1")).select("id")
+    return p.where(C.protected(c("path"), ["nation_5", "Nation_3\\*\\*", "*/customer#000000007"])).select("id")
 
 
 @query("f13_program_folders", sql("path", "SELECT DISTINCT p.id FROM path p, (SELECT DISTINCT parent_id FROM tree WHERE name LIKE '%7.zip') x WHERE list_contains(p.chain, x.parent_id) AND x.parent_id > 5"))

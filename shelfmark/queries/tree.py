@@ -191,6 +191,38 @@ def a01(spark, d):
     return tree.roll_up(paths(spark, d))
 
 
+#: The catalog's own entries with their chains, loops left out: deep, and with links to nothing, to files and to other volumes.
+EPATH = """, epath AS (SELECT id, [id] AS chain FROM ent WHERE parent_id IS NULL OR parent_id NOT IN (SELECT id FROM ent) UNION ALL SELECT t.id, list_append(p.chain, t.id) FROM epath p JOIN ent t ON t.parent_id = p.id)"""
+
+
+def entry_paths(spark, d):
+    return tree.with_paths(entries(spark, d))
+
+
+@query("a01_roll_up_entries", sql("ent", EPATH + """, x AS (SELECT unnest(p.chain) AS a, c.is_dir, c.size, c.alloc_size FROM ent c JOIN epath p ON p.id = c.parent_id JOIN ent q ON q.id = c.parent_id AND q.is_dir)
+SELECT t.id AS entry_id, coalesce(sum(size), 0)::BIGINT AS total_size, coalesce(sum(coalesce(alloc_size, size)), 0)::BIGINT AS total_alloc, count(*) FILTER (NOT x.is_dir) AS file_count, count(*) FILTER (x.is_dir) AS dir_count FROM (SELECT id FROM ent WHERE is_dir AND id IN (SELECT id FROM epath)) t LEFT JOIN x ON x.a = t.id GROUP BY t.id"""))
+def a01c(spark, d):
+    return tree.roll_up(entry_paths(spark, d))
+
+
+@query("x03_without_files_entries", sql("ent", EPATH + ", f AS (SELECT DISTINCT unnest(chain[1:-2]) AS id FROM epath JOIN ent USING (id) WHERE NOT is_dir) SELECT id FROM ent JOIN epath USING (id) WHERE is_dir AND id NOT IN (SELECT id FROM f)"))
+def x03b(spark, d):
+    return tree.without_files(entry_paths(spark, d))
+
+
+@query("f12_guarded", sql("ent", EPATH + r", own AS (SELECT id FROM ent WHERE parent_id IS NOT NULL AND (coalesce(attrs, 0) & 1030 <> 0 OR regexp_matches(name, '^[.$]'))) SELECT id FROM epath WHERE list_has_any(chain, (SELECT list(id) FROM own))"))
+def f12b(spark, d):
+    """Entries that are hidden, system, links or dotted, and all below such folders."""
+    from ..operators.cleanup import guarded
+
+    return guarded(entry_paths(spark, d))
+
+
+@query("q01_canonical_entries", sql("ent", EPATH + "SELECT volume_id, array_to_string(list_filter(list_transform(chain, lambda x: m[x]), lambda n: n <> ''), chr(92)) AS path, is_dir, CASE WHEN is_dir THEN 0 ELSE size END AS size, CASE WHEN NOT is_dir THEN modified_at END AS modified_ms FROM epath JOIN ent USING (id), (SELECT map(list(id), list(coalesce(name, ''))) AS m FROM ent)"))
+def q01b(spark, d):
+    return tree.canonical(entry_paths(spark, d).withColumn("modified_ms", c("modified_at")))
+
+
 @query("a01_refresh_roll_up", sql("stats", "SELECT * FROM stats"))
 def a01b(spark, d):
     """Totals with the customers' folders of one nation set to zero, computed anew for those folders and what is above them."""
