@@ -564,7 +564,7 @@ def split(text: str, model: MaxEnt) -> list[tuple[int, int]]:
     return out
 
 
-def train(documents: DataFrame, id: str, text: str, sample: int = 3000, rows: int = 40_000) -> MaxEnt:
+def train(documents: DataFrame, id: str, text: str, sample: int = 3000, rows: int = 60_000) -> MaxEnt:
     """The model of a corpus, from at most `rows` labelled candidates of some `sample` documents, chosen by the hash of their id.
 
     The share of documents that gives the sample is known from their number, so each is chosen where it stands and no
@@ -576,16 +576,17 @@ def train(documents: DataFrame, id: str, text: str, sample: int = 3000, rows: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for t in b.column(b.schema.get_field_index("t")).to_pylist():
+            for h, t in zip(b.column(b.schema.get_field_index("h")).to_pylist(), b.column(b.schema.get_field_index("t")).to_pylist()):
                 ex = examples(t)
                 if ex:
-                    yield pa.RecordBatch.from_arrays([pa.array([places(c) for c, _ in ex], pa.list_(pa.int32())), pa.array([y for _, y in ex], pa.int32())], names=["f", "y"])
+                    yield pa.RecordBatch.from_arrays([pa.array([places(c) for c, _ in ex], pa.list_(pa.int32())), pa.array([y for _, y in ex], pa.int32()), pa.array([h] * len(ex), pa.int64()), pa.array(range(len(ex)), pa.int32())], names=["f", "y", "h", "n"])
 
-    got = spread(picked, "h").mapInArrow(run, "f array<int>, y int").orderBy(F.xxhash64("f"), "f", "y").limit(rows).toArrow()
+    # an even choice among the candidates, however many are alike
+    got = spread(picked, "h").mapInArrow(run, "f array<int>, y int, h long, n int").orderBy(F.xxhash64("h", "n"), "h", "n", "y").limit(rows).select("f", "y").toArrow()
     return MaxEnt().fit(got["f"].to_pylist(), got["y"].to_pylist())
 
 
-def sentences(documents: DataFrame, id: str = "doc_id", text: str = "text", sample: int = 3000, rows: int = 40_000, model: MaxEnt | None = None) -> DataFrame:
+def sentences(documents: DataFrame, id: str = "doc_id", text: str = "text", sample: int = 3000, rows: int = 60_000, model: MaxEnt | None = None) -> DataFrame:
     """`id, start_at, end_at` (BIGINT, code points, end exclusive) of every sentence of every text.
 
     Texts that are null, empty or of white space only have no rows; rows with a null id are left out; the same id
