@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -28,77 +29,169 @@ def masks(blocks: int, bits: int, radius: int) -> list[int]:
     return out
 
 
+def _signed(v: int) -> int:
+    return v - (1 << 64) if v >> 63 else v
+
+
 def _layout(limit: int, prints: int) -> list[int]:
-    """Masks of bits of which any two prints within the limit share one; none if there is no good choice.
+    """Blocks of bits of which any two prints within the limit share all but `limit`; none if there is no good choice.
 
-    Of m blocks at least m - limit are untouched, so some choice of so many blocks is equal as a whole. m is the least
-    whose choices have as many bits as it takes to tell the prints apart, so few of them meet by chance.
+    The number m of blocks is the least whose m - limit equal ones tell the prints apart but for some 32 by chance.
     """
-    bits = max(8, prints.bit_length())
+    bits = max(8, prints.bit_length() - 5)
     for m in range(limit + 1, limit + 5):
         width = 64 // m
         if (m - limit) * width >= bits or m == limit + 4:
-            blocks = [((1 << width) - 1) << (width * i) for i in range(m)]
-            chosen = [sum(c) for c in combinations(blocks, m - limit)]
-            return [v - (1 << 64) if v >> 63 else v for v in chosen] if len(chosen) <= 300 else []
+            return [((1 << width) - 1) << (width * i) for i in range(m)] if math.comb(m, limit) <= 300 else []
     return []
 
 
-def _keyed(p: DataFrame, to: str, masks_: list[int]) -> DataFrame:
-    each = F.array(*[F.struct(F.lit(k).alias("k"), F.col("p").bitwiseAND(F.lit(m).cast("long")).alias("v")) for k, m in enumerate(masks_)])
-    return p.select(F.col("p").alias(to), F.explode(each).alias("key")).select(to, "key.*")
-
+def _choices(blocks: list[int], limit: int, groups: int) -> dict[tuple[int, ...], list[tuple[int, ...]]]:
+    """By its first blocks, every choice of blocks that two prints may share first; as few first blocks as have a value for each of `groups`."""
+    most, width = len(blocks) - limit, blocks[0].bit_length()
+    first = min(most, max(1, -(-(groups - 1).bit_length() // width)))
+    out: dict[tuple[int, ...], list[tuple[int, ...]]] = {}
+    for c in combinations(range(len(blocks)), most):
+        out.setdefault(c[:first], []).append(c)
+    return out
 
-def _near(queries: DataFrame, all_: DataFrame, limit: int, hot_rows: int) -> DataFrame:
-    """`a, b` of different prints at most `limit` bits apart: a of `queries`, b of `all_` (both distinct, column p).
 
-    Keys that more than `hot_rows` prints share (blank regions) are told apart by their other bits before they meet.
+def _apart(x: np.ndarray, y: np.ndarray, limit: int) -> np.ndarray:
+    d = x ^ y
+    return (np.bitwise_count(d) <= limit) & (d != 0)
+
+
+def _sharing(x: np.ndarray, y: np.ndarray | None, mask: int, limit: int, pairs: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of x and y (of x itself where y is None) that are equal in the mask and near, some `pairs` at a time compared."""
+    m = np.uint64(mask)
+    x = x[np.argsort(x & m)]
+    kx = x & m
+    if y is None:
+        y, lo = x, np.arange(1, len(x) + 1)
+        ends = np.append(np.flatnonzero(kx[1:] != kx[:-1]) + 1, len(x))
+        hi = np.repeat(ends, np.diff(ends, prepend=0))
+    else:
+        y = y[np.argsort(y & m)]
+        lo, hi = np.searchsorted(y & m, kx, "left"), np.searchsorted(y & m, kx, "right")
+    some = np.flatnonzero(hi > lo)
+    x, lo, n = x[some], lo[some], (hi - lo)[some]
+    until = np.cumsum(n)
+    at = 0
+    while at < len(x):
+        to = max(at + 1, int(np.searchsorted(until, (until[at - 1] if at else 0) + pairs, "right")))
+        k = n[at:to]
+        u = np.repeat(x[at:to], k)
+        v = y[np.arange(len(u)) + np.repeat(lo[at:to] - (until[at:to] - k) + (until[at - 1] if at else 0), k)]
+        near = _apart(u, v, limit)
+        yield u[near], v[near]
+        at = to
+
+
+def _meet(blocks: list[int], limit: int, choices: list[list[tuple[int, ...]]], groups: int, forest: bool, pairs: int = 500_000):
+    """Near pairs within a group of prints of one number of first blocks, each only where its choice has the first blocks that it shares."""
+
+    def found(c: int, x: np.ndarray, y: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for choice in choices[c]:
+            for u, v in _sharing(x, y, sum(blocks[i] for i in choice), limit, pairs):
+                d = u ^ v
+                own = np.ones(len(d), bool)
+                for i in set(range(choice[-1])) - set(choice):
+                    own &= (d & np.uint64(blocks[i])) != 0
+                if own.any():
+                    yield u[own].view(np.int64), v[own].view(np.int64)
+
+    def batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    def tree(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        v, rep = least_linked(a, b)
+        return rep[v != rep], v[v != rep]
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches))
+        p, asks = t["p"].to_numpy().view(np.uint64), t["asks"].to_numpy() if "asks" in t.column_names and not t["asks"].null_count else None
+        x, y = (p, None) if asks is None else (p[asks], p[~asks])
+        kept: list[tuple[np.ndarray, np.ndarray]] = []
+        for a, b in found(key[0].as_py() // groups, x, y):
+            if not forest:
+                yield batch(a, b)
+                continue
+            kept.append((a, b))
+            if sum(len(k[0]) for k in kept) > pairs:
+                kept = [tree(*map(np.concatenate, zip(*kept)))]
+        if kept:
+            yield batch(*tree(*map(np.concatenate, zip(*kept))))
+
+    # the types by value: as texts they would be looked up among this module's names
+    run.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    return run
+
+
+def _near(queries: DataFrame | None, all_: DataFrame, limit: int, hot_rows: int, forest: bool = False) -> DataFrame:
+    """`a, b` of different prints at most `limit` bits apart, each pair once: a of `queries`, b of `all_` (both distinct, column p).
+
+    Without queries all meet all, and of a pair either may be a. `forest`: instead of these pairs fewer that link the
+    same prints. A print goes to one group for each choice of first blocks; groups of more than `hot_rows` prints
+    (blank regions) are dealt out to cells in which each piece of the group meets each other.
     """
     scratch = Scratch(all_.sparkSession, "near")
     all_ = scratch.save(all_)
-    d = hamming(F.col("a"), F.col("b"))
-    chosen = _layout(limit, all_.count())
-    if chosen:
-        build, probe = _keyed(all_, "b", chosen), _keyed(queries, "a", chosen)
-    else:  # four blocks of 16 bits, of which one has at most a fourth of the limit changed
-        block = [0xFFFF << (16 * k) for k in range(4)]
-        build = _keyed(all_, "b", [v - (1 << 64) if v >> 63 else v for v in block])
-        flips = F.array(*[F.struct(F.lit(k).alias("k"), (F.col("p").bitwiseXOR(F.call_function("shiftleft", F.lit(m).cast("long"), F.lit(16 * k)))).bitwiseAND(F.lit(v - (1 << 64) if v >> 63 else v).cast("long")).alias("v")) for k, v in enumerate(block) for m in masks(4, 16, limit // 4)])
-        probe = queries.select(F.col("p").alias("a"), F.explode(flips).alias("key")).select("a", "key.*")
-    rows = scratch.save(build.groupBy("k", "v").count().where(F.col("count") > hot_rows).select("k", "v", F.lit(True).alias("_hot")))
-    near = (F.col("a") != F.col("b")) & (d <= limit)
-    if rows.isEmpty():
-        return probe.join(build, ["k", "v"]).where(near).select("a", "b").distinct()
-    hot = F.broadcast(rows)  # at most (prints x keys) / hot_rows rows
-    b, p = build.join(hot, ["k", "v"], "left"), probe.join(hot, ["k", "v"], "left")
-    cold = p.where("_hot IS NULL").drop("_hot").join(b.where("_hot IS NULL").drop("_hot"), ["k", "v"]).where(near).select("a", "b")
-    # the 64 bits in one piece more than the limit, of which one is untouched
-    cuts = [64 * i // (limit + 1) for i in range(limit + 2)]
-    ones = lambda lo, hi: (1 << (hi - lo)) - 1 if hi - lo < 63 else -1
-    piece = lambda x: F.explode(F.array(*[F.struct(F.lit(i).alias("j"), F.shiftrightunsigned(x, lo).bitwiseAND(F.lit(ones(lo, hi)).cast("long")).alias("w")) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:]))])).alias("piece")
-    x, y = p.where("_hot").select("k", "v", "a", piece("a")).select("k", "v", "a", "piece.*"), b.where("_hot").select("k", "v", "b", piece("b")).select("k", "v", "b", "piece.*")
-    return cold.union(x.join(y, ["k", "v", "j", "w"]).where(near).select("a", "b")).distinct()
+    n = all_.count()
+    blocks = _layout(limit, n)
+    if not blocks:
+        return _flipped(all_ if queries is None else queries, all_, limit, queries is None)
+    groups = -(-n // hot_rows * 2) or 1
+    choices = _choices(blocks, limit, groups)
+    slot = lambda k, c: F.pmod(F.xxhash64(F.lit(k), F.col("p").bitwiseAND(F.lit(_signed(sum(blocks[i] for i in c))).cast("long"))), F.lit(groups)) + k * groups
+    rows = all_ if queries is None else all_.withColumn("asks", F.lit(False)).union(queries.select("p", F.lit(True)))
+    rows = rows.withColumn("slot", F.explode(F.array(*[slot(k, c) for k, c in enumerate(choices)])))
+    hot = scratch.save(rows.groupBy("slot").count().where(F.col("count") > hot_rows).select("slot", F.ceil(F.col("count") / hot_rows).cast("int").alias("pieces")))
+    key = ["slot"]
+    if not hot.isEmpty():  # at most (prints x choices) / hot_rows rows
+        own, other = F.pmod(F.xxhash64(F.lit("piece"), "p"), F.coalesce("pieces", F.lit(1))).cast("int"), F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1))
+        dealt = rows.join(F.broadcast(hot), key, "left").select(*rows.columns, own.alias("own"), other.alias("other"))
+        if queries is None:
+            dealt = dealt.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).withColumn("asks", F.when(F.col("x") != F.col("y"), F.col("own") == F.col("x")))
+        else:
+            dealt = dealt.withColumns({"x": F.when("asks", F.col("own")).otherwise(F.col("other")), "y": F.when("asks", F.col("other")).otherwise(F.col("own"))})
+        rows, key = dealt.drop("own", "other"), [*key, "x", "y"]
+    return rows.groupBy(*key).applyInArrow(_meet(blocks, limit, list(choices.values()), groups, forest), "a long, b long")
+
+
+def _flipped(queries: DataFrame, all_: DataFrame, limit: int, once: bool) -> DataFrame:
+    """The pairs of _near for limits that leave no good choice: by four blocks of 16 bits, of which one has at most a fourth of the limit changed."""
+    block = [0xFFFF << (16 * k) for k in range(4)]
+    part = lambda x, v: x.bitwiseAND(F.lit(_signed(v)).cast("long")).alias("v")
+    build = all_.select(F.col("p").alias("b"), F.explode(F.array(*[F.struct(F.lit(k).alias("k"), part(F.col("p"), v)) for k, v in enumerate(block)])).alias("key")).select("b", "key.*")
+    flips = F.array(*[F.struct(F.lit(k).alias("k"), part(F.col("p").bitwiseXOR(F.call_function("shiftleft", F.lit(m).cast("long"), F.lit(16 * k))), v)) for k, v in enumerate(block) for m in masks(4, 16, limit // 4)])
+    probe = queries.select(F.col("p").alias("a"), F.explode(flips).alias("key")).select("a", "key.*")
+    near = (F.col("a") < F.col("b") if once else F.col("a") != F.col("b")) & (hamming(F.col("a"), F.col("b")) <= limit)
+    # Spark takes an exploded table for no larger than what it came from, and would send it to the driver
+    return probe.join(build.hint("merge"), ["k", "v"]).where(near).select("a", "b").distinct()
 
 
 def near_prints(prints: DataFrame, limit: int, column: str = "print", hot_rows: int = 100_000) -> DataFrame:
     """`a, b, distance` of different prints (a < b) at most `limit` bits apart.
 
-    Prints meet by equality of some of their bits (see _layout), or for larger limits by four blocks of 16 bits probed
-    with up to a fourth of the limit flipped. Exact, and no pair is compared that shares no key. Files with equal
-    prints are one row here.
+    Prints meet in groups by equality of some of their bits (see _layout), or for larger limits by four blocks of 16
+    bits probed with up to a fourth of the limit flipped. Exact, and no pair is compared that shares no such bits.
+    Files with equal prints are one row here.
     """
     p = prints.where(F.col(column).isNotNull()).select(F.col(column).alias("p")).distinct()
-    d = hamming(F.col("a"), F.col("b"))
-    return _near(p, p, limit, hot_rows).where("a < b").withColumn("distance", d)
+    return _near(None, p, limit, hot_rows).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), hamming(F.col("a"), F.col("b")).alias("distance"))
 
 
 def similar(queries: DataFrame, prints: DataFrame, limit: int, id: str = "id", column: str = "print", hot_rows: int = 100_000) -> DataFrame:
     """`id, near_id, distance`: for every row of `queries` all other rows of `prints` at most `limit` bits away, equal prints with distance 0."""
     q = queries.where(F.col(column).isNotNull()).select(F.col(id).alias("id"), F.col(column).alias("a"))
-    p = prints.where(F.col(column).isNotNull()).select(F.col(id).alias("near_id"), F.col(column).alias("b"))
-    met = _near(q.select(F.col("a").alias("p")).distinct(), p.select(F.col("b").alias("p")).distinct(), limit, hot_rows)
-    met = met.unionByName(q.select("a", F.col("a").alias("b")).distinct())
-    return q.join(met, "a").join(p, "b").where("id <> near_id").select("id", "near_id", hamming(F.col("a"), F.col("b")).alias("distance"))
+    scratch = Scratch(prints.sparkSession, "similar")
+    p = scratch.save(prints.where(F.col(column).isNotNull()).select(F.col(id).alias("near_id"), F.col(column).alias("b")))
+    q = scratch.save(q)
+    scratch.settle()
+    asked = q.select("a").distinct()
+    met = _near(asked.withColumnRenamed("a", "p"), p.select(F.col("b").alias("p")).distinct(), limit, hot_rows)
+    met = met.unionByName(asked.select("a", F.col("a").alias("b"))).hint("merge")  # Spark can't foresee how many pairs there are
+    return q.join(met, "a").hint("merge").join(p, "b").where("id <> near_id").select("id", "near_id", hamming(F.col("a"), F.col("b")).alias("distance"))
 
 
 def least_linked(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,14 +240,19 @@ def linked(pairs: DataFrame, task_edges: int = 200_000) -> DataFrame:
     return final
 
 
-def print_groups(prints: DataFrame, limit: int, id: str = "id", column: str = "print") -> DataFrame:
+def print_groups(prints: DataFrame, limit: int, id: str = "id", column: str = "print", hot_rows: int = 100_000) -> DataFrame:
     """`id, group_id`: files joined directly or through others; group_id is the least id. Files with equal prints are joined too."""
-    rows = prints.where(F.col(column).isNotNull()).select(F.col(id).alias("id"), F.col(column).alias("p"))
-    rep = rows.groupBy("p").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
-    near = near_prints(rows, limit, "p")
+    scratch = Scratch(prints.sparkSession, "groups")
+    rows = scratch.save(prints.where(F.col(column).isNotNull()).select(F.col(id).alias("id"), F.col(column).alias("p")))
+    rep = scratch.save(rows.groupBy("p").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
+    scratch.settle()
     r = rep.select("p", "rep")
+    near = scratch.save(_near(None, rep.select("p"), limit, hot_rows, forest=True))
+    scratch.settle()
     links = near.join(r.withColumnsRenamed({"p": "a", "rep": "ra"}), "a").join(r.withColumnsRenamed({"p": "b", "rep": "rb"}), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    g = linked(links)
+    g = scratch.save(linked(links))
+    scratch.drop(near)
+    scratch.settle()
     of = rep.join(g, rep.rep == g.v, "left").select("p", "n", F.coalesce("group_id", "rep").alias("group_id"), F.col("group_id").isNotNull().alias("far"))
     return rows.join(of, "p").where("far OR n > 1").select("id", "group_id")
 

@@ -59,6 +59,10 @@ class Scratch:
         for t in tables:
             self._delete(t._shelfmark_path)
 
+    def settle(self) -> None:
+        """Lets go of the shuffle files behind what has been saved: Spark keeps them until the driver collects its garbage."""
+        self.spark._jvm.System.gc()
+
     def _delete(self, path: str) -> None:
         _delete(self.spark, path)
 

@@ -124,6 +124,40 @@ def test_near_prints_equal_all_pairs(spark):
     assert found == {(at[a], j, ((a ^ b) & (2**64 - 1)).bit_count()) for a in signed for b in signed if at[a] % 5 == 0 and ((a ^ b) & (2**64 - 1)).bit_count() <= 6 for j in twice(at[b]) if j != at[a]}
 
 
+def _brute(values, limit):
+    return {(a, b): d for a in values for b in values if a < b and (d := ((a ^ b) & (2**64 - 1)).bit_count()) <= limit}
+
+
+def _some_prints():
+    import random
+
+    rnd = random.Random(8)
+    base = [rnd.getrandbits(63) for _ in range(40)]
+    return sorted({v ^ sum(1 << k for k in rnd.sample(range(63), rnd.randrange(5))) for v in base for _ in range(5)} | {rnd.getrandbits(20) << 40 for _ in range(60)})
+
+
+def _nothing_large_sent(df):
+    """No broadcast in the plan that could hold an exploded or met table: Spark underrates both."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return not any("Broadcast" in x for x in plan.splitlines())
+
+
+def test_print_groups_send_nothing_to_the_driver(spark):
+    values = _some_prints()
+    df = spark.createDataFrame(list(enumerate(values)), "id long, print long")
+    group = list(range(len(values)))
+    at = {v: i for i, v in enumerate(values)}
+    near = _brute(values, 6)
+    while any(group[at[a]] != group[at[b]] for a, b in near):
+        for a, b in near:
+            group[at[a]] = group[at[b]] = min(group[at[a]], group[at[b]])
+    want = {(at[x], group[at[x]]) for pair in near for x in pair}
+    for hot in (100_000, 20):  # 20: groups are dealt out to cells
+        assert {tuple(r) for r in similar.print_groups(df, 6, hot_rows=hot).collect()} == want
+    p = similar.near_prints(df, 6)
+    assert _nothing_large_sent(p) and p.count() == len(near)
+
+
 @pytest.mark.parametrize("edges", [200_000, 9])
 def test_linked_chains(spark, edges):
     pairs = [(i + 1, i) for i in range(1, 40)] + [(100, 101), (101, 102), (102, 100), (200, 201), (201, 200), (7, 7)] + [(300, 301 + i) for i in range(60)]
