@@ -153,7 +153,7 @@ def _near(queries: DataFrame | None, all_: DataFrame, limit: int, hot_rows: int,
         if queries is None:
             dealt = dealt.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).withColumn("asks", F.when(F.col("x") != F.col("y"), F.col("own") == F.col("x")))
         else:
-            dealt = dealt.withColumns({"x": F.when("asks", F.col("own")).otherwise(F.col("other")), "y": F.when("asks", F.col("other")).otherwise(F.col("own"))})
+            dealt = dealt.withColumns({"x": F.when(F.col("asks"), F.col("own")).otherwise(F.col("other")), "y": F.when(F.col("asks"), F.col("other")).otherwise(F.col("own"))})
         rows, key = dealt.drop("own", "other"), [*key, "x", "y"]
     return rows.groupBy(*key).applyInArrow(_meet(blocks, limit, list(choices.values()), groups, forest), "a long, b long")
 

@@ -158,6 +158,43 @@ def test_print_groups_send_nothing_to_the_driver(spark):
     assert _nothing_large_sent(p) and p.count() == len(near)
 
 
+def test_similar_sends_nothing_to_the_driver(spark):
+    values = _some_prints()
+    df = spark.createDataFrame(list(enumerate(values)), "id long, print long")
+    near = _brute(values, 6)
+    at = {v: i for i, v in enumerate(values)}
+    both = {(at[x], at[y], d) for (a, b), d in near.items() for x, y in ((a, b), (b, a))}
+    for hot in (100_000, 20):
+        found = similar.similar(df.where("id % 5 = 0"), df, 6, hot_rows=hot)
+        got = [tuple(r) for r in found.collect()]
+        assert len(got) == len(set(got)) and set(got) == {x for x in both if x[0] % 5 == 0}
+    assert _nothing_large_sent(similar.similar(df.where("id % 5 = 0"), df, 6))
+
+
+def test_representatives_read_the_groups_once(spark):
+    values = _some_prints()
+    df = spark.createDataFrame([(i, v, i % 7 or None, 3) for i, v in enumerate(values)], "id long, print long, width int, height int")
+    groups = similar.print_groups(df, 6)
+    got = similar.representatives(groups, df)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    of = {r["id"]: r["group_id"] for r in groups.collect()}
+    best = {g: min((-(i % 7) * 3, i) for i in of if of[i] == g)[1] for g in set(of.values())}
+    n = lambda g: sum(x == g for x in of.values())
+    assert {tuple(r) for r in got.collect()} == {(g, i, best[g], n(g), (values[i] ^ values[best[g]]).bit_count()) for i, g in of.items()}
+
+
+def test_near_prints_once_each_in_cells(spark):
+    values = _some_prints()
+    df = spark.createDataFrame(list(enumerate(values)), "id long, print long")
+    for limit, hot in ((1, 7), (6, 7)):
+        p = similar.near_prints(df, limit, hot_rows=hot)
+        got = [tuple(r) for r in p.collect()]
+        assert len(got) == len(set(got)) and set(got) == {(a, b, d) for (a, b), d in _brute(values, limit).items()}
+    p = df.select(F.col("print").alias("p"))
+    far = similar._flipped(p, p, 7, True)  # the way of limits that leave no choice of blocks
+    assert _nothing_large_sent(far) and {tuple(r) for r in far.collect()} == set(_brute(values, 7))
+
+
 @pytest.mark.parametrize("edges", [200_000, 9])
 def test_linked_chains(spark, edges):
     pairs = [(i + 1, i) for i in range(1, 40)] + [(100, 101), (101, 102), (102, 100), (200, 201), (201, 200), (7, 7)] + [(300, 301 + i) for i in range(60)]
