@@ -297,9 +297,11 @@ def video_groups(videos: DataFrame, limit: float) -> DataFrame:
 
 def representatives(groups: DataFrame, prints: DataFrame) -> DataFrame:
     """Per group its largest picture (then least id), how many files, and each file's distance to it."""
-    j = groups.join(prints, "id")
     area = F.coalesce(F.col("width").cast("long") * F.col("height"), F.lit(0))
-    rep = j.groupBy("group_id").agg(F.min_by(F.struct(F.col("id").alias("rep_id"), F.col("print").alias("rep_print")), F.struct(-area, F.col("id"))).alias("r"), F.count("*").alias("files"))
+    scratch = Scratch(prints.sparkSession, "representatives")
+    j = scratch.save(groups.join(prints, "id").select("group_id", "id", "print", area.alias("area")))  # the groups are found once
+    scratch.settle()
+    rep = j.groupBy("group_id").agg(F.min_by(F.struct(F.col("id").alias("rep_id"), F.col("print").alias("rep_print")), F.struct(-F.col("area"), F.col("id"))).alias("r"), F.count("*").alias("files"))
     return j.join(rep, "group_id").select("group_id", "id", F.col("r.rep_id").alias("rep_id"), "files", hamming(F.col("print"), F.col("r.rep_print")).alias("distance"))
 
 
