@@ -56,6 +56,80 @@ def _choices(blocks: list[int], limit: int, groups: int) -> dict[tuple[int, ...]
     return out
 
 
+def _slots(p: np.ndarray, blocks: list[int], first: tuple[int, ...], groups: int) -> np.ndarray:
+    """The group of each print by its first blocks, whose values are dealt out evenly."""
+    width, v = blocks[0].bit_length(), np.zeros(len(p), np.uint64)
+    for i in first:
+        v = v << np.uint64(width) | p >> np.uint64(width * i) & np.uint64(blocks[0])
+    bits = width * len(first)
+    high = min(bits, 32)  # so that the product with the groups has at most 64
+    v = v * np.uint64(0x9E3779B97F4A7C15) & np.uint64((1 << bits) - 1)
+    return ((v >> np.uint64(bits - high)) * np.uint64(groups) >> np.uint64(high)).astype(np.int64)
+
+
+def _pieces(p: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """One of n pieces for each print, by all of its bits."""
+    p = (p ^ p >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    p = (p ^ p >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return ((p ^ p >> np.uint64(31)) % n.astype(np.uint64)).astype(np.int64)
+
+
+def _counted(blocks: list[int], firsts: list[tuple[int, ...]], groups: int):
+    """The number of prints for each slot (place of the first blocks x groups + group) that has any, of one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(firsts) * groups, np.int64)
+        for b in batches:
+            p = b["p"].to_numpy().view(np.uint64)
+            for k, c in enumerate(firsts):
+                n[k * groups : (k + 1) * groups] += np.bincount(_slots(p, blocks, c, groups), minlength=groups)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], names=["slot", "n"])
+
+    return run
+
+
+def _packed(blocks: list[int], firsts: list[tuple[int, ...]], groups: int, hot: dict[int, int], some: int = 500_000):
+    """`slot, own, pieces, asks, prints`: some prints at a time by slot and piece (of as many as `hot` has for the slot) as the bytes of an array.
+
+    A row for each print and slot would be three times as large in the shuffle as the print.
+    """
+
+    def packed(p: np.ndarray, asks: bool | None, pieces: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k, c in enumerate(firsts):
+            slot = _slots(p, blocks, c, groups) + k * groups
+            own = _pieces(p, pieces[slot])
+            order = np.lexsort((own, slot))
+            slot, own = slot[order], own[order]
+            at = np.flatnonzero(np.append(True, (slot[1:] != slot[:-1]) | (own[1:] != own[:-1])))
+            offsets = pa.py_buffer((np.append(at, len(p)) * 8).astype(np.int32))
+            prints = pa.Array.from_buffers(pa.binary(), len(at), [None, offsets, pa.py_buffer(p[order])])
+            yield pa.RecordBatch.from_arrays([pa.array(slot[at]), pa.array(own[at].astype(np.int32)), pa.array(pieces[slot[at]]), pa.array([asks] * len(at), pa.bool_()), prints], names=["slot", "own", "pieces", "asks", "prints"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = np.ones(len(firsts) * groups, np.int32)
+        pieces[list(hot.keys())] = list(hot.values())
+        held: list[pa.RecordBatch] = []
+
+        def sides() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held)
+            p = t["p"].to_numpy().view(np.uint64)
+            asks = t["asks"].to_numpy() if "asks" in t.column_names else None
+            for a, x in [(None, p)] if asks is None else [(True, p[asks]), (False, p[~asks])]:
+                if len(x):
+                    yield from packed(x, a, pieces)
+
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) >= some:
+                yield from sides()
+                held = []
+        if held:
+            yield from sides()
+
+    return run
+
+
 def _apart(x: np.ndarray, y: np.ndarray, limit: int) -> np.ndarray:
     d = x ^ y
     return (np.bitwise_count(d) <= limit) & (d != 0)
@@ -108,9 +182,12 @@ def _meet(blocks: list[int], limit: int, choices: list[list[tuple[int, ...]]], g
         return rep[v != rep], v[v != rep]
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches))
-        p, asks = t["p"].to_numpy().view(np.uint64), t["asks"].to_numpy() if "asks" in t.column_names and not t["asks"].null_count else None
-        x, y = (p, None) if asks is None else (p[asks], p[~asks])
+        packed: dict[bool | None, list[bytes]] = {None: [], True: [], False: []}
+        for b in batches:
+            for asks, prints in zip(b["asks"].to_pylist(), b["prints"].to_pylist()):
+                packed[asks].append(prints)
+        own, x, y = (np.frombuffer(b"".join(v), np.uint64) for v in packed.values())
+        x, y = (own, None) if packed[None] else (x, y)
         kept: list[tuple[np.ndarray, np.ndarray]] = []
         for a, b in found(key[0].as_py() // groups, x, y):
             if not forest:
@@ -131,31 +208,29 @@ def _near(queries: DataFrame | None, all_: DataFrame, limit: int, hot_rows: int,
     """`a, b` of different prints at most `limit` bits apart, each pair once: a of `queries`, b of `all_` (both distinct, column p).
 
     Without queries all meet all, and of a pair either may be a. `forest`: instead of these pairs fewer that link the
-    same prints. A print goes to one group for each choice of first blocks; groups of more than `hot_rows` prints
+    same prints. A print goes to one group for each choice of first blocks, packed with others; groups of more than `hot_rows` prints
     (blank regions) are dealt out to cells in which each piece of the group meets each other.
     """
     scratch = Scratch(all_.sparkSession, "near")
     all_ = scratch.save(all_)
+    scratch.settle()
     n = all_.count()
     blocks = _layout(limit, n)
     if not blocks:
         return _flipped(all_ if queries is None else queries, all_, limit, queries is None)
     groups = -(-n // hot_rows * 2) or 1
     choices = _choices(blocks, limit, groups)
-    slot = lambda k, c: F.pmod(F.xxhash64(F.lit(k), F.col("p").bitwiseAND(F.lit(_signed(sum(blocks[i] for i in c))).cast("long"))), F.lit(groups)) + k * groups
+    by = blocks, list(choices), groups
     rows = all_ if queries is None else all_.withColumn("asks", F.lit(False)).union(queries.select("p", F.lit(True)))
-    rows = rows.withColumn("slot", F.explode(F.array(*[slot(k, c) for k, c in enumerate(choices)])))
-    hot = scratch.save(rows.groupBy("slot").count().where(F.col("count") > hot_rows).select("slot", F.ceil(F.col("count") / hot_rows).cast("int").alias("pieces")))
-    key = ["slot"]
-    if not hot.isEmpty():  # at most (prints x choices) / hot_rows rows
-        own, other = F.pmod(F.xxhash64(F.lit("piece"), "p"), F.coalesce("pieces", F.lit(1))).cast("int"), F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1))
-        dealt = rows.join(F.broadcast(hot), key, "left").select(*rows.columns, own.alias("own"), other.alias("other"))
-        if queries is None:
-            dealt = dealt.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).withColumn("asks", F.when(F.col("x") != F.col("y"), F.col("own") == F.col("x")))
-        else:
-            dealt = dealt.withColumns({"x": F.when(F.col("asks"), F.col("own")).otherwise(F.col("other")), "y": F.when(F.col("asks"), F.col("other")).otherwise(F.col("own"))})
-        rows, key = dealt.drop("own", "other"), [*key, "x", "y"]
-    return rows.groupBy(*key).applyInArrow(_meet(blocks, limit, list(choices.values()), groups, forest), "a long, b long")
+    counts = rows.select("p").mapInArrow(_counted(*by), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    hot = {r["slot"]: -(-r["n"] // hot_rows) for r in counts.where(F.col("n") > hot_rows).collect()}  # at most (prints x choices) / hot_rows
+    cells = rows.mapInArrow(_packed(*by, hot), "slot long, own int, pieces int, asks boolean, prints binary")
+    cells = cells.select("slot", "own", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other"), "asks", "prints")
+    if queries is None:
+        cells = cells.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).withColumn("asks", F.when(F.col("x") != F.col("y"), F.col("own") == F.col("x")))
+    else:
+        cells = cells.withColumns({"x": F.when(F.col("asks"), F.col("own")).otherwise(F.col("other")), "y": F.when(F.col("asks"), F.col("other")).otherwise(F.col("own"))})
+    return cells.drop("own", "other").groupBy("slot", "x", "y").applyInArrow(_meet(blocks, limit, list(choices.values()), groups, forest), "a long, b long")
 
 
 def _flipped(queries: DataFrame, all_: DataFrame, limit: int, once: bool) -> DataFrame:

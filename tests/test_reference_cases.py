@@ -195,6 +195,31 @@ def test_near_prints_once_each_in_cells(spark):
     assert _nothing_large_sent(far) and {tuple(r) for r in far.collect()} == set(_brute(values, 7))
 
 
+def test_near_prints_move_little_besides_the_prints(spark):
+    store = spark.sparkContext._jsc.sc()
+
+    def moved():
+        store.listenerBus().waitUntilEmpty()
+        all_ = store.statusStore().executorList(False)
+        return sum(all_.apply(i).totalShuffleWrite() for i in range(all_.size()))
+
+    df = spark.range(40_000).selectExpr("xxhash64(id) AS print").repartition(1)
+    before = moved()
+    assert similar.near_prints(df, 6).count() == 0
+    n = 40_000 * 8
+    assert 7 * n < moved() - before < 10 * n  # seven groups, and the distinct prints once
+
+
+def test_near_prints_of_files_with_several(spark, tmp_path):
+    from shelfmark.queries.files import QUERIES
+
+    values = _some_prints()
+    rows = [(i % 50, 1, 1, v, i % 7 or None, 3) for i, v in enumerate(values)] + [(900, 1, 1, 0, 2, 2), (901, 1, 1, None, 2, 2)]
+    spark.createDataFrame(rows, "entry_id long, size long, modified_at long, dhash long, width int, height int").write.parquet(f"{tmp_path}/image_prints.parquet")
+    got = [tuple(r) for r in QUERIES["j13_near_prints"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b, d) for (a, b), d in _brute([v for v in values if v], 6).items()}
+
+
 @pytest.mark.parametrize("edges", [200_000, 9])
 def test_linked_chains(spark, edges):
     pairs = [(i + 1, i) for i in range(1, 40)] + [(100, 101), (101, 102), (102, 100), (200, 201), (201, 200), (7, 7)] + [(300, 301 + i) for i in range(60)]
